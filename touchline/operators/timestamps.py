@@ -171,21 +171,25 @@ def _spans_of_zone(name: str, first: int, last: int) -> list[tuple[int, int, lis
     return out
 
 
-def zone_table(spark: SparkSession, zones: list[str] | None = None, years: tuple[int, int] = YEARS) -> DataFrame:
+def zone_table(spark: SparkSession, used: DataFrame | None = None, zones: list[str] | None = None, years: tuple[int, int] = YEARS) -> DataFrame:
     """zone_name, local_year, spans (array of local start, local end, offset in seconds), tz_version: the zone database as offsets by local year.
 
-    Its size is bounded by the zone database (about 600 names) and ``years``; it is built on the executors.
+    Its size is bounded by the zone database (about 600 names) and ``years``; with ``used``, a column of zone names, it holds only those of
+    them that the database knows. It is built on the executors.
     """
     names = sorted(zones if zones is not None else (z for z in zoneinfo.available_timezones() if not z.startswith(("posix/", "right/")) and z != "localtime"))
-    version = zone_version()
+    version, known = zone_version(), frozenset(names)
     first, last = years
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(name, year, [{"a": a, "b": b, "o": o} for a, b, o in spans], version) for name in batch["zone_name"] for year, spans in _spans_of_zone(name, first, last)]
+            rows = [(name, year, [{"a": a, "b": b, "o": o} for a, b, o in spans], version) for name in batch["zone_name"] if name in known for year, spans in _spans_of_zone(name, first, last)]
             yield pd.DataFrame(rows, columns=["zone_name", "local_year", "spans", "tz_version"])
 
-    source = spark.createDataFrame([(n,) for n in names], "zone_name string").repartition(max(1, min(8, len(names) // 20)))
+    if used is None:
+        source = spark.createDataFrame([(n,) for n in names], "zone_name string").repartition(max(1, min(8, len(names) // 20)))
+    else:
+        source = used.where(F.col(used.columns[0]).isNotNull()).toDF("zone_name").distinct().coalesce(1)
     return source.mapInPandas(build, "zone_name string, local_year int, spans array<struct<a:bigint,b:bigint,o:int>>, tz_version string")
 
 
@@ -293,7 +297,7 @@ def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Col
     columns = df.columns
     month_first = F.lit(False) if month_first is None else F.coalesce(month_first, F.lit(False))
     zone = F.coalesce(*[F.when(F.trim(z) != "", F.trim(z)) for z in zones]) if zones else F.lit(None).cast("string")
-    df = _parsed(df.withColumn("__zone", zone), clock_text, "__c", month_first)
+    used, df = df, _parsed(df.withColumn("__zone", zone), clock_text, "__c", month_first)
     day = F.when(F.col("__ckind") == "instant", F.col("__cday"))
     if day_text is not None:
         df = _parsed(df, day_text, "__d", month_first)
@@ -302,7 +306,7 @@ def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Col
     df = df.withColumn("__local", local)
     needs = F.col("__local").isNotNull() & ~F.col("__czoned")
     df = df.withColumn("__year", F.when(needs, F.year(F.date_from_unix_date(F.floor(F.col("__local") / F.lit(86_400_000_000)).cast("int")))))
-    table = F.broadcast(zone_table(df.sparkSession).select(F.col("zone_name").alias("__zone"), F.col("local_year").alias("__year"), F.col("spans").alias("__spans")))
+    table = F.broadcast(zone_table(df.sparkSession, used.select(zone.alias("zone_name"))).select(F.col("zone_name").alias("__zone"), F.col("local_year").alias("__year"), F.col("spans").alias("__spans")))
     df = df.join(table, ["__zone", "__year"], "left")
     hits = F.filter(F.col("__spans"), lambda s: (s["a"] * 1_000_000 <= F.col("__local")) & (F.col("__local") < s["b"] * 1_000_000))
     offset = F.when(F.col("__czoned"), F.col("__coffset")).otherwise(F.when(F.size(hits) == 1, F.try_element_at(hits, F.lit(1))["o"]))
