@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import mixing, spam, tokens
+from touchline.llm import canonical, mixing, spam, tokens
 from touchline.session import cut, table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mapping_id, team_id: the club that each mapping without a canonical id stands for, or UNMATCHED."""
+    mappings = table(spark, sf_dir, "provider_mapping").where("canonical_team_id is null").select("mapping_id", "provider_team_name", "canonical_team_name", "country_code")
+    clubs = canonical.club_entries(table(spark, sf_dir, "product_teams"))
+    return canonical.map_names(mappings, "mapping_id", ["provider_team_name", "canonical_team_name"], F.col("country_code"), clubs).withColumnRenamed("entry", "team_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: the byte_bpe_50k token ids of every text."""
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -47,7 +54,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p6_found, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_shapes)}
 
 
 def oracle_sql() -> dict[str, str]:
