@@ -104,4 +104,6 @@ def page_shapes(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 def spam_pages(pages: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
     """key of each page of whose characters more than ``share`` lies in shapes that are no sentences; see ``page_shapes``. Pages without text are none."""
-    return page_shapes(pages, key, text).where(F.col("chars") - F.col("content") > share * F.col("chars")).select(key)
+    flagged = F.col("chars") - F.col("content") > share * F.col("chars")
+    # a filter would be pushed below the shapes and compute each of them again; a generator is not
+    return page_shapes(pages, key, text).select(F.explode(F.when(flagged, F.array(key))).alias(key))
