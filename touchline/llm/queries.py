@@ -5,9 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import canonical, mixing, spam, tokens
+from touchline.llm import canonical, linkage, mixing, spam, tokens
+from touchline.operators.timestamps import UNRESOLVED, normalise_days
 from touchline.session import cut, table
 
+#: Fixed value: the country whose slashed dates are month first, and the prefix of its divisions.
+MONTH_FIRST_COUNTRY, MONTH_FIRST_DIVISION = "Columbra", "US"
+
+
+def _day(text: str):
+    return F.unix_date(F.when(F.col(text) != UNRESOLVED, F.col(text)).cast("date"))
+
+
+def _season(day):
+    """The season a day (days since 1970) lies in, from July to June, as yyyy/yyyy."""
+    date = F.date_from_unix_date(day)
+    first = F.year(date) - F.when(F.month(date) < 7, 1).otherwise(0)
+    return F.concat_ws("/", first, first + 1)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "f3_ambiguous_identity_v1").select("row_no", "div_code", "date_text", "hometeam", "awayteam", "fthg", "ftag")
+    results = normalise_days(results, "date_text", "d", F.upper(F.trim("div_code")).startswith(MONTH_FIRST_DIVISION)).withColumn("day", _day("d"))
+    left = results.select(F.col("row_no").alias("i"), F.col("hometeam").alias("home_text"), F.col("awayteam").alias("away_text"), "day", _season(F.col("day")).alias("season"), F.col("fthg").alias("home_goals"), F.col("ftag").alias("away_goals"))
+    countries = table(spark, sf_dir, "competitions").select("competition_id", "country_name").dropDuplicates(["competition_id"])
+    matches = table(spark, sf_dir, "open_matches").select("match_id", "match_date", "kick_off", "competition_id", "season_name", "home_team_name", "away_team_name", "home_score", "away_score").join(countries, "competition_id", "left")
+    month_first = F.col("country_name") == MONTH_FIRST_COUNTRY
+    matches = normalise_days(normalise_days(matches, "match_date", "d", month_first), "kick_off", "k", month_first)
+    right = matches.select(F.col("match_id").alias("j"), F.col("home_team_name").alias("home_text"), F.col("away_team_name").alias("away_text"), F.coalesce(_day("d"), _day("k")).alias("day"), F.col("season_name").alias("season"), F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"))
+    # the words that many clubs of the (fixed) club list share
+    words = canonical.reference_parts(canonical.club_entries(table(spark, sf_dir, "product_teams"))).where("affix <> ''").select("affix").distinct().collect()
+    return linkage.link(left, right, sorted({w for r in words for w in r.affix.split(" ")}))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_no, match_id: each row of the results CSV and the open match that is the same real match."""
+    return _links(spark, sf_dir).select(F.col("i").alias("row_no"), F.col("j").alias("match_id")).distinct()
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_no, match_id, confidence: the same pairs, each with its confidence."""
+    return _links(spark, sf_dir).select(F.col("i").alias("row_no"), F.col("j").alias("match_id"), "confidence")
+
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mapping_id, team_id: the club that each mapping without a canonical id stands for, or UNMATCHED."""
@@ -54,7 +93,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p6_found, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p4_found, p4_confidence, p6_found, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_shapes)}
 
 
 def oracle_sql() -> dict[str, str]:
