@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import names
+from touchline.session import cut
 
 UNMATCHED = "UNMATCHED"
 #: Edit distance up to which segments are made, and the length from which a word may differ at all.
@@ -76,10 +77,11 @@ def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
     A name fits an entry if one of its words is the entry's own word (up to a slip of one edit or two exchanged letters, or cut short by a
     stop), its other words are the entry's common word or stand for it, and the sides are the same; or if it is the entry's short name.
     """
-    ref = reference_parts(clubs).withColumn("look", names.look_alike(F.col("place")))
+    # the parts of the plan are written one by one: each is small, and nothing that is used twice is computed twice
+    ref = cut(reference_parts(clubs).withColumn("look", names.look_alike(F.col("place"))))
     known = ref.where("affix <> ''").select(F.col("affix").alias("word")).distinct().agg(F.collect_set("word").alias("common"))
     q = typed.select("name", "country", names.tokens(F.col("name")).alias("toks")).withColumns({"side": names.sides(F.col("toks")), "words": names.core(F.col("toks"))})
-    q = q.join(F.broadcast(known), F.lit(True), "left").where(F.size("words").between(1, 5))
+    q = cut(q.join(F.broadcast(known), F.lit(True), "left").where(F.size("words").between(1, 5)))
     words = q.select("name", "country", "side", "words", "common", F.posexplode("words").alias("at", "word"))
     rest = F.expr("filter(words, (w, i) -> i <> at)")
     words = words.withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).select("name", "country", "side", "common", rest.alias("rest"), names.look_alike(F.col("word.t")).alias("look"), F.col("word.dot").alias("dot"), F.array_contains("common", F.col("word.t")).alias("is_common")).where("not is_common and length(look) >= 3")
@@ -89,7 +91,7 @@ def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
     distinct_words = words.select("look", "dot").distinct()
     found = probes_of(distinct_words, "look").join(segments_of(forms.withColumnRenamed("dot", "form_dot"), "form"), "segment")
     found = found.where(F.col("dot") == F.col("form_dot")).select("look", "dot", "form", "owners", distance(F.col("look"), F.col("form")).alias("edits")).where("edits is not null").distinct()
-    found = found.select("look", "dot", "edits", F.explode("owners").alias("entry")).groupBy("look", "dot", "entry").agg(F.min("edits").alias("edits"))
+    found = cut(found.select("look", "dot", "edits", F.explode("owners").alias("entry")).groupBy("look", "dot", "entry").agg(F.min("edits").alias("edits")))
     pairs = words.join(found, ["look", "dot"]).join(ref.select("entry", F.col("country").alias("home"), F.col("side").alias("entry_side"), "affix"), "entry")
     pairs = pairs.where(F.col("country").isNull() | (F.col("country") == F.col("home"))).where(F.col("side") == F.col("entry_side"))
     other = F.get("rest", F.lit(0))
@@ -128,7 +130,7 @@ def map_names(records: DataFrame, key: str, texts: list[str], country: Column, c
     inside = F.get(F.filter(F.transform(names.bracketed(F.col("name")), lambda b: F.try_element_at("hints", b)), lambda c: c.isNotNull()), F.lit(0))
     given = F.coalesce(F.try_element_at("hints", names.plain(F.col("country"))), F.when(F.trim("country") == "", F.lit(None)).otherwise(F.col("country")))
     long = long.select("key", "name", F.coalesce(given, inside).alias("country"))
-    fits = match_names(long.select("name", "country").distinct(), clubs)
+    fits = cut(match_names(long.select("name", "country").distinct(), clubs))
     # names recur, one may make up much of the table: the matched names are few and go out to every salt
     salted = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = long.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).alias("l").join(salted.alias("f"), (F.col("l.name") == F.col("f.name")) & F.col("l.country").eqNullSafe(F.col("f.country")) & (F.col("l.salt") == F.col("f.salt")))
