@@ -80,7 +80,7 @@ def name_likeness(a: Column, b: Column) -> Column:
             .when((F.size(ra) == 0) | (F.size(rb) == 0), 0.93)
             .when(text(ra) == text(rb), 1.0)
             .when(one & (names.short_for(x["t"], x["dot"], y["t"]) | names.short_for(y["t"], y["dot"], x["t"])), 0.98)
-            .when(one & canonical.distance(x["look"], y["look"]).isNotNull(), 0.96)
+            .when(one & (canonical.distance(x["look"], y["look"]).isNotNull() | F.arrays_overlap(x["stands"], y["stands"])), 0.96)
             .when(((F.size(ra) > 1) & (initials(ra) == text(rb))) | ((F.size(rb) > 1) & (initials(rb) == text(ra))), 0.98)
             .otherwise(0.35)
         )
@@ -89,10 +89,14 @@ def name_likeness(a: Column, b: Column) -> Column:
 
 
 def _parts(text: Column, common: Column) -> Column:
-    """struct(words, side) of a name; a name of common words only has them as its own."""
+    """struct(words, side) of a name; a name of common words only has them as its own. ``stands`` are the common words that a word may stand for."""
+
+    def stands(w: Column) -> Column:
+        return F.filter(common, lambda c: (w["t"] == c) | names.short_for(w["t"], w["dot"], c) | (~w["dot"] & canonical.distance(names.look_alike(w["t"]), names.look_alike(c)).isNotNull()))
+
     toks = names.tokens(text)
     core = names.core(toks)
-    words = F.transform(core, lambda w: F.struct(w["t"].alias("t"), names.look_alike(w["t"]).alias("look"), w["dot"].alias("dot"), (w["dot"] | ~F.array_contains(common, w["t"])).alias("own")))
+    words = F.transform(core, lambda w: F.struct(w["t"].alias("t"), names.look_alike(w["t"]).alias("look"), w["dot"].alias("dot"), (w["dot"] | ~F.array_contains(common, w["t"])).alias("own"), stands(w).alias("stands")))
     words = F.when(F.exists(words, lambda w: w["own"]), words).otherwise(F.transform(words, lambda w: w.withField("own", F.lit(True))))
     return F.struct(words.alias("words"), names.sides(toks).alias("side"))
 
@@ -105,7 +109,8 @@ def _side_words(df: DataFrame, key: str) -> DataFrame:
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """i, j: the pairs of records (columns i or j, home, away as parts, day, season) that have a similar word of their own and lie at most a day apart; where ``right`` has no day, in the same season."""
     lw, rw = _side_words(left, "i"), _side_words(right, "j").withColumnRenamed("look", "word")
-    similar = similar_words(lw.select("look", "dot").distinct(), rw.select("word").distinct())
+    lw, rw = cut(lw), cut(rw)
+    similar = cut(similar_words(lw.select("look", "dot").distinct(), rw.select("word").distinct()))
     lw = lw.join(similar, ["look", "dot"]).select("i", "day", "season", "word").distinct()
     near = lw.select("i", "word", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
     dated = near.join(rw.where("day is not null").select("j", "word", "day"), ["word", "day"]).select("i", "j")
@@ -121,7 +126,8 @@ def evidence(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     like = lambda a, b: name_likeness(F.col(f"l.{a}"), F.col(f"r.{b}"))
     df = df.withColumns({"hh": like("home", "home"), "aa": like("away", "away"), "ha": like("home", "away"), "ah": like("away", "home")})
     both = lambda x, y: F.greatest(F.col(x) + F.col(y) - 1, F.lit(0.0))
-    df = df.withColumn("crossed", both("ha", "ah") > both("hh", "aa"))
+    # written here: the likenesses are long expressions, and each is used several times below
+    df = cut(df).withColumn("crossed", both("ha", "ah") > both("hh", "aa"))
     goals = F.when(F.col("crossed"), F.struct(F.col("r.away_goals").alias("h"), F.col("r.home_goals").alias("a"))).otherwise(F.struct(F.col("r.home_goals").alias("h"), F.col("r.away_goals").alias("a")))
     unknown = F.col("l.home_goals").isNull() | F.col("l.away_goals").isNull() | goals["h"].isNull() | goals["a"].isNull()
     same = (F.col("l.home_goals") == goals["h"]) & (F.col("l.away_goals") == goals["a"])
@@ -214,7 +220,8 @@ def link(left: DataFrame, right: DataFrame, common: list[str], rules: Rules = Ru
     parts = lambda df: df.withColumns({"home": _parts(F.col("home_text"), words), "away": _parts(F.col("away_text"), words)})
     l = cut(parts(single.withColumnRenamed("rep", "i")))  # noqa: E741
     r = cut(parts(right.where("home_text is not null and away_text is not null").select("j", "season", *content).distinct()))
-    pairs = cut(evidence(l, r, candidates(l, r)).groupBy("i", "j").agg(F.max_by(F.struct("similar", "agree", "home_key", "away_key", "home_like", "away_like"), F.struct("similar", "agree")).alias("e")).select("i", "j", "e.*"))
+    known = cut(evidence(l, r, cut(candidates(l, r))))
+    pairs = cut(known.groupBy("i", "j").agg(F.max_by(F.struct("similar", "agree", "home_key", "away_key", "home_like", "away_like"), F.struct("similar", "agree")).alias("e")).select("i", "j", "e.*"))
     solved = solve(pairs, rules).where((F.col("confidence") >= rules.accept) & (F.col("similar") >= rules.least_similar))
     order = F.struct("confidence", "similar", "agree")
     best = solved.groupBy("i").agg(F.max(order).alias("top")).join(solved.withColumn("order", order), "i").where(F.col("order") == F.col("top")).groupBy("i").agg(F.min("j").alias("j"), F.max("confidence").alias("confidence"))
