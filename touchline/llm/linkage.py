@@ -17,9 +17,12 @@ reached are the confidences.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import canonical, names
@@ -88,17 +91,26 @@ def name_likeness(a: Column, b: Column) -> Column:
     return F.when(a["side"] == b["side"], F.coalesce(best["s"] * common(rest(a, best["i"]), rest(b, best["j"])), F.lit(0.0))).otherwise(0.0)
 
 
-def _parts(text: Column, common: Column) -> Column:
-    """struct(words, side) of a name; a name of common words only has them as its own. ``stands`` are the common words that a word may stand for."""
+def _with_parts(df: DataFrame, texts: dict[str, str], common: Column) -> DataFrame:
+    """Adds under each key of ``texts`` the struct(words, side) of the name in its column; a name of common words only has them as its own. ``stands`` are the common words that a word may stand for.
+
+    Step by step, each in a column of its own, so that no expression is evaluated twice.
+    """
 
     def stands(w: Column) -> Column:
         return F.filter(common, lambda c: (w["t"] == c) | names.short_for(w["t"], w["dot"], c) | (~w["dot"] & canonical.distance(names.look_alike(w["t"]), names.look_alike(c)).isNotNull()))
 
-    toks = names.tokens(text)
-    core = names.core(toks)
-    words = F.transform(core, lambda w: F.struct(w["t"].alias("t"), names.look_alike(w["t"]).alias("look"), w["dot"].alias("dot"), (w["dot"] | ~F.array_contains(common, w["t"])).alias("own"), stands(w).alias("stands")))
-    words = F.when(F.exists(words, lambda w: w["own"]), words).otherwise(F.transform(words, lambda w: w.withField("own", F.lit(True))))
-    return F.struct(words.alias("words"), names.sides(toks).alias("side"))
+    def word(w: Column) -> Column:
+        return F.struct(w["t"].alias("t"), names.look_alike(w["t"]).alias("look"), w["dot"].alias("dot"), (w["dot"] | ~F.array_contains(common, w["t"])).alias("own"), stands(w).alias("stands"))
+
+    def named(words: Column) -> Column:
+        alone = ~F.exists(words, lambda w: w["own"])
+        return F.transform(words, lambda w: F.struct(w["t"].alias("t"), w["look"].alias("look"), w["dot"].alias("dot"), (w["own"] | alone).alias("own"), w["stands"].alias("stands")))
+
+    kept = df.columns
+    df = df.withColumns({f"{k}_toks": names.tokens(F.col(text)) for k, text in texts.items()})
+    df = df.withColumns({f"{k}_words": F.transform(names.core(F.col(f"{k}_toks")), word) for k in texts})
+    return df.select(*kept, *[F.struct(named(F.col(f"{k}_words")).alias("words"), names.sides(F.col(f"{k}_toks")).alias("side")).alias(k) for k in texts])
 
 
 def _side_words(df: DataFrame, key: str) -> DataFrame:
@@ -123,8 +135,9 @@ def evidence(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     l = left.select("i", F.struct("home", "away", "day", "home_goals", "away_goals", "home_text", "away_text").alias("l"))  # noqa: E741
     r = right.select("j", F.struct("home", "away", "day", "home_goals", "away_goals", "home_text", "away_text").alias("r"))
     df = pairs.join(l, "i").join(r, "j")
-    like = lambda a, b: name_likeness(F.col(f"l.{a}"), F.col(f"r.{b}"))
-    df = df.withColumns({"hh": like("home", "home"), "aa": like("away", "away"), "ha": like("home", "away"), "ah": like("away", "home")})
+    orders = ("home", "home"), ("away", "away"), ("home", "away"), ("away", "home")
+    likes = F.transform(F.array(*[F.struct(F.col(f"l.{a}").alias("a"), F.col(f"r.{b}").alias("b")) for a, b in orders]), lambda p: name_likeness(p["a"], p["b"]))
+    df = df.withColumn("likes", likes).select("i", "j", "l", "r", *[F.col("likes")[n].alias(a[0] + b[0]) for n, (a, b) in enumerate(orders)])
     both = lambda x, y: F.greatest(F.col(x) + F.col(y) - 1, F.lit(0.0))
     # written here: the likenesses are long expressions, and each is used several times below
     df = cut(df).withColumn("crossed", both("ha", "ah") > both("hh", "aa"))
@@ -146,62 +159,84 @@ def evidence(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     ).where("similar > 0")
 
 
-def _clip(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-
-
-def _hinge(values: list[Column], signs: list[int], offset: Column | float, weight: float, step: float) -> list[Column]:
-    """Where weight * max(0, signs . x + offset) + step / 2 * |x - values|^2 is least: untouched, moved fully, or on the edge of the hinge."""
-    at = sum((v * s for v, s in zip(values, signs, strict=True)), F.lit(0.0)) + offset
-    n = len(values)
-    move = F.when(at <= 0, 0.0).when(at - n * weight / step >= 0, weight / step).otherwise(at / n)
-    return [v - move * s for v, s in zip(values, signs, strict=True)]
+def _hinge(values: np.ndarray, signs: tuple[int, ...], offset: np.ndarray | float, weight: float, step: float) -> np.ndarray:
+    """Column-wise, where weight * max(0, signs . x + offset) + step / 2 * |x - values|^2 is least: untouched, moved fully, or on the edge of the hinge."""
+    c = np.array(signs, dtype=float)[:, None]
+    at = (values * c).sum(0) + offset
+    move = np.where(at <= 0, 0.0, np.where(at - len(signs) * weight / step >= 0, weight / step, at / len(signs)))
+    return values - move * c
+
+
+#: The variable that each copy of a rule is a copy of: the link (x) or the alias of either side (h, a).
+_COPIES = "xxxxhxahax"
+
+
+def _local_round(pairs: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    """One round for the pairs of whole records: every rule's problem in closed form, the links averaged, the aliases' copies handed out."""
+    rho, n = rules.step, len(pairs)
+    u = np.stack(pairs["u"].to_numpy()) if n else np.zeros((0, len(_COPIES)))
+    now = {"x": pairs["x"].to_numpy(), "h": pairs["th"].to_numpy(), "a": pairs["ta"].to_numpy()}
+    v = np.stack([now[k] for k in _COPIES]) - u.T
+    similar, agree = pairs["similar"].to_numpy(), pairs["agree"].to_numpy()
+    c = np.empty_like(v)
+    c[0] = _hinge(v[0:1] - rules.prior / rho, (-1,), similar, rules.similar, rho)[0]
+    c[1] = _hinge(v[1:2], (1,), -agree, rules.agree, rho)[0]
+    # exclusivity: the links of a record move alike until none is negative and they sum to at most 1
+    codes, record = np.unique(pairs["i"].to_numpy(), return_inverse=True)
+    c[2] = np.maximum(v[2], 0)
+    for _ in range(3):
+        open_ = c[2] > 0
+        over = np.maximum(np.bincount(record, c[2], len(codes)) - 1, 0) / np.maximum(np.bincount(record, open_, len(codes)), 1)
+        c[2] = np.maximum(c[2] - np.where(open_, over[record], 0), 0)
+    c[[3, 4]] = _hinge(v[[3, 4]], (1, -1), 0.0, rules.carry, rho)
+    c[[5, 6]] = _hinge(v[[5, 6]], (1, -1), 0.0, rules.carry, rho)
+    c[[7, 8, 9]] = _hinge(v[[7, 8, 9]], (1, 1, -1), agree - 2, rules.back, rho)
+    total = c + u.T
+    x = np.clip(total[[i for i, k in enumerate(_COPIES) if k == "x"]].mean(0), 0, 1)
+    out = pairs.assign(x=x, ch=total[[4, 7]].mean(0), ca=total[[6, 8]].mean(0))
+    # the duals still lack the consensus of the aliases; it is taken off when they are read again
+    out["u"] = list((total - np.where(np.array(list(_COPIES))[:, None] == "x", x, 0)).T)
+    return out
 
 
 def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
     """i, j, similar, agree, confidence: the values of the links after the rounds of the method.
 
-    A pair's rules are solved in its row and a record's exclusivity over its pairs, which lie in one partition; only the values of the aliases
-    are exchanged between partitions, one average per pair of spellings and round, combined before the shuffle.
+    The pairs of a record lie in one partition, where all its rules are solved; only the values of the aliases are exchanged between
+    partitions, one average per pair of spellings and round, combined before the shuffle.
     """
-    rho = rules.step
-    duals = [*[f"u{n}" for n in range(9)]]
-    state = pairs.repartition("i").withColumn("x", F.least("similar", "agree")).withColumns({"th": F.col("home_like"), "ta": F.col("away_like")}).withColumns({u: F.lit(0.0) for u in duals})
-    state = cut(state)
-    w = Window.partitionBy("i")
-    for turn in range(rules.rounds):
-        c = F.col
-        v = {u: c(n) - c(u) for u, n in zip(duals, ("x", "x", "x", "x", "th", "x", "ta", "th", "ta"), strict=True)}
-        similar = _hinge([v["u0"] - rules.prior / rho], [-1], c("similar"), rules.similar, rho)[0]
-        agree = _hinge([v["u1"]], [1], -c("agree"), rules.agree, rho)[0]
-        carry_h = _hinge([v["u3"], v["u4"]], [1, -1], 0.0, rules.carry, rho)
-        carry_a = _hinge([v["u5"], v["u6"]], [1, -1], 0.0, rules.carry, rho)
-        local = {"c0": similar, "c1": agree, "v2": v["u2"], "c3": carry_h[0], "c4": carry_h[1], "c5": carry_a[0], "c6": carry_a[1]}
-        # both aliases and agreement -> link; the link's copy is averaged in below
-        back = _hinge([c("x") - c("u2"), v["u7"], v["u8"]], [-1, 1, 1], c("agree") - 2, rules.back, rho)
-        local |= {"c7": back[1], "c8": back[2], "b2": back[0]}
-        state = state.withColumns(local)
-        # exclusivity: the copies of a record's links are moved alike until their sum is at most 1
-        over = F.greatest(F.sum(F.greatest(c("b2"), F.lit(0.0))).over(w) - 1, F.lit(0.0)) / F.count("*").over(w)
-        state = state.withColumn("c2", F.greatest(c("b2") - over, F.lit(0.0)))
-        state = state.withColumn("x", _clip((c("c0") + c("u0") + c("c1") + c("u1") + c("c2") + c("u2") + c("c3") + c("u3") + c("c5") + c("u5")) / 5))
-        sides = F.array(
-            F.struct(c("home_key").alias("key"), c("home_like").alias("like"), ((c("c4") + c("u4") + c("c7") + c("u7")) / 2).alias("t")),
-            F.struct(c("away_key").alias("key"), c("away_like").alias("like"), ((c("c6") + c("u6") + c("c8") + c("u8")) / 2).alias("t")),
-        )
+    aliased = [i for i, k in enumerate(_COPIES) if k != "x"]
+    side = {i: "th" if _COPIES[i] == "h" else "ta" for i in aliased}
+    schema = "i bigint, j string, similar double, agree double, home_key bigint, away_key bigint, home_like double, away_like double, x double, th double, ta double, u array<double>, ch double, ca double"
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["i"].iloc[-1]  # the batch may end within a record
+            rest, pdf = pdf[pdf["i"] == last], pdf[pdf["i"] != last]
+            if len(pdf):
+                yield _local_round(pdf.reset_index(drop=True), rules)[columns]
+        if rest is not None and len(rest):
+            yield _local_round(rest.reset_index(drop=True), rules)[columns]
+
+    state = pairs.withColumns({"x": F.least("similar", "agree"), "th": F.col("home_like"), "ta": F.col("away_like"), "u": F.array_repeat(F.lit(0.0), len(_COPIES))})
+    for _ in range(rules.rounds):
+        solved = cut(state.select(*columns[:12]).repartition("i").sortWithinPartitions("i").mapInPandas(rounds, schema))
+        sides = F.array(F.struct(F.col("home_key").alias("key"), F.col("home_like").alias("like"), F.col("ch").alias("t")), F.struct(F.col("away_key").alias("key"), F.col("away_like").alias("like"), F.col("ca").alias("t")))
         # an alias: the average of its copies, drawn to the likeness of the spellings
-        aliases = state.select(F.inline(sides)).groupBy("key").agg(_clip((F.avg("t") + rules.alias * F.max("like")) / (1 + rules.alias)).alias("t"))
+        value = F.least(F.greatest((F.avg("t") + rules.alias * F.max("like")) / (1 + rules.alias), F.lit(0.0)), F.lit(1.0))
+        aliases = cut(solved.select(F.inline(sides)).groupBy("key").agg(value.alias("t")))
+        # a spelling may recur in much of the table: its pairs are salted, and the aliases, one row each, go out to every salt
         salted = aliases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(canonical.SALTS - 1))))
-        salt = F.pmod(F.xxhash64("i", "j"), F.lit(canonical.SALTS)).cast("int")
-        state = state.withColumn("salt", salt)
-        for side, t in (("home", "th"), ("away", "ta")):
-            new = salted.select(F.col("key").alias(f"{side}_key"), "salt", F.col("t").alias(f"new_{t}"))
-            state = state.join(new, [f"{side}_key", "salt"]).drop(t).withColumnRenamed(f"new_{t}", t)
-        target = {"u0": "x", "u1": "x", "u2": "x", "u3": "x", "u4": "th", "u5": "x", "u6": "ta", "u7": "th", "u8": "ta"}
-        state = state.withColumns({u: c(u) + c(f"c{u[1]}") - c(n) for u, n in target.items()}).select(*pairs.columns, "x", "th", "ta", *duals)
-        if turn % 2:
-            state = cut(state.repartition("i"))
-    return state.select("i", "j", "similar", "agree", F.col("x").alias("confidence"))
+        state = solved.drop("th", "ta").withColumn("salt", F.pmod(F.xxhash64("i", "j"), F.lit(canonical.SALTS)).cast("int"))
+        for key, t in (("home_key", "th"), ("away_key", "ta")):
+            state = state.join(salted.select(F.col("key").alias(key), "salt", F.col("t").alias(t)).hint("shuffle_hash"), [key, "salt"])
+        state = state.withColumn("u", F.array(*[F.col("u")[i] - (F.col(side[i]) if i in side else F.lit(0.0)) for i in range(len(_COPIES))]))
+    return solved.select("i", "j", "similar", "agree", F.col("x").alias("confidence"))
 
 
 def link(left: DataFrame, right: DataFrame, common: list[str], rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -214,12 +249,15 @@ def link(left: DataFrame, right: DataFrame, common: list[str], rules: Rules = Ru
     """
     words = F.array(*[F.lit(w) for w in common]).cast("array<string>")
     content = ["home_text", "away_text", "day", "home_goals", "away_goals"]
-    rows = left.where("day is not null and home_text is not null and away_text is not null").select("i", "season", *content)
+    # written first: what the dates and names come from is not computed again with every step
+    rows = cut(left.where("day is not null and home_text is not null and away_text is not null").select("i", "season", *content))
     # repeated records are one
     single = rows.groupBy(*content, "season").agg(F.min("i").alias("rep"))
-    parts = lambda df: df.withColumns({"home": _parts(F.col("home_text"), words), "away": _parts(F.col("away_text"), words)})
-    l = cut(parts(single.withColumnRenamed("rep", "i")))  # noqa: E741
-    r = cut(parts(right.where("home_text is not null and away_text is not null").select("j", "season", *content).distinct()))
+    single = cut(single)
+    others = cut(right.where("home_text is not null and away_text is not null").select("j", "season", *content).distinct())
+    texts = {"home": "home_text", "away": "away_text"}
+    l = cut(_with_parts(single.withColumnRenamed("rep", "i"), texts, words))  # noqa: E741
+    r = cut(_with_parts(others, texts, words))
     known = cut(evidence(l, r, cut(candidates(l, r))))
     pairs = cut(known.groupBy("i", "j").agg(F.max_by(F.struct("similar", "agree", "home_key", "away_key", "home_like", "away_like"), F.struct("similar", "agree")).alias("e")).select("i", "j", "e.*"))
     solved = solve(pairs, rules).where((F.col("confidence") >= rules.accept) & (F.col("similar") >= rules.least_similar))
