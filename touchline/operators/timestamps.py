@@ -9,6 +9,7 @@ no span and one that it repeats lies in two; both come out as unresolved. Nothin
 from __future__ import annotations
 
 import datetime as dt
+import json
 import zoneinfo
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,6 @@ SERIAL_ORIGIN = -25569
 #: Local years the zone table holds; local times outside it come out as unresolved.
 YEARS = (1970, 2099)
 
-FIELDS = ("y", "mo", "d", "h", "mi", "s", "f", "oh", "om", "epoch", "serial")
 _MASK_STEPS = (
     (rf"\b({MONTH_WORDS})\b\.?", "n"),
     (rf"\b({WEEKDAY_WORDS})\b\.?", "w"),
@@ -69,73 +69,55 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[\\u2010-\\u2015\\u2212]", "-"), "[\\s\\u00a0\\u2007\\u202f]+", " "))
 
 
+# Shapes of the three parts of a mask; a full timestamp is a date and a clock joined by t or a blank.
+_DATE = r"(?:w,? )?(?:[dD][- ]n[- ][Dy]|n [dD],? [Dy])|[dD][-/.][dD][-/.][Dy]|y[-/.][dD][-/.][dD]|c"
+_CLOCK = r"[dD]:D(?::D(?:\.f)?)?(?: ?p)?|[dD]\.D(?: ?p)?|[dD]hD|y|g"
+_ZONE = r" ?(?:a|[-+](?:D:D|D|y))"
+_WHOLE = rf"^(?:({_DATE})(?:([t ])({_CLOCK})({_ZONE})?)?|({_CLOCK})({_ZONE})?|(e)|([SMUN]))$"
+
+
 @lru_cache(1)
-def parser_rules() -> tuple[tuple, ...]:
-    """(mask, kind, slashed, sign, number of am/pm word, of month word, of zone word, (run, start, length) of each digit field).
+def parsers() -> tuple[dict[str, list[int]], dict[str, list[int]], dict[str, list[int]]]:
+    """The parsers of date, clock and zone masks, built from layouts: for each mask where its fields lie.
 
-    Built from date, time and zone layouts, so that every combination of them has its one parser.
+    A field is a number of the digit run (0: none), the start and the length in it. Dates: year, month, day, then the number of the month word, whether
+    slashed, how many runs and words the date takes. Clocks: hour, minute, second, fraction, the number of the am/pm word, runs, words. Zones: hours, minutes,
+    the number of the zone word, the sign.
     """
-    dates: dict[str, dict] = {}
-    for a, b in product("dD", "dD"):
-        for sep in "-/.":
-            dates[f"y{sep}{a}{sep}{b}"] = {"y": (0, 1, 4), "mo": (1, 1, 2), "d": (2, 1, 2), "runs": 3}
-            for y in "Dy":
-                dates[f"{a}{sep}{b}{sep}{y}"] = {"d": (0, 1, 2), "mo": (1, 1, 2), "y": (2, 1, 4), "runs": 3, "slashed": sep == "/"}
-    dates["c"] = {"y": (0, 1, 4), "mo": (0, 5, 2), "d": (0, 7, 2), "runs": 1}
+    none = [0, 0, 0]
+    dates: dict[str, list[int]] = {"c": [1, 1, 4, 1, 5, 2, 1, 7, 2, 0, 0, 1, 0]}
+    for a, b, sep in product("dD", "dD", "-/."):
+        dates[f"y{sep}{a}{sep}{b}"] = [1, 1, 4, 2, 1, 2, 3, 1, 2, 0, 0, 3, 0]
+        for y in "Dy":
+            dates[f"{a}{sep}{b}{sep}{y}"] = [3, 1, 4, 2, 1, 2, 1, 1, 2, 0, int(sep == "/"), 3, 0]
     for a, y, lead in product("dD", "Dy", ("", "w ", "w, ")):
-        words = {"month": 1 + bool(lead), "words": 1 + bool(lead)}
-        for sep in ("-", " "):
-            dates[f"{lead}{a}{sep}n{sep}{y}"] = {"d": (0, 1, 2), "y": (1, 1, 4), "runs": 2} | words
-        for sep in (", ", " "):
-            dates[f"{lead}n {a}{sep}{y}"] = {"d": (0, 1, 2), "y": (1, 1, 4), "runs": 2} | words
-    times: dict[str, dict] = {}
-    for h in "dD":
-        for sep in (":", ".", "h"):
-            times[f"{h}{sep}D"] = {"h": (0, 1, 2), "mi": (1, 1, 2), "runs": 2, "words": sep == "h"}
-        times[f"{h}:D:D"] = {"h": (0, 1, 2), "mi": (1, 1, 2), "s": (2, 1, 2), "runs": 3}
-        times[f"{h}:D:D.f"] = {"h": (0, 1, 2), "mi": (1, 1, 2), "s": (2, 1, 2), "f": (3, 1, 9), "runs": 4}
-    times["y"] = {"h": (0, 1, 2), "mi": (0, 3, 2), "runs": 1}
-    times["g"] = {"h": (0, 1, 2), "mi": (0, 3, 2), "s": (0, 5, 2), "runs": 1}
-    times |= {f"{m}{gap}p": r | {"pm": 1 + int(r.get("words", 0)), "words": 1 + int(r.get("words", 0))} for m, r in times.items() if m[0] in "dD" and "h" not in m for gap in ("", " ")}
-    zones: dict[str, dict] = {"": {}}
+        words = 1 + bool(lead)
+        for mask in (f"{a}-n-{y}", f"{a} n {y}", f"n {a}, {y}", f"n {a} {y}"):
+            dates[lead + mask] = [2, 1, 4, *none, 1, 1, 2, words, 0, 2, words]
+    clocks: dict[str, list[int]] = {"y": [1, 1, 2, 1, 3, 2, *none, *none, 0, 1, 0], "g": [1, 1, 2, 1, 3, 2, 1, 5, 2, *none, 0, 1, 0]}
+    for h, after in product("dD", ("", "p", " p")):
+        two, pm = [1, 1, 2, 2, 1, 2], int(bool(after))
+        clocks[f"{h}:D{after}"] = clocks[f"{h}.D{after}"] = [*two, *none, *none, pm, 2, pm]
+        clocks[f"{h}:D:D{after}"] = [*two, 3, 1, 2, *none, pm, 3, pm]
+        clocks[f"{h}:D:D.f{after}"] = [*two, 3, 1, 2, 4, 1, 9, pm, 4, pm]
+        clocks[f"{h}hD"] = [*two, *none, *none, 0, 2, 1]
+    zones: dict[str, list[int]] = {}
     for gap in ("", " "):
-        zones[f"{gap}a"] = {"zone": 1}
-        for sign in "+-":
-            zones |= {
-                f"{gap}{sign}D": {"oh": (0, 1, 2), "sign": sign},
-                f"{gap}{sign}y": {"oh": (0, 1, 2), "om": (0, 3, 2), "sign": sign},
-                f"{gap}{sign}D:D": {"oh": (0, 1, 2), "om": (1, 1, 2), "sign": sign},
-            }
-    clocks: dict[str, dict] = {}
-    for (tm, t), (zm, z) in product(times.items(), zones.items()):
-        runs, words = t["runs"], int(t.get("words", 0))
-        moved = {k: (v[0] + runs, *v[1:]) for k, v in z.items() if k in FIELDS}
-        clocks[tm + zm] = t | moved | {"sign": z.get("sign", ""), "zone": words + z["zone"] if "zone" in z else 0, "words": words + ("zone" in z)}
-    rules: dict[str, tuple] = {}
-
-    def add(mask: str, kind: str, r: dict) -> None:
-        places = tuple((r[f][0] + 1, r[f][1], r[f][2]) if f in r else (0, 0, 0) for f in FIELDS)
-        rules.setdefault(mask, (mask, kind, bool(r.get("slashed")), -1 if r.get("sign") == "-" else 1, r.get("pm", 0), r.get("month", 0), r.get("zone", 0), *places))
-
-    for mask, r in dates.items():
-        add(mask, "date", r)
-    add("e", "serial", {"serial": (0, 1, 5)})
-    for mask, digits in (("S", 10), ("M", 13), ("U", 16), ("N", 19)):
-        add(mask, "epoch", {"epoch": (0, 1, digits)})
-    for mask, r in clocks.items():
-        add(mask, "clock", r)
-    for (dm, d), (cm, c), sep in product(dates.items(), clocks.items(), ("t", " ")):
-        shift, skip = d["runs"], int(d.get("words", 0)) + (sep == "t")
-        moved = {k: (v[0] + shift, *v[1:]) if k in FIELDS else v + skip if k in ("pm", "zone") and v else v for k, v in c.items()}
-        add(dm + sep + cm, "instant", {k: v for k, v in d.items() if k in (*FIELDS, "slashed", "month")} | {k: v for k, v in moved.items() if k in (*FIELDS, "pm", "zone", "sign")})
-    return tuple(rules.values())
-
-
-def _rule_table(spark: SparkSession, prefix: str) -> DataFrame:
-    place = "struct<run:int,start:int,len:int>"
-    schema = "mask string, kind string, slashed boolean, sign int, pm int, month int, zone int, " + ", ".join(f"{f} {place}" for f in FIELDS)
-    rules = spark.createDataFrame(list(parser_rules()), schema)
-    return F.broadcast(rules.select(F.col("mask").alias(f"{prefix}mask"), F.struct(*rules.columns[1:]).alias(f"{prefix}rule")))
+        zones[f"{gap}a"] = [*none, *none, 1, 1]
+        for sign, value in (("+", 1), ("-", -1)):
+            zones |= {f"{gap}{sign}D": [1, 1, 2, *none, 0, value], f"{gap}{sign}y": [1, 1, 2, 1, 3, 2, 0, value], f"{gap}{sign}D:D": [1, 1, 2, 2, 1, 2, 0, value]}
+    return dates, clocks, zones
+
+
+def _table(rules: dict[str, list[int]]) -> Column:
+    """A fixed table as a constant map."""
+    return F.from_json(F.lit(json.dumps(rules)), "map<string,array<int>>")
+
+
+def kind_of(mask: Column) -> Column:
+    """date, clock, instant, serial or epoch for a mask that has a parser, else null."""
+    part = lambda i: F.regexp_extract(mask, _WHOLE, i) != ""
+    return F.when(part(1), F.when(part(3), "instant").otherwise("date")).when(part(5), "clock").when(part(7), "serial").when(part(8), "epoch")
 
 
 def _spans_of_zone(name: str, first: int, last: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -207,56 +189,77 @@ def zone_version() -> str:
 def _parsed(df: DataFrame, text: str, prefix: str, month_first: Column) -> DataFrame:
     """Adds ``{prefix}kind``, day (days since 1970), clock (microseconds of the day), offset (seconds), epoch (microseconds), bad."""
     p = prefix
-    spark = df.sparkSession
-    df = df.withColumn(f"{p}mask", shape_mask(F.col(text)))
-    df = df.join(_rule_table(spark, p), f"{p}mask", "left").drop(f"{p}mask")
+    dates, clocks, zones = parsers()
+    c = lambda name: F.col(f"{p}{name}")
     clean = F.upper(tidy(F.col(text)))
-    df = df.withColumn(f"{p}runs", F.regexp_extract_all(clean, F.lit("[0-9]+"), F.lit(0))).withColumn(f"{p}words", F.regexp_extract_all(clean, F.lit("(?:[AP]\\.M|[A-Z]+)"), F.lit(0)))
-    rule = F.col(f"{p}rule")
-
-    def piece(f: str) -> Column:
-        place = rule[f]
-        return F.when(place["run"] > 0, F.substr(F.try_element_at(F.col(f"{p}runs"), place["run"]), place["start"], place["len"]))
-
-    def word(kind: str) -> Column:
-        return F.when(rule[kind] > 0, F.try_element_at(F.col(f"{p}words"), rule[kind]))
+    df = df.withColumn(f"{p}mask", shape_mask(F.col(text)))
+    group = lambda i: F.regexp_extract(c("mask"), _WHOLE, i)
+    # the mask's parts, each mapped to its parser
+    df = df.withColumns({f"{p}kind": kind_of(c("mask")), f"{p}sep": group(2), f"{p}clockmask": F.concat(group(3), group(5)), f"{p}zonemask": F.concat(group(4), group(6)), f"{p}datemask": group(1)})
+    df = df.withColumns(
+        {
+            f"{p}date": F.try_element_at(_table(dates), c("datemask")),
+            f"{p}time": F.try_element_at(_table(clocks), c("clockmask")),
+            f"{p}zonerule": F.try_element_at(_table(zones), c("zonemask")),
+            f"{p}runs": F.regexp_extract_all(clean, F.lit("[0-9]+"), F.lit(0)),
+            f"{p}words": F.regexp_extract_all(clean, F.lit("(?:[AP]\\.M|[A-Z]+)"), F.lit(0)),
+        }
+    )
+    # where the clock's and the zone's own runs and words begin
+    runs0, words0 = F.coalesce(c("date")[11], F.lit(0)), F.coalesce(c("date")[12], F.lit(0)) + (c("sep") == "t").cast("int")
+    runs1, words1 = runs0 + F.coalesce(c("time")[13], F.lit(0)), words0 + F.coalesce(c("time")[14], F.lit(0))
+    df = df.withColumns({f"{p}r0": runs0, f"{p}w0": words0, f"{p}r1": runs1, f"{p}w1": words1})
+
+    def piece(rule: Column, at: int, base: Column) -> Column:
+        return F.when(rule[at] > 0, F.substr(F.try_element_at(c("runs"), rule[at] + base), rule[at + 1], rule[at + 2]))
+
+    def word(number: Column, base: Column) -> Column:
+        return F.when(number > 0, F.try_element_at(c("words"), number + base))
+
+    zero = F.lit(0)
+    date, time, zone = c("date"), c("time"), c("zonerule")
+    digits = {
+        "y": piece(date, 0, zero), "mo": piece(date, 3, zero), "d": piece(date, 6, zero),
+        "h": piece(time, 0, c("r0")), "mi": piece(time, 3, c("r0")), "s": piece(time, 6, c("r0")), "f": piece(time, 9, c("r0")),
+        "oh": piece(zone, 0, c("r1")), "om": piece(zone, 3, c("r1")),
+        "count": F.when(c("kind").isin("epoch", "serial"), F.try_element_at(c("runs"), F.lit(1))),
+    }
 
     def number(f: str) -> Column:
-        return piece(f).cast("int")
+        return digits[f].cast("int")
 
     months = F.array(*[F.lit(m.upper()) for m in MONTHS])
-    year = F.when(F.length(piece("y")) <= 2, number("y") + 2000).otherwise(number("y"))
-    swap = rule["slashed"] & month_first
+    year = F.when(F.length(digits["y"]) <= 2, number("y") + 2000).otherwise(number("y"))
+    swap = F.coalesce(date[10] == 1, F.lit(False)) & month_first
     numeric_month = F.when(swap, number("d")).otherwise(number("mo"))
-    month = F.when(rule["month"] > 0, F.array_position(months, F.substring(word("month"), 1, 3)).cast("int")).otherwise(numeric_month)
+    month = F.when(date[9] > 0, F.array_position(months, F.substring(word(date[9], zero), 1, 3)).cast("int")).otherwise(numeric_month)
     day = F.when(swap, number("mo")).otherwise(number("d"))
-    df = df.withColumns({f"{p}y": year, f"{p}mo": month, f"{p}d": day, f"{p}hh": number("h"), f"{p}ap": F.substring(word("pm"), 1, 1)})
-    c = lambda name: F.col(f"{p}{name}")
+    df = df.withColumns({f"{p}y": year, f"{p}mo": month, f"{p}d": day, f"{p}hh": number("h"), f"{p}ap": F.substring(word(time[12], c("w0")), 1, 1)})
     leap = ((c("y") % 4 == 0) & (c("y") % 100 != 0)) | (c("y") % 400 == 0)
     last = F.when(c("mo") == 2, F.when(leap, 29).otherwise(28)).when(c("mo").isin(4, 6, 9, 11), 30).otherwise(31)
     real = c("mo").between(1, 12) & c("d").between(1, last) & (c("y") >= 1)
     civil = F.unix_date(F.make_date(F.when(real, c("y")), F.when(real, c("mo")), F.when(real, c("d"))))
-    serial = number("serial") + SERIAL_ORIGIN
+    serial = F.when(c("kind") == "serial", number("count") + SERIAL_ORIGIN)
     hour = F.when(c("ap").isNull(), F.when(c("hh") <= 23, c("hh"))).when(c("hh").between(1, 12), c("hh") % 12 + F.when(c("ap") == "P", 12).otherwise(0))
     minute, second = number("mi"), F.coalesce(number("s"), F.lit(0))
-    micro = F.coalesce(F.rpad(F.substring(piece("f"), 1, 6), 6, "0").cast("int"), F.lit(0))
+    micro = F.coalesce(F.rpad(F.substring(digits["f"], 1, 6), 6, "0").cast("int"), F.lit(0))
     clock = F.when((minute <= 59) & (second <= 59), (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000 + micro)
     abbreviations = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    written = F.when((number("oh") <= 18) & (F.coalesce(number("om"), F.lit(0)) <= 59), rule["sign"] * (number("oh") * 3600 + F.coalesce(number("om"), F.lit(0)) * 60)).otherwise(F.try_element_at(abbreviations, word("zone")) * 60)
-    has_zone = (rule["oh"]["run"] > 0) | (rule["zone"] > 0)
-    count = piece("epoch").cast("decimal(20,0)")
-    scale = F.when(F.length(piece("epoch")) <= 10, F.lit(1_000_000)).when(F.length(piece("epoch")) == 13, F.lit(1_000)).otherwise(F.lit(1))
-    epoch = F.when(F.length(piece("epoch")) == 19, F.floor(count / 1000)).otherwise(count * scale).cast("long")
+    minutes = number("oh") * 60 + F.coalesce(number("om"), zero)
+    written = F.when((number("oh") <= 18) & (F.coalesce(number("om"), zero) <= 59), zone[7] * minutes * 60).otherwise(F.try_element_at(abbreviations, word(zone[6], c("w1"))) * 60)
+    count = F.when(c("kind") == "epoch", digits["count"]).cast("decimal(20,0)")
+    size = F.length(digits["count"])
+    scale = F.when(size <= 10, F.lit(1_000_000)).when(size == 13, F.lit(1_000)).otherwise(F.lit(1))
+    epoch = F.when(size == 19, F.floor(count / 1000)).otherwise(count * scale).cast("long")
     return df.withColumns(
         {
-            f"{p}kind": rule["kind"],
-            f"{p}day": F.when(rule["kind"] == "serial", serial).otherwise(civil),
+            f"{p}day": F.when(c("kind") == "serial", serial).otherwise(civil),
             f"{p}clock": clock,
-            f"{p}zoned": F.coalesce(has_zone, F.lit(False)),
+            f"{p}zoned": c("zonemask") != "",
             f"{p}offset": written,
             f"{p}epoch": epoch,
         }
-    ).drop(*[f"{p}{x}" for x in ("rule", "runs", "words", "y", "mo", "d", "hh", "ap")])
+    ).drop(*[f"{p}{x}" for x in ("mask", "sep", "clockmask", "zonemask", "datemask", "date", "time", "zonerule", "runs", "words", "r0", "w0", "r1", "w1", "y", "mo", "d", "hh", "ap")])
 
 
 def _iso_instant(us: Column) -> Column:
@@ -274,6 +277,11 @@ def _iso_instant(us: Column) -> Column:
     )
 
 
+def _sealed(df: DataFrame, columns: list[str], out: str, value: Column) -> DataFrame:
+    """``columns`` and ``value`` as ``out``, through a generator: a filter on ``out`` would else be pushed below the parsing and repeat it in full."""
+    return df.select(*columns, F.explode(F.array(value)).alias(out))
+
+
 def normalise_days(df: DataFrame, text: str, out: str, month_first: Column | None = None) -> DataFrame:
     """Adds ``out``: the day written in column ``text`` as yyyy-MM-dd, or UNRESOLVED.
 
@@ -283,7 +291,7 @@ def normalise_days(df: DataFrame, text: str, out: str, month_first: Column | Non
     month_first = F.lit(False) if month_first is None else F.coalesce(month_first, F.lit(False))
     parsed = _parsed(df, text, "__d", month_first)
     day = F.when(F.col("__dkind").isin("date", "serial", "instant"), F.col("__dday"))
-    return parsed.withColumn(out, F.coalesce(F.date_from_unix_date(day).cast("string"), F.lit(UNRESOLVED))).select(*df.columns, out)
+    return _sealed(parsed, df.columns, out, F.coalesce(F.date_from_unix_date(day).cast("string"), F.lit(UNRESOLVED)))
 
 
 def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Column], day_text: str | None = None, month_first: Column | None = None) -> DataFrame:
@@ -311,11 +319,10 @@ def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Col
     hits = F.filter(F.col("__spans"), lambda s: (s["a"] * 1_000_000 <= F.col("__local")) & (F.col("__local") < s["b"] * 1_000_000))
     offset = F.when(F.col("__czoned"), F.col("__coffset")).otherwise(F.when(F.size(hits) == 1, F.try_element_at(hits, F.lit(1))["o"]))
     instant = F.when(F.col("__ckind") == "epoch", F.col("__cepoch")).otherwise(F.col("__local") - offset.cast("long") * 1_000_000)
-    return df.withColumn(out, F.coalesce(_iso_instant(instant), F.lit(UNRESOLVED))).select(*columns, out)
+    return _sealed(df, columns, out, F.coalesce(_iso_instant(instant), F.lit(UNRESOLVED)))
 
 
 def unknown_shapes(df: DataFrame, text: str) -> DataFrame:
     """shape, rows: the shapes of ``text`` that have no parser, for extending the table; counted with a map-side combine."""
     shapes = df.select(shape_mask(F.col(text)).alias("shape")).groupBy("shape").agg(F.count("*").alias("rows"))
-    known = df.sparkSession.createDataFrame([(r[0],) for r in parser_rules()], "shape string")
-    return shapes.join(F.broadcast(known), "shape", "left_anti")
+    return shapes.where(kind_of(F.col("shape")).isNull())
