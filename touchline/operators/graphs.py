@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from touchline.session import cut
 
 
-def resolve_chains(edges: DataFrame, source: str, target: str, rounds: int = 40) -> DataFrame:
+def resolve_chains(edges: DataFrame, source: str, target: str) -> DataFrame:
     """source, final, hops: where following target from source ends; chains that return to themselves have a null final.
 
-    Pointers are doubled, so a chain of length n takes log n joins. Each source has one target; null sources and targets are left out.
+    Pointers are doubled, so a chain of n rows takes log n joins, and what still moves after that many is a cycle. Each source has one
+    target (the least); null sources and targets are left out.
     """
     now = cut(edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("a")).agg(F.min(target).alias("b")).withColumn("hops", F.lit(1).cast("long")))
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length() + 1):
         nxt = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("hops").alias("more"))
-        moved = now.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b2"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("c").isNotNull().alias("moved"))
-        moved = cut(moved)
+        moved = cut(now.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b2"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("c").isNotNull().alias("moved")))
         now = moved.select("a", F.col("b2").alias("b"), "hops")
         if not moved.where("moved").limit(1).count():
             break
-        if moved.where(F.col("moved") & (F.col("hops") <= 2**rounds)).limit(1).count() == 0:
-            break
     # what still moves, or points at something that moves, is a cycle or leads into one
     starts = now.select(F.col("a").alias("b")).distinct()
     looped = now.join(starts, "b", "left_semi").select("a").withColumn("loop", F.lit(True))

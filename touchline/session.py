@@ -37,9 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so later steps survive a lost executor without recomputing what came before."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint, so later steps survive a lost executor without recomputing what came before.
+
+    The size estimate is cut as well: a checkpoint keeps the estimate of the plan it replaces, and in a loop of joins those multiply
+    until the planner works on numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    try:
+        rows = kept._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    except (AttributeError, TypeError):  # another session type: the estimates stay
+        return kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
