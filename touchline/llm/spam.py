@@ -96,7 +96,8 @@ def page_shapes(pages: DataFrame, key: str, text: str) -> DataFrame:
     stock = (F.size("sentences") >= 3) & (F.size("short") > 0) & (((F.col("median") <= 6) & (F.col("fresh") <= 0.42)) | ((F.col("median") <= 7) & (F.col("fresh") <= 0.25)))
     chars = _sum(F.col("x"), lambda s: s["n"])
     out = {k: _sum(of(k), lambda s: s["n"]) for k in ("link", "tag", "list", "run")}
-    out["phrase"] = F.when(F.col("line_words") <= 6.2, _sum(F.filter("lines", lambda s: s["w"] <= 6), lambda s: s["n"])).otherwise(0)
+    # one or two short lines are no string of phrases
+    out["phrase"] = F.when((F.size("lines") >= 3) & (F.col("line_words") <= 6.2), _sum(F.filter("lines", lambda s: s["w"] <= 6), lambda s: s["n"])).otherwise(0)
     out["stock"] = F.when(stock, _sum(F.filter("sentences", lambda s: (s["w"] <= 10) | (s["fresh"] <= 0.7)), lambda s: s["n"])).otherwise(0)
     df = df.select(key, chars.alias("chars"), *[v.alias(k) for k, v in out.items()])
     return df.withColumn("content", F.col("chars") - sum((F.col(k) for k in out), F.lit(0)))
