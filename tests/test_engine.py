@@ -205,3 +205,29 @@ def test_live_states(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.verdict for r in spark.sql("select verdict from live").collect()] == ["NEWER", "NEWER", "STALE", "SAME", "CONFLICT", "NEWER"]
+
+
+def test_feeds(spark):
+    from touchline.sources import feeds
+
+    doc = json.dumps({"response": [{"fixture": {"id": 7, "date": "2024-01-02T15:00:00+00:00", "status": {"short": "FT"}}, "league": {"id": 3}, "teams": {"home": {"name": "A"}, "away": {"name": "B"}}, "goals": {"home": 2, "away": "x"}}, {"fixture": {"id": 8}, "teams": {"home": {"name": "C"}}}]})
+    docs = spark.createDataFrame([("a", doc), ("b", "{broken"), ("c", "{}"), ("d", None), ("e", '{"response": []}')], "id string, raw string")
+    rows = {(r.id, r.place): r for r in feeds.observations(docs, "id", "raw", feeds.REGISTRY["envelope_api", "fixtures"]).collect()}
+    assert {k: r.finding for k, r in rows.items()} == {("a", 0): None, ("a", 1): "missing_away_name", ("b", None): "malformed", ("c", None): "no_records", ("d", None): "malformed"}
+    first = rows["a", 0]
+    assert (first.native_id, first.home_name, first.home_goals, first.away_goals) == ("7", "A", 2, None)
+    shots = spark.createDataFrame([("s", '[{"id": "1", "xG": "0.25", "X": 0.9, "minute": 12}]')], "id string, raw string")
+    assert feeds.observations(shots, "id", "raw", feeds.REGISTRY["shot_site", "shots"]).first().xg == 0.25
+    assert all(feeds.observations(docs.limit(0), "id", "raw", f).count() == 0 for f in feeds.FEEDS)
+
+
+def test_gates_leaks_and_regression(spark):
+    m = spark.createDataFrame([("ece", 0.01), ("ece", 0.03), ("ece", 0.5), ("other", 0.1), ("ece", None)], "metric string, value double")
+    assert [r.verdict for r in scoring.gate(m, {"ece": (0.02, 0.05)}).collect()] == ["PASS", "WARN", "FAIL", "UNKNOWN", "UNKNOWN"]
+    docs = [(1, json.dumps({"form": {"known_at": 5}}), 9), (2, json.dumps({"form": {"known_at": 10}}), 9), (3, json.dumps({"Outcome": {"known_at": 1}}), 9), (4, "broken", 9)]
+    snaps = spark.createDataFrame(docs, "id int, doc string, cutoff long")
+    assert {r.id: r.finding for r in scoring.leaks(snaps, "id", "doc", "cutoff").collect()} == {2: "known_after_cutoff", 3: "outcome_key", 4: "malformed"}
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": x, "y": rng.poisson(np.exp(0.2 + 0.3 * x))}))
+    assert {r.term: r.coefficient for r in models.fit_poisson(df, "g", "y", ["x"]).collect()} == {"intercept": pytest.approx(0.2, abs=0.05), "x": pytest.approx(0.3, abs=0.03)}

@@ -118,3 +118,19 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
             v1, w1, n1 = blocks.pop()
             blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks])
+
+
+def fit_poisson(df: DataFrame, group: str, response: str, features: list[str], ridge: float = 1e-6) -> DataFrame:
+    """group, term, coefficient: a Poisson regression with intercept per group, fitted on the distinct rows of its features.
+
+    Spark first sums responses and counts per distinct combination of feature values, which are sufficient for the fit.
+    """
+    kind = dict(df.dtypes)[group]
+    cells = df.groupBy(group, *features).agg(F.count("*").alias("n"), F.sum(response).alias("y"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.c_[np.ones(len(pdf)), pdf[features].to_numpy(float)]
+        beta = poisson_irls(x, (pdf["y"] / pdf["n"]).to_numpy(float), pdf["n"].to_numpy(float), ridge)
+        return pd.DataFrame({group: pdf[group].iloc[0], "term": ["intercept", *features], "coefficient": beta})
+
+    return cells.groupBy(group).applyInPandas(run, f"{group} {kind}, term string, coefficient double")

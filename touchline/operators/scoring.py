@@ -88,3 +88,21 @@ def bootstrap_intervals(df: DataFrame, group: str, order: str, value: str, repli
 
     kind = dict(df.dtypes)[group]
     return df.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, low double, high double, n long")
+
+
+def gate(metrics: DataFrame, thresholds: dict[str, tuple[float, float]], name: str = "metric", value: str = "value") -> DataFrame:
+    """metrics with a verdict per row: PASS at or below the first threshold of its metric, WARN at or below the second, else FAIL; metrics without thresholds and null values are UNKNOWN."""
+    bounds = F.create_map(*[x for k, (a, b) in thresholds.items() for x in (F.lit(k), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))])
+    t = F.try_element_at(bounds, F.col(name))
+    v = F.col(value)
+    return metrics.withColumn("verdict", F.when(t.isNull() | v.isNull() | F.isnan(v), "UNKNOWN").when(v <= t["a"], "PASS").when(v <= t["b"], "WARN").otherwise("FAIL"))
+
+
+def leaks(snapshots: DataFrame, key: str, document: str, cutoff: str, outcome_keys: tuple[str, ...] = ("home_goals", "away_goals", "outcome", "result")) -> DataFrame:
+    """key, finding of feature snapshots (JSON objects of features, each with known_at in seconds) that hold an outcome or something known after the cutoff."""
+    features = F.from_json(F.col(document), "map<string,struct<known_at:bigint>>")
+    names = F.map_keys(features)
+    outcome = F.exists(names, lambda k: F.lower(k).isin(*outcome_keys))
+    late = F.exists(F.map_values(features), lambda v: F.coalesce(v["known_at"] > F.col(cutoff), F.lit(False)))
+    finding = F.when(features.isNull(), "malformed").when(outcome, "outcome_key").when(late, "known_after_cutoff")
+    return snapshots.select(key, finding.alias("finding")).where("finding is not null")

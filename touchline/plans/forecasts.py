@@ -358,3 +358,46 @@ def ensemble_weights(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame({"model": ["grid", "base rate"], "weight": w})
 
     return g.groupBy("one").applyInPandas(fit, "model string, weight double")
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT match_id, ph, CASE WHEN ph >= pd AND ph >= pa THEN 'HOME' WHEN pd >= pa THEN 'DRAW' ELSE 'AWAY' END AS pick FROM s), v AS (SELECT match_id, count(*) AS models, count(DISTINCT pick) AS picks, max(ph) - min(ph) AS spread FROM t GROUP BY match_id),
+m AS (SELECT match_id, max(n) AS top FROM (SELECT match_id, pick, count(*) AS n FROM t GROUP BY ALL) GROUP BY match_id) SELECT match_id, models, round(spread, 6) AS spread, CASE WHEN top = models AND spread <= 0.08 THEN 'HIGH' WHEN top / models >= 0.67 AND spread <= 0.15 THEN 'MODERATE' WHEN top / models >= 0.5 THEN 'MIXED' ELSE 'LOW' END AS agreement FROM v JOIN m USING (match_id)""")
+def model_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the forecasts of a match agree: share of the commonest pick, and the spread of the home probability; one aggregate."""
+    pick = scoring.first_argmax([F.col("ph"), F.col("pd"), F.col("pa")], CLASSES)
+    s = scored(spark, sf).select("match_id", "ph", pick.alias("pick"))
+    v = s.groupBy("match_id").agg(F.count("*").alias("models"), (F.max("ph") - F.min("ph")).alias("spread"), *[F.count_if(F.col("pick") == c).alias(c) for c in CLASSES])
+    share = F.greatest(*CLASSES) / F.col("models")
+    agreement = F.when((share == 1) & (F.col("spread") <= 0.08), "HIGH").when((share >= 0.67) & (F.col("spread") <= 0.15), "MODERATE").when(share >= 0.5, "MIXED").otherwise("LOW")
+    return v.select("match_id", "models", F.round("spread", 6).alias("spread"), agreement.alias("agreement"))
+
+
+_RESIDUAL = f"""{CLEAN}, p AS (SELECT *, least(home, away) AS a, greatest(home, away) AS b FROM facts), j AS (SELECT x.match_id, x.ko, y.ko AS yko, CASE WHEN y.home = x.home THEN 1.0 ELSE 0.9 END AS orientation, CASE WHEN y.home = x.home THEN y.hg - y.ag ELSE y.ag - y.hg END AS margin, row_number() OVER (PARTITION BY x.match_id ORDER BY y.ko DESC, y.match_id DESC) AS i
+ FROM p x JOIN p y ON x.a = y.a AND x.b = y.b AND y.ko < x.ko AND y.ko >= x.ko - 730 * {DAY} AND y.known <= x.ko), w AS (SELECT match_id, pow(2, -((ko - yko) / {DAY}.0) / 180) * exp(-greatest(0, ((coalesce(lag(yko) OVER (PARTITION BY match_id ORDER BY i), ko) - yko) / {DAY}.0) - 270) / 365) * orientation AS w, greatest(-1.5, least(1.5, margin)) AS m FROM j WHERE i <= 5)"""
+
+
+@query(f"""{_RESIDUAL} SELECT match_id, count(*) AS meetings, round(sum(w * m) / sum(w), 6) AS residual, round(least(1, sum(w) / 1.5), 6) AS relevance FROM w GROUP BY match_id HAVING count(*) >= 2""")
+def residual_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """Prior from the last meetings of a pair: decayed, discounted for long breaks and swapped sides, clipped."""
+    m = clean_facts(spark, sf).select("match_id", "ko", "known", "home", "away", "hg", "ag", F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"))
+    x, y = m.alias("x"), m.alias("y")
+    c = F.col
+    joined = x.join(y, [c("x.a") == c("y.a"), c("x.b") == c("y.b"), c("y.ko") < c("x.ko"), c("y.ko") >= c("x.ko") - 730 * DAY, c("y.known") <= c("x.ko")])
+    same = c("y.home") == c("x.home")
+    margin = F.when(same, c("y.hg") - c("y.ag")).otherwise(c("y.ag") - c("y.hg"))
+    order = Window.partitionBy("match_id").orderBy(F.desc("yko"), F.desc("yid"))
+    j = joined.select(c("x.match_id").alias("match_id"), c("x.ko").alias("ko"), c("y.ko").alias("yko"), c("y.match_id").alias("yid"), F.when(same, 1.0).otherwise(0.9).alias("o"), margin.alias("m"))
+    j = j.withColumns({"i": F.row_number().over(order), "later": F.coalesce(F.lag("yko").over(order), c("ko"))}).where("i <= 5")
+    days = lambda s: s / float(DAY)
+    w = F.pow(F.lit(2.0), -days(c("ko") - c("yko")) / 180) * F.exp(-F.greatest(F.lit(0.0), days(c("later") - c("yko")) - 270) / 365) * c("o")
+    clipped = F.greatest(F.lit(-1.5), F.least(F.lit(1.5), c("m")))
+    out = j.groupBy("match_id").agg(F.count("*").alias("meetings"), F.sum(w).alias("s"), F.sum(w * clipped).alias("sm")).where("meetings >= 2")
+    return out.select("match_id", "meetings", F.round(c("sm") / c("s"), 6).alias("residual"), F.round(F.least(F.lit(1.0), c("s") / 1.5), 6).alias("relevance"))
+
+
+@query()
+def goal_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Poisson regression of home goals on the sides' mean form per competition, on form rounded to tenths."""
+    m = clean_facts(spark, sf).select("match_id", "competition_id")
+    r = champion_rates(spark, sf).join(m, "match_id").select("competition_id", "hg", F.round(F.ln("lh"), 1).alias("own"), F.round(F.ln("la"), 1).alias("other"))
+    return models.fit_poisson(r, "competition_id", "hg", ["own", "other"])
