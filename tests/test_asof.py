@@ -47,3 +47,13 @@ def test_latest_overlaps_and_heads(spark):
     chain = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3)], "n int, p int")
     assert {r.n for r in temporal.chain_heads(chain, "n", "p").collect()} == {2, 4}
     assert [r.live for r in spark.createDataFrame([(1, 5), (5, None), (6, 9), (None, 9)], "a int, b int").select(temporal.known_at(F.col("a"), F.col("b"), F.lit(5)).alias("live")).collect()] == [False, True, False, False]
+
+
+def test_running_sums_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(-50, 200), rng.randrange(5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    for strict in (False, True):
+        got = sorted((r.k, r.t, r.v, r.s) for r in temporal.running_sums(df, ["k"], "t", {"s": "v"}, 30, strict).collect())
+        assert got == sorted((k, t, v, sum(w for k2, t2, w in rows if k2 == k and (t2 < t or (t2 == t and not strict)))) for k, t, v in rows)
+    assert temporal.running_sums(df.limit(0), ["k"], "t", {"s": "v"}, 30).collect() == []

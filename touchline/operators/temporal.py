@@ -76,3 +76,20 @@ def chain_heads(df: DataFrame, node: str, replaces: str) -> DataFrame:
     """The rows that no other row replaces."""
     gone = df.where(F.col(replaces).isNotNull()).select(F.col(replaces).alias(node)).distinct()
     return df.join(gone, node, "left_anti")
+
+
+def running_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, str], width: int, strict: bool = False) -> DataFrame:
+    """``df`` with, per entry of ``sums`` (new column: summed column), the sum over all rows of the key at or before (``strict``: before) the row's whole-number time.
+
+    Time is cut into periods of ``width``: a row adds the sums of the periods before its own, taken from one row per key and period, to the sum
+    within its period. A key with a third of all rows is so spread over its periods. Rows of equal time lie in one period. Null keys or times get null sums.
+    """
+    bucket = F.floor(F.col(time) / width)
+    rows = df.withColumn("__p", bucket)
+    per = rows.groupBy(*keys, "__p").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "__p", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "__p").orderBy(time).rangeBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    rows = rows.withColumns({f"__i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    joined = rows.join(per, [*keys, "__p"], "left")
+    return joined.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__i_{n}")).alias(n) for n in sums])

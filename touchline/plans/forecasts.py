@@ -276,15 +276,13 @@ SELECT q.match_id, (SELECT count(*) FROM sides s WHERE s.team = q.home AND s.kno
 def walk_forward_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Histories of a match whose outcomes were known strictly before its kick-off: three running counts over merged streams of results and kick-offs."""
     m = facts(spark, sf)
-    key = lambda kind, value, t, id_=None: F.struct(F.lit(kind).alias("kind"), value.alias("key"), t.alias("t"), (F.lit(0) if id_ is not None else F.lit(1)).alias("n"), (id_ if id_ is not None else F.lit(None).cast("bigint")).alias("id"))
-    known, ko, i = F.col("known") * 2 + 1, F.col("ko") * 2, F.col("match_id")
-    rows = F.array(
-        key("team", F.col("home"), known), key("team", F.col("away"), known), key("competition", F.col("competition_id"), known),
-        F.struct(F.lit("team").alias("kind"), F.col("home").alias("key"), ko.alias("t"), F.lit(0).alias("n"), (i * 4).alias("id")), F.struct(F.lit("team").alias("kind"), F.col("away").alias("key"), ko.alias("t"), F.lit(0).alias("n"), (i * 4 + 1).alias("id")),
-        F.struct(F.lit("competition").alias("kind"), F.col("competition_id").alias("key"), ko.alias("t"), F.lit(0).alias("n"), (i * 4 + 2).alias("id")),
-    )
-    w = Window.partitionBy("kind", "key").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = m.select(F.inline(rows)).withColumn("seen", F.sum("n").over(w)).where("id is not null")
+    groups = ("team", "home"), ("team", "away"), ("competition", "competition_id")
+    row = lambda kind, column, t, n, id_: F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key"), t.alias("t"), F.lit(n).alias("n"), id_.cast("bigint").alias("id"))
+    # a result counts from the moment after it is known; a kick-off asks, and bears its match and group
+    results = [row(kind, column, F.col("known") * 2 + 1, 1, F.lit(None)) for kind, column in groups]
+    asks = [row(kind, column, F.col("ko") * 2, 0, F.col("match_id") * 4 + i) for i, (kind, column) in enumerate(groups)]
+    rows = F.array(*results, *asks)
+    counted = temporal.running_sums(m.select(F.inline(rows)), ["kind", "key"], "t", {"seen": "n"}, 180 * DAY).where("id is not null")
     pick = lambda n: F.max(F.when(F.col("id") % 4 == n, F.col("seen")))
     return counted.groupBy(F.floor(F.col("id") / 4).alias("match_id")).agg(pick(0).alias("home_history"), pick(1).alias("away_history"), pick(2).alias("competition_history"))
 

@@ -13,6 +13,8 @@ from touchline.session import table
 DAY = 86_400
 #: A fixed moment of the registries: 2015-01-01 in seconds.
 MOMENT = 1_420_070_400
+#: Length of the periods that running sums are split by: 90 days in seconds.
+PERIOD = 90 * DAY
 
 
 @query(f"{ALL} SELECT team, at_home, count(*) AS played, sum(points)::BIGINT AS points, sum(gf)::BIGINT AS gf, sum(ga)::BIGINT AS ga, count(*) FILTER (WHERE gf > ga) AS won FROM sides GROUP BY ALL")
@@ -32,8 +34,8 @@ def live_players(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{ALL}, s AS (SELECT match_id, team, ko FROM sides), prior AS (SELECT s.match_id, s.team, (SELECT count(*) FROM sides p WHERE p.team = s.team AND p.ko < s.ko) AS earlier FROM s) SELECT match_id, team, earlier FROM prior")
 def earlier_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Strict-before count: matches of a team before a kick-off; matches of the same moment do not see each other."""
-    s = sides(facts(spark, sf)).select("match_id", "team", "ko")
-    return s.select("match_id", "team", F.count("*").over(temporal.strict_past(["team"], "ko")).alias("earlier"))
+    s = sides(facts(spark, sf)).select("match_id", "team", "ko", F.lit(1).cast("long").alias("one"))
+    return temporal.running_sums(s, ["team"], "ko", {"earlier": "one"}, PERIOD, strict=True).select("match_id", "team", "earlier")
 
 
 @query("""SELECT fixture_id, revision_id, status FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY updated_at DESC, known_at DESC NULLS LAST, revision_id DESC) AS i FROM (SELECT DISTINCT fixture_id, revision_id, status, updated_at, known_at FROM product_fixtures)) WHERE i = 1""")
@@ -314,9 +316,8 @@ def running_prior(spark: SparkSession, sf: str) -> DataFrame:
     m = facts(spark, sf)
     results = F.struct((F.col("known") * 2).alias("t"), F.when(F.col("hg") > F.col("ag"), 1).otherwise(0).alias("h"), F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("id"))
     asks = F.struct((F.col("ko") * 2 + 1).alias("t"), F.lit(0).alias("h"), F.lit(0).alias("n"), F.col("match_id").alias("id"))
-    w = Window.partitionBy("competition_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     e = m.select("competition_id", F.inline(F.array(results, asks)))
-    e = e.select("id", F.sum("h").over(w).alias("hs"), F.sum("n").over(w).alias("ns")).where("id is not null")
+    e = temporal.running_sums(e, ["competition_id"], "t", {"hs": "h", "ns": "n"}, 2 * PERIOD).where("id is not null")
     return e.select(F.col("id").alias("match_id"), F.round((F.col("hs") + 1.0) / (F.col("ns") + 3.0), 6).alias("prior_home"), F.col("ns").alias("seen"))
 
 
