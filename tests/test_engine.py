@@ -231,3 +231,18 @@ def test_gates_leaks_and_regression(spark):
     x = rng.integers(0, 4, 20_000)
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": x, "y": rng.poisson(np.exp(0.2 + 0.3 * x))}))
     assert {r.term: r.coefficient for r in models.fit_poisson(df, "g", "y", ["x"]).collect()} == {"intercept": pytest.approx(0.2, abs=0.05), "x": pytest.approx(0.3, abs=0.03)}
+
+
+def test_exact_intervals(spark):
+    # published 95% intervals: 0 of 10, 5 of 10, 10 of 10, 1 of 100
+    low, high = scoring.clopper_pearson(np.array([0, 5, 10, 1]), np.array([10, 10, 10, 100]))
+    assert low == pytest.approx([0, 0.1871, 0.6915, 0.00025], abs=1e-4) and high == pytest.approx([0.3085, 0.8129, 1, 0.0545], abs=1e-4)
+    df = spark.createDataFrame([(1, 2, "x"), (0, 0, "y"), (None, 3, "z")], "k long, n long, tag string")
+    assert [(r.tag, r.low is None) for r in scoring.exact_intervals(df, "k", "n").orderBy("tag").collect()] == [("x", False), ("y", True), ("z", True)]
+
+
+def test_simulation_gates(spark):
+    df = spark.createDataFrame([("m", [(0, 0, 0.3), (1, 0, 0.6)])], "id string, cells array<struct<home:int,away:int,p:double>>")
+    hits = simulation.simulate(df, "id", "cells")
+    assert simulation.total_variation(hits, df, "id", "cells").first().distance < 0.0127
+    assert all(r.widest < 0.02 for r in simulation.batch_stability(hits, "id").collect())

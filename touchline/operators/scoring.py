@@ -106,3 +106,62 @@ def leaks(snapshots: DataFrame, key: str, document: str, cutoff: str, outcome_ke
     late = F.exists(F.map_values(features), lambda v: F.coalesce(v["known_at"] > F.col(cutoff), F.lit(False)))
     finding = F.when(features.isNull(), "malformed").when(outcome, "outcome_key").when(late, "known_after_cutoff")
     return snapshots.select(key, finding.alias("finding")).where("finding is not null")
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 300) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, on the side where it converges fast."""
+    from math import lgamma
+
+    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    lg = np.vectorize(lgamma, otypes=[float])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    f = d.copy()
+    for m in range(1, terms):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + step / np.where(np.abs(c) < tiny, tiny, c)
+            f = f * c * d
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * f))
+    return np.where(flip, 1 - out, out)
+
+
+def clopper_pearson(hits: np.ndarray, n: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """The exact interval of a rate, by bisection of the beta distribution."""
+    k, n = np.asarray(hits, float), np.asarray(n, float)
+    tail = (1 - level) / 2
+
+    def quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros_like(a), np.ones_like(a)
+        for _ in range(60):
+            mid = (low + high) / 2
+            below = beta_cdf(mid, a, b) < q
+            low, high = np.where(below, mid, low), np.where(below, high, mid)
+        return (low + high) / 2
+
+    low = np.where(k <= 0, 0.0, quantile(tail, np.maximum(k, 0.5), n - k + 1))
+    high = np.where(k >= n, 1.0, quantile(1 - tail, k + 1, np.maximum(n - k, 0.5)))
+    return low, high
+
+
+def exact_intervals(df: DataFrame, hits: str, n: str, level: float = 0.95) -> DataFrame:
+    """df with low and high: the exact interval of each rate hits / n; null where n is null or not positive."""
+    from collections.abc import Iterator
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = (pdf[n] > 0).fillna(False).to_numpy(bool) & pdf[hits].notna().to_numpy()
+            low, high = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            if ok.any():
+                low[ok], high[ok] = clopper_pearson(pdf.loc[ok, hits].to_numpy(float), pdf.loc[ok, n].to_numpy(float), level)
+            yield pdf.assign(low=low, high=high)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    out = df.mapInPandas(run, f"{schema}, low double, high double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})

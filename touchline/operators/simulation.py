@@ -69,3 +69,21 @@ def event_rates(hits: DataFrame, key: str) -> DataFrame:
         )
     )
     return hits.where("hits > 0").select(key, "hits", F.explode(events).alias("event")).groupBy(key, "event").agg(F.sum("hits").alias("hits"))
+
+
+def batch_stability(hits: DataFrame, key: str) -> DataFrame:
+    """key, event, widest: the largest difference between the rates of an event in any two batches of a forecast."""
+    sizes = hits.groupBy(key, "batch").agg(F.sum("hits").alias("draws"))
+    outcome = F.when(F.col("home") < 0, "tail").when(F.col("home") > F.col("away"), "home").when(F.col("home") == F.col("away"), "draw").otherwise("away")
+    rates = hits.groupBy(key, "batch", outcome.alias("event")).agg(F.sum("hits").alias("n")).join(sizes, [key, "batch"])
+    return rates.groupBy(key, "event").agg((F.max(F.col("n") / F.col("draws")) - F.min(F.col("n") / F.col("draws"))).alias("widest"))
+
+
+def total_variation(hits: DataFrame, forecasts: DataFrame, key: str, cells: str) -> DataFrame:
+    """key, distance: half the sum of absolute differences between drawn rates and probabilities over all scores and the tail."""
+    expected = forecasts.select(key, F.inline(cells)).select(key, "home", "away", "p")
+    tail = expected.groupBy(key).agg(F.greatest(1 - F.sum("p"), F.lit(0.0)).alias("p")).select(key, F.lit(-1).alias("home"), F.lit(-1).alias("away"), "p")
+    drawn = hits.groupBy(key, "home", "away").agg(F.sum("hits").alias("n"))
+    total = drawn.groupBy(key).agg(F.sum("n").alias("draws"))
+    both = expected.unionByName(tail).join(drawn, [key, "home", "away"], "full").join(total, key)
+    return both.groupBy(key).agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("n", F.lit(0)) / F.col("draws"))) / 2).alias("distance"))

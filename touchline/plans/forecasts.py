@@ -399,3 +399,52 @@ def goal_regression(spark: SparkSession, sf: str) -> DataFrame:
     m = clean_facts(spark, sf).select("match_id", "competition_id")
     r = champion_rates(spark, sf).join(m, "match_id").select("competition_id", "hg", F.round(F.ln("lh"), 1).alias("own"), F.round(F.ln("la"), 1).alias("other"))
     return models.fit_poisson(r, "competition_id", "hg", ["own", "other"])
+
+
+@query()
+def simulation_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance between simulated and analytic scores of each forecast with its verdict."""
+    f = gridded(spark, sf).select("forecast_id", "cells")
+    hits = simulation.simulate(f, "forecast_id", "cells")
+    d = simulation.total_variation(hits, f, "forecast_id", "cells").withColumn("metric", F.lit("total_variation"))
+    return scoring.gate(d.withColumnRenamed("distance", "value"), {"total_variation": (0.0127, 0.02)})
+
+
+@query()
+def exact_win_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact intervals of home-win rates per team."""
+    c = facts(spark, sf).groupBy("home").agg(F.count("*").alias("n"), F.count_if(F.col("hg") > F.col("ag")).alias("k"))
+    return scoring.exact_intervals(c, "k", "n")
+
+
+@query()
+def forward_recalibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Per period of 90 days the recalibration of home wins fitted only on what was known before the period, and the losses it gives and replaces within it.
+
+    Forecasts and outcomes are counted per period and fine bin first; a period's training set is a running sum over those counts, so no forecast is read twice.
+    """
+    period, bins_ = 90 * DAY, 100
+    m = champion_rates(spark, sf).join(clean_facts(spark, sf).select("match_id", "ko", "known"), "match_id")
+    cells = P.score_cells(F.col("lh"), F.col("la"), F.lit(0.0), 8)
+    m = m.select("ko", "known", scoring.bins(P.mass(cells, lambda h, a: h > a), bins_).alias("bin"), (F.col("hg") > F.col("ag")).cast("int").alias("hit"))
+    train = m.groupBy((F.floor(F.col("known") / period) + 1).alias("period"), "bin").agg(F.count("*").alias("tn"), F.sum("hit").alias("tk"))
+    test = m.groupBy(F.floor(F.col("ko") / period).alias("period"), "bin").agg(F.count("*").alias("n"), F.sum("hit").alias("k"))
+    counts = train.join(test, ["period", "bin"], "full").fillna(0, ["tn", "tk", "n", "k"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        periods = np.arange(pdf["period"].min(), pdf["period"].max() + 1)
+        grid = lambda c: pdf.pivot_table(index="period", columns="bin", values=c, aggfunc="sum").reindex(index=periods, columns=range(bins_)).fillna(0).to_numpy()
+        tn, tk, n, k = grid("tn").cumsum(0), grid("tk").cumsum(0), grid("n"), grid("k")
+        p = (np.arange(bins_) + 0.5) / bins_
+        z = np.log(p / (1 - p))
+        rows = []
+        for i, at in enumerate(periods):
+            if tn[i].sum() >= 100 and n[i].sum():
+                a, s = models.platt(z, tk[i], tn[i])
+                q = np.clip(1 / (1 + np.exp(-(a + s * z))), 1e-15, 1 - 1e-15)
+                loss = lambda r: float(-(k[i] * np.log(r) + (n[i] - k[i]) * np.log(1 - r)).sum() / n[i].sum())  # noqa: B023, E731
+                rows.append((int(at), int(tn[i].sum()), int(n[i].sum()), a, s, loss(p), loss(q)))
+        return pd.DataFrame(rows, columns=["period", "training", "targets", "intercept", "slope", "loss_before", "loss_after"])
+
+    # periods times bins rows in one task: bounded by the calendar
+    return counts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: fit(pdf), "period long, training long, targets long, intercept double, slope double, loss_before double, loss_after double")
