@@ -53,10 +53,12 @@ def key_groups(events: DataFrame, row_id: str, at: str, references: list[Referen
 
     Child rows are combined before the shuffle, so a key with a third of all rows costs each task one row of the exchange.
     """
-    children = _children(events, row_id, at, references).select("field", "key", F.lit(1).alias("n"), F.col("at").alias("low"), F.col("at").alias("high"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("span"))
-    parents = _parents(references).distinct().select("field", "key", F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"), F.struct("a", "b").alias("span"))
+    span = "struct<a:bigint,b:bigint>"
     # children first by themselves: an aggregate of plain numbers, hashed and combined on the map side, without the collected spans
-    children = children.groupBy("field", "key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).withColumn("span", F.lit(None).cast("struct<a:bigint,b:bigint>"))
+    children = _children(events, row_id, at, references).groupBy("field", "key").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    children = children.withColumn("span", F.lit(None).cast(span))
+    none = F.lit(None).cast("bigint")
+    parents = _parents(references).distinct().select("field", "key", F.lit(0).cast("bigint").alias("n"), none.alias("low"), none.alias("high"), F.struct("a", "b").alias("span"))
     return children.unionByName(parents).groupBy("field", "key").agg(F.sum("n").alias("references"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("span").alias("spans"))
 
 
@@ -77,7 +79,6 @@ def orphan_references(events: DataFrame, row_id: str, at: str, references: list[
     """
     groups = doubtful_keys(key_groups(events, row_id, at, references)).select("field", "key", "spans")
     children = _children(events, row_id, at, references)
-    spark = events.sparkSession
     # the number of doubtful keys decides the join; it is counted up to the bound only
     few = groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     if few:
@@ -92,7 +93,6 @@ def orphan_references(events: DataFrame, row_id: str, at: str, references: list[
         .when(F.forall("spans", lambda s: F.coalesce(s["a"] > at_col, F.lit(False))), F.lit("late"))
         .otherwise(F.lit("deleted"))
     )
-    del spark
     return joined.select("row_id", "field", kind.alias("kind"), "at").where(F.col("kind").isNotNull())
 
 
