@@ -59,12 +59,12 @@ def _kind(x: Column) -> Column:
     w, links, items, fresh = x["w"], x["links"], x["items"], x["fresh"]
     own_sentence = (x["terminal"] | x["quote"]) & (w >= 5) & (links == 1) & ~x["closing"]
     return (
-        F.when((links > 0) & (w / F.greatest(links, F.lit(1)) < 8) & ~own_sentence, "link")
+        F.when((links > 0) & (w / F.greatest(links, F.lit(1)) < F.when(links > 1, 14).otherwise(8)) & ~own_sentence, "link")
         .when(x["tags"] >= 2, "tag")
         .when(x["record"], "record")
         .when(x["quote"] & (w >= 5), "quote")
         .when((items >= 4) & (w / F.greatest(items, F.lit(1)) <= 5.5) & (~x["terminal"] | (fresh <= 0.7) | (items >= 7)), "list")
-        .when(((w >= 14) & ~x["terminal"] & (fresh <= 0.65)) | ((w >= 30) & (fresh <= 0.6)), "run")
+        .when(((w >= 14) & ~x["terminal"] & (fresh <= 0.65)) | ((w >= 20) & (fresh <= 0.72)), "run")
         .when(w == 0, "mark")
         .when(~x["terminal"], "line")
         .otherwise("sentence")
@@ -93,7 +93,9 @@ def page_shapes(pages: DataFrame, key: str, text: str) -> DataFrame:
             "line_words": _sum(F.col("lines"), lambda s: s["w"]) / F.greatest(F.size("lines"), F.lit(1)),
         }
     )
-    stock = (F.size("sentences") >= 3) & (F.size("short") > 0) & (((F.col("median") <= 6) & (F.col("fresh") <= 0.42)) | ((F.col("median") <= 7) & (F.col("fresh") <= 0.25)))
+    # a few lines said over and over are a chant or a plea, not stock phrases around changing keywords
+    different = F.size(F.array_distinct(F.transform("short", lambda s: s["words"])))
+    stock = (different >= 4) & (((F.col("median") <= 6) & (F.col("fresh") <= 0.42)) | ((F.col("median") <= 7) & (F.col("fresh") <= 0.25)))
     chars = _sum(F.col("x"), lambda s: s["n"])
     out = {k: _sum(of(k), lambda s: s["n"]) for k in ("link", "tag", "list", "run")}
     # one or two short lines are no string of phrases
