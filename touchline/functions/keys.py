@@ -17,11 +17,12 @@ def bare_uuid(text: Column) -> Column:
 
 def uuid_key(text: Column) -> Column:
     """``bare_uuid`` as 16 bytes where it is a well-formed uuid, else the bytes of the bare text: half the shuffle volume of the text."""
-    bare = bare_uuid(text)
-    return F.coalesce(
-        F.when(F.length(bare) == 32, F.try_to_binary(bare, F.lit("hex"))),
-        F.encode(bare, "UTF-8"),
-    )
+    return key_bytes(bare_uuid(text))
+
+
+def key_bytes(bare: Column) -> Column:
+    """``uuid_key`` of a column that is bare already."""
+    return F.coalesce(F.when(F.length(bare) == 32, F.try_to_binary(bare, F.lit("hex"))), F.encode(bare, "UTF-8"))
 
 
 def uuid_text(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,16 @@ def c(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+#: ln n! of the first whole numbers, by rule.
+_LN_FACTORIALS = [math.lgamma(n + 1) for n in range(64)]
+
+
 def ln_factorial(n: Column) -> Column:
-    """ln n! of a whole number; Spark's factorial ends at 20."""
-    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double"))))
+    """ln n! of a whole number: a constant array for small ones, a sum of logarithms beyond (Spark's factorial ends at 20)."""
+    small = F.array(*[F.lit(x) for x in _LN_FACTORIALS])
+    start = len(_LN_FACTORIALS) - 1
+    beyond = F.aggregate(F.sequence(F.lit(start + 1), F.greatest(n, F.lit(start + 1)).cast("int")), F.lit(_LN_FACTORIALS[-1]), lambda a, i: a + F.ln(i.cast("double")))
+    return F.when(n <= start, F.get(small, n.cast("int"))).otherwise(beyond)
 
 
 def poisson(k: Column, rate: Column) -> Column:
@@ -54,7 +63,14 @@ def tau(h: Column, a: Column, lh: Column, la: Column, rho: Column) -> Column:
 def score_cells(lh: Column, la: Column, rho: Column, top: int = 10) -> Column:
     """array<struct(home, away, p)>: the score grid up to ``top`` goals a side; what lies beyond stays out, nothing is scaled up to 1."""
     goals = F.sequence(F.lit(0), F.lit(top))
-    return F.flatten(F.transform(goals, lambda h: F.transform(goals, lambda a: F.struct(h.alias("home"), a.alias("away"), (poisson(h, lh) * poisson(a, la) * tau(h, a, lh, la, rho)).alias("p")))))
+    pmf = lambda rate: F.transform(goals, lambda k: poisson(k, rate))
+    # the two marginals are held in an array of one, so that they are computed once and not per cell
+    sides = F.array(F.struct(pmf(lh).alias("h"), pmf(la).alias("a")))
+
+    def grid(side: Column) -> Column:
+        return F.flatten(F.transform(side["h"], lambda x, h: F.transform(side["a"], lambda y, a: F.struct(h.alias("home"), a.alias("away"), (x * y * tau(h, a, lh, la, rho)).alias("p")))))
+
+    return F.get(F.transform(sides, grid), F.lit(0))
 
 
 def mass(cells: Column, where) -> Column:
