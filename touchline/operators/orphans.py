@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.keys import uuid_key
+from touchline.functions.keys import bare_uuid, key_bytes, uuid_key
 
 #: The doubtful keys are broadcast only up to this many; beyond it the join is a salted shuffle.
 BROADCAST_KEYS = 200_000
@@ -29,8 +29,10 @@ class Reference:
 
 def _children(events: DataFrame, row_id: str, at: str, references: list[Reference]) -> DataFrame:
     """field, key, row_id, at: one row per non-empty reference."""
-    refs = F.array(*[F.struct(F.lit(r.field).alias("field"), uuid_key(F.col(r.field)).alias("key")) for r in references])
-    return events.select(F.col(row_id).alias("row_id"), F.unix_micros(F.col(at)).alias("at"), F.inline(refs)).where(F.col("key").isNotNull())
+    # the bare spellings are columns of their own, so that each is made once and the keys are taken from it
+    bare = events.select(F.col(row_id).alias("row_id"), F.unix_micros(F.col(at)).alias("at"), *[bare_uuid(F.col(r.field)).alias(f"k{i}") for i, r in enumerate(references)])
+    refs = F.array_compact(F.array(*[F.when(F.col(f"k{i}").isNotNull(), F.struct(F.lit(r.field).alias("field"), key_bytes(F.col(f"k{i}")).alias("key"))) for i, r in enumerate(references)]))
+    return bare.select("row_id", "at", F.inline(refs))
 
 
 def _parents(references: list[Reference]) -> DataFrame:
