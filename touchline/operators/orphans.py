@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.keys import bare_uuid, key_bytes, uuid_key
+from touchline.session import cut
 
 #: The doubtful keys are broadcast only up to this many; beyond it the join is a salted shuffle.
 BROADCAST_KEYS = 200_000
@@ -79,7 +80,8 @@ def orphan_references(events: DataFrame, row_id: str, at: str, references: list[
     Empty tables: no events give no rows; an empty registry makes each reference missing. Repeated rows of a registry change
     nothing; repeated event rows are reported each. A null key in a registry holds nothing. Other columns are not read.
     """
-    groups = doubtful_keys(key_groups(events, row_id, at, references)).select("field", "key", "spans")
+    # written once: the count below and the join both read it
+    groups = cut(doubtful_keys(key_groups(events, row_id, at, references)).select("field", "key", "spans"))
     children = _children(events, row_id, at, references)
     # the number of doubtful keys decides the join; it is counted up to the bound only
     few = groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
