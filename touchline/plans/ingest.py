@@ -55,9 +55,10 @@ def canonical_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def payload_event_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed event rows of the raw payloads, counted by type and quality of their location."""
-    raw = table(spark, sf, "provider_payload").where("resource_key like 'events/%'").select("resource_id", "raw")
-    return files.event_rows(raw, "resource_id", "raw").groupBy("event_type", "location_quality").agg(F.count("*").alias("events"))
+    """Typed event rows of the raw payloads, counted by type and quality of their location; texts without readable events by finding, with 0 events. Repeated payloads count once."""
+    raw = table(spark, sf, "provider_payload").where("resource_key like 'events/%'").select("resource_id", "raw").distinct()
+    rows = files.event_report(raw, "resource_id", "raw")
+    return rows.groupBy("event_type", "location_quality", "finding").agg(F.count_if(F.col("finding").isNull()).alias("events"), F.count_distinct("resource_id").alias("payloads"))
 
 
 @query(r"""SELECT DISTINCT team_id, trim(regexp_replace(regexp_replace(lower(canonical_name), '\b(fc|afc|cf|sc|ac|club|football|the)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS club_key FROM product_teams""")

@@ -17,21 +17,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.operators.shredding import parse_document
+
 RESULTS_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HTHG", "HTAG", "HTR", "_corrupt")])
 REQUIRED = ("Div", "Date", "HomeTeam", "AwayTeam")
 #: Limits of archives: members, bytes of one member unpacked, and how many times larger than packed.
 MAX_MEMBERS, MAX_BYTES, MAX_RATIO = 1000, 256 * 2**20, 200
 
 _NAMED = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
-EVENT_SCHEMA = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("id", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("period", T.ShortType()), T.StructField("timestamp", T.StringType()),
-            T.StructField("minute", T.ShortType()), T.StructField("second", T.ShortType()), T.StructField("type", _NAMED), T.StructField("possession_team", _NAMED), T.StructField("team", _NAMED), T.StructField("player", _NAMED),
-            T.StructField("location", T.ArrayType(T.DoubleType())), T.StructField("related_events", T.ArrayType(T.StringType())),
-        ]
-    )
+EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("period", T.ShortType()), T.StructField("timestamp", T.StringType()),
+        T.StructField("minute", T.ShortType()), T.StructField("second", T.ShortType()), T.StructField("type", _NAMED), T.StructField("possession_team", _NAMED), T.StructField("team", _NAMED), T.StructField("player", _NAMED),
+        T.StructField("location", T.ArrayType(T.DoubleType())), T.StructField("related_events", T.ArrayType(T.StringType())),
+    ]
 )
+EVENT_FIELDS = tuple(EVENT_SCHEMA.names)
+#: Fields of an object that make it an event wherever one may stand.
+EVENT_NEED = ("id", "index", "type")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -89,17 +92,70 @@ def read_zipped_results(spark: SparkSession, path: str, max_members: int = MAX_M
     return files.mapInPandas(unpack, "archive string, member string, line long, text string, finding string")
 
 
-def event_rows(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """key and the typed columns of every event of a raw event document; documents of other shapes give no rows. Coordinates outside the field are marked."""
-    e = df.select(key, F.inline(F.from_json(F.col(raw), EVENT_SCHEMA)))
+def _holds_events(value: object) -> bool:
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if "events" in v:
+                return True
+            todo.extend(v.values())
+        elif isinstance(v, list):
+            todo.extend(v)
+    return False
+
+
+def event_items(value: object) -> list[tuple[dict | None, str | None]]:
+    """(event, finding) of a parsed document, in document order: the objects of a root array and of arrays (or lone objects) labelled ``events`` at any depth, or a lone root event.
+
+    The finding is ``not_an_event`` for something else at the place of an event, and ``no_events`` (one item) for a document without such a place; an empty array is sound.
+    """
+    if not isinstance(value, list) and not _holds_events(value) and not (isinstance(value, dict) and all(k in value for k in EVENT_NEED)):
+        return [(None, "no_events")]
+    items: list[tuple[dict | None, str | None]] = []
+    todo: list[tuple[object, str]] = [(value, "")]
+    while todo:
+        v, label = todo.pop()
+        place = label in ("", "events")
+        if isinstance(v, list):
+            todo.extend((x, label) for x in reversed(v))
+        elif isinstance(v, dict) and place and (all(k in v for k in EVENT_NEED) or not _holds_events(v) and any(k in v for k in EVENT_FIELDS)):
+            items.append(({k: v[k] for k in EVENT_FIELDS if k in v}, None))
+        elif isinstance(v, dict) and (not place or _holds_events(v)):
+            todo.extend((x, k) for k, x in reversed(v.items()) if k == "events" or isinstance(x, dict | list))
+        elif place:
+            items.append((None, "not_an_event"))
+    return items
+
+
+def event_report(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """The rows of ``event_rows`` with a finding, null for an event: one row per text that is null, empty or does not parse as a whole (``malformed``), and per finding of ``event_items``."""
+    kind = dict(df.dtypes)[key]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for k, text in zip(pdf["k"], pdf["raw"], strict=True):
+                ok, value = parse_document(text)
+                out += [(k, json.dumps(e) if f is None else None, f) for e, f in event_items(value)] if ok else [(k, None, "malformed")]
+            yield pd.DataFrame(out, columns=["k", "event", "finding"])
+
+    pairs = df.select(F.col(key).alias("k"), F.col(raw).alias("raw"))
+    items = pairs.mapInPandas(parse, f"k {kind}, event string, finding string").withColumnRenamed("k", key)
+    e = items.select(key, "finding", F.from_json("event", EVENT_SCHEMA).alias("e")).select(key, "finding", "e.*")
     x, y = F.try_element_at("location", F.lit(1)), F.try_element_at("location", F.lit(2))
-    quality = F.when(x.isNull() | y.isNull(), "missing").when(x.between(0, 120) & y.between(0, 80), "valid").otherwise("out_of_bounds")
+    quality = F.when(F.col("finding").isNotNull(), None).when(x.isNull() | y.isNull(), "missing").when(x.between(0, 120) & y.between(0, 80), "valid").otherwise("out_of_bounds")
     return e.select(
         key, F.col("id").alias("event_id"), "index", "period", "timestamp", "minute", "second", F.col("type.name").alias("event_type"), F.col("team.id").alias("team_id"), F.col("player.id").alias("player_id"),
-        x.alias("source_x"), y.alias("source_y"), F.when(quality == "valid", x / 120).alias("x_norm"), F.when(quality == "valid", y / 80).alias("y_norm"), quality.alias("location_quality"),
+        x.alias("source_x"), y.alias("source_y"), F.when(quality == "valid", x / 120).alias("x_norm"), F.when(quality == "valid", y / 80).alias("y_norm"), quality.alias("location_quality"), "finding",
     )
 
 
+def event_rows(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """key and the typed columns of every event of a raw event document, in any shape of ``event_items``; what gives no event is in ``event_report``. Coordinates outside the field are marked."""
+    return event_report(df, key, raw).where("finding is null").drop("finding")
+
+
 class _Tables(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__()
