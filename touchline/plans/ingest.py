@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text
 from touchline.functions.clocks import clock_seconds
+from touchline.functions.keys import uuid_text
 from touchline.operators import quality, temporal, timestamps
 from touchline.plans.registry import query
 from touchline.session import table
@@ -45,6 +46,26 @@ def event_findings(spark: SparkSession, sf: str) -> DataFrame:
     return quality.roll_up(quality.event_rules(events), ["rule"])
 
 
+@query()
+def quality_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """scope, key, rule, severity: every finding of the quality rules over staged events, event payloads, lineups, matches and players, each once."""
+    read = lambda name: table(spark, sf, name)
+    events, lineups = read("football_event_stage"), read("lineups")
+    payloads = read("provider_payload").where("resource_key like 'events/%'").select("resource_id", "resource_key", "raw").distinct()
+    players = read("product_players").select("player_id", "provider_player_id", "player_name")
+    found = {
+        "event": quality.event_rules(events).unionByName(quality.sequence_rules(events)),
+        "payload": quality.payload_rules(files.event_report(payloads.select("resource_id", "raw").distinct(), "resource_id", "raw")).unionByName(quality.conflicts(payloads, F.col("resource_key"), ["resource_id"], "duplicate_match", "QUARANTINE")),
+        "lineup": quality.stint_rules(lineups),
+        "player": quality.conflicts(players, uuid_text(F.col("player_id")), ["provider_player_id", "player_name"], "conflicting_player_fact", "WARNING"),
+    }
+    out = quality.lineup_rules(events, lineups, read("product_fixtures"))
+    for scope, df in found.items():
+        key = df.columns[0]
+        out = out.unionByName(df.select(F.lit(scope).alias("scope"), F.col(key).cast("string").alias("key"), "rule", "severity"))
+    return out.distinct()
+
+
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY provider_event_id ORDER BY staged_at DESC, stage_id DESC) AS i FROM football_event_stage WHERE provider_event_id IS NOT NULL) SELECT provider_event_type, period::BIGINT AS period, count(*) AS events, count(DISTINCT provider_match_id) AS matches FROM l WHERE i = 1 GROUP BY ALL""")
 def canonical_events(spark: SparkSession, sf: str) -> DataFrame:
     """Staged deliveries reduced to the latest per event, set-based, then counted."""
