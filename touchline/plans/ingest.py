@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text
 from touchline.functions.clocks import clock_seconds
-from touchline.functions.keys import uuid_text
+from touchline.functions.keys import bare_uuid, uuid_text
 from touchline.operators import quality, temporal, timestamps
 from touchline.plans.registry import query
 from touchline.session import table
@@ -74,6 +74,14 @@ def canonical_events(spark: SparkSession, sf: str) -> DataFrame:
     return latest.groupBy("provider_event_type", F.col("period").cast("long").alias("period")).agg(F.count("*").alias("events"), F.count_distinct("provider_match_id").alias("matches"))
 
 
+@query(r"""WITH m AS (SELECT DISTINCT provider_match_id, regexp_replace(lower(match_id), '[{}\- \t\n\r]', '', 'g') AS match_key FROM open_matches WHERE provider_match_id IS NOT NULL), k AS (SELECT * FROM m WHERE match_key <> ''), c AS (SELECT provider_match_id, count(*) AS fixtures FROM k GROUP BY ALL) SELECT match_key, provider_match_id, fixtures, CASE WHEN fixtures > 1 THEN 'QUARANTINED' ELSE 'UNIQUE' END AS state FROM k JOIN c USING (provider_match_id)""")
+def provider_id_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """match_key, provider_match_id, fixtures, state: every open match with its provider id; where one id names more than one match, all of them are quarantined."""
+    m = table(spark, sf, "open_matches").select(bare_uuid(F.col("match_id")).alias("match_key"), "provider_match_id").where("match_key is not null and provider_match_id is not null").distinct()
+    counts = m.groupBy("provider_match_id").agg(F.count("*").alias("fixtures"))
+    return m.join(counts, "provider_match_id").select("match_key", "provider_match_id", "fixtures", F.when(F.col("fixtures") > 1, "QUARANTINED").otherwise("UNIQUE").alias("state"))
+
+
 @query()
 def payload_event_types(spark: SparkSession, sf: str) -> DataFrame:
     """Typed event rows of the raw payloads, counted by type and quality of their location; texts without readable events by finding, with 0 events. Repeated payloads count once."""
