@@ -64,30 +64,40 @@ def auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
     return out.select(*group, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+#: Drawn positions held in memory at once by the bootstrap; it changes no result.
+DRAWN_AT_ONCE = 2**22
+
+
 def block_bootstrap(losses: np.ndarray, replicates: int, block: int, seed: int) -> np.ndarray:
-    """Means of moving-block resamples of a series of paired differences, cut to its length."""
+    """Means of moving-block resamples of a series of paired differences, cut to its length; the replicates are made in chunks, so that memory does not grow with their number."""
     rng = np.random.default_rng(seed)
     n = len(losses)
     block = min(block, n)
-    starts = rng.integers(0, n - block + 1, size=(replicates, -(-n // block)))
-    index = (starts[:, :, None] + np.arange(block)).reshape(replicates, -1)[:, :n]
-    return losses[index].mean(1)
+    blocks = -(-n // block)
+    step = max(1, DRAWN_AT_ONCE // (blocks * block))
+    means = []
+    for done in range(0, replicates, step):
+        starts = rng.integers(0, n - block + 1, size=(min(step, replicates - done), blocks))
+        index = (starts[:, :, None] + np.arange(block)).reshape(len(starts), -1)[:, :n]
+        means.append(losses[index].mean(1))
+    return np.concatenate(means)
 
 
-def bootstrap_intervals(df: DataFrame, group: str, order: str, value: str, replicates: int = 2000, block: int = 10, seed: int = 20260831) -> DataFrame:
-    """group, mean, low, high, n: 95% moving-block bootstrap interval of the mean of ``value`` in time order, per group.
+def bootstrap_intervals(df: DataFrame, group: str, order: str | list[str], value: str, replicates: int = 2000, block: int = 10, seed: int = 20260831) -> DataFrame:
+    """group, mean, low, high, n: 95% moving-block bootstrap interval of the mean of ``value`` in time order, per group. End ``order`` with an id, so that it is total.
 
     A group is one series and is resampled whole (its size is that of an evaluation, not of the raw data); reduce series first.
     """
+    orders = [order] if isinstance(order, str) else list(order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
+        x = pdf.sort_values(orders)[value].to_numpy(float)
         means = block_bootstrap(x, replicates, block, seed)
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [x.mean()], "low": [low], "high": [high], "n": [len(x)]})
 
     kind = dict(df.dtypes)[group]
-    return df.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, low double, high double, n long")
+    return df.select(group, *orders, value).groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, low double, high double, n long")
 
 
 def gate(metrics: DataFrame, thresholds: dict[str, tuple[float, float]], name: str = "metric", value: str = "value") -> DataFrame:

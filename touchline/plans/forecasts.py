@@ -315,10 +315,14 @@ def dixon_coles_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def loss_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Moving-block bootstrap intervals of the log loss per class that happened."""
+    """Moving-block bootstrap intervals of the log loss per class that happened, in the order of the matches' kick-offs by their latest revision (the forecasts' own where a match has none)."""
     given = F.when(F.col("outcome") == "HOME", F.col("ph")).when(F.col("outcome") == "DRAW", F.col("pd")).otherwise(F.col("pa"))
-    s = scored(spark, sf).select("outcome", "forecast_id", scoring.log_loss(given).alias("loss"))
-    return scoring.bootstrap_intervals(s, "outcome", "forecast_id", "loss", replicates=500)
+    order = F.struct(F.col("updated_at").isNotNull(), "updated_at", F.coalesce("known_at", "updated_at"), "revision_id")
+    latest = table(spark, sf, "product_fixtures").where("kickoff_at is not null").groupBy(F.col("fixture_id").alias("match_id")).agg(F.max_by("kickoff_at", order).alias("latest"))
+    own = table(spark, sf, "frozen_forecast").groupBy("forecast_id").agg(F.max("kickoff_at").alias("own"))
+    s = scored(spark, sf).select("outcome", "forecast_id", "match_id", scoring.log_loss(given).alias("loss")).join(own, "forecast_id").join(latest, "match_id", "left")
+    s = s.withColumn("kickoff_at", F.coalesce("latest", "own"))
+    return scoring.bootstrap_intervals(s, "outcome", ["kickoff_at", "forecast_id"], "loss")
 
 
 @query()
