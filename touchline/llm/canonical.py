@@ -58,7 +58,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def reference_parts(clubs: DataFrame) -> DataFrame:
-    """entry, country, short, side, place, affix of each entry (columns entry, name, short, country): the word of its own, the common word, its side.
+    """entry, country, short, side, place, parts, affix of each entry (columns entry, name, short, country): its own words as one, their number, the common word, its side.
 
     An entry with marked letters comes twice, with the letters plain and spelt out.
     """
@@ -68,23 +68,26 @@ def reference_parts(clubs: DataFrame) -> DataFrame:
     parts = parts.join(F.broadcast(common), F.lit(True), "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     own = F.array_except("words", "common")
     own = F.when(F.size(own) > 0, own).otherwise(F.col("words"))
-    return parts.select("entry", "country", "short", "side", F.array_join(own, "").alias("place"), F.array_join(F.array_except("words", own), " ").alias("affix")).where("length(place) > 0").distinct()
+    return parts.select("entry", "country", "short", "side", F.array_join(own, "").alias("place"), F.size(own).alias("parts"), F.array_join(F.array_except("words", own), " ").alias("affix")).where("length(place) > 0").distinct()
 
 
 def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
     """name, country, entries: for each typed name (distinct pairs of name and country, null where unknown) that fits some entry, the entries it fits best.
 
-    A name fits an entry if one of its words is the entry's own word (up to a slip of one edit or two exchanged letters, or cut short by a
+    A name fits an entry if one of its words, or as many adjacent words as the entry's own name has, are the entry's own name (up to a slip of one edit or two exchanged letters, or cut short by a
     stop), its other words are the entry's common word or stand for it, and the sides are the same; or if it is the entry's short name.
     """
     # the parts of the plan are written one by one: each is small, and nothing that is used twice is computed twice
     ref = cut(reference_parts(clubs).withColumn("look", names.look_alike(F.col("place"))))
-    known = ref.where("affix <> ''").select(F.col("affix").alias("word")).distinct().agg(F.collect_set("word").alias("common"))
+    known = ref.agg(F.collect_set(F.when(F.col("affix") != "", F.col("affix"))).alias("common"), F.max("parts").alias("longest"))
     q = typed.select("name", "country", names.tokens(F.col("name")).alias("toks")).withColumns({"side": names.sides(F.col("toks")), "words": names.core(F.col("toks"))})
-    q = cut(q.join(F.broadcast(known), F.lit(True), "left").where(F.size("words").between(1, 5)))
-    words = q.select("name", "country", "side", "words", "common", F.posexplode("words").alias("at", "word"))
-    rest = F.expr("filter(words, (w, i) -> i <> at)")
-    words = words.withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).select("name", "country", "side", "common", rest.alias("rest"), names.look_alike(F.col("word.t")).alias("look"), F.col("word.dot").alias("dot"), F.array_contains("common", F.col("word.t")).alias("is_common")).where("not is_common and length(look) >= 3")
+    q = cut(q.join(F.broadcast(known), F.lit(True), "left").where(F.size("words") >= 1))
+    # runs of adjacent words, as long as the longest own name of the list: a bound of the list, so the work is linear in the words
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least("longest", F.size("words"))), lambda n: F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda at: F.struct(at.alias("at"), n.alias("n")))))
+    words = q.select("name", "country", "side", "words", "common", F.explode(runs).alias("run")).select("*", F.expr("slice(words, run.at + 1, run.n)").alias("inside"), F.expr("filter(words, (w, i) -> i < run.at or i >= run.at + run.n)").alias("rest"))
+    words = words.where("not exists(slice(inside, 1, run.n - 1), w -> w.dot)")  # only the last word of a run may be cut short
+    word = F.array_join(F.transform("inside", lambda t: t["t"]), "")
+    words = words.withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).select("name", "country", "side", "common", "rest", F.col("run.n").alias("n"), names.look_alike(word).alias("look"), F.element_at("inside", -1)["dot"].alias("dot"), F.array_contains("common", word).alias("is_common")).where("not is_common and length(look) >= 3")
     # whole words against whole places, cut words against beginnings of places: one join, told apart by the key
     beginnings = ref.select("entry", "look", F.explode(F.sequence(F.lit(3), F.greatest(F.length("look") - 1, F.lit(3)))).alias("n")).select("entry", F.substr("look", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("dot"))
     forms = ref.select("entry", F.col("look").alias("form"), F.lit(False).alias("dot")).unionByName(beginnings).groupBy("form", "dot").agg(F.collect_set("entry").alias("owners"))
@@ -92,7 +95,7 @@ def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
     found = probes_of(distinct_words, "look").join(segments_of(forms.withColumnRenamed("dot", "form_dot"), "form"), "segment")
     found = found.where(F.col("dot") == F.col("form_dot")).select("look", "dot", "form", "owners", distance(F.col("look"), F.col("form")).alias("edits")).where("edits is not null").distinct()
     found = cut(found.select("look", "dot", "edits", F.explode("owners").alias("entry")).groupBy("look", "dot", "entry").agg(F.min("edits").alias("edits")))
-    pairs = words.join(found, ["look", "dot"]).join(ref.select("entry", F.col("country").alias("home"), F.col("side").alias("entry_side"), "affix"), "entry")
+    pairs = words.join(found, ["look", "dot"]).join(ref.select("entry", F.col("country").alias("home"), F.col("side").alias("entry_side"), "affix", "parts"), "entry").where("n = 1 or n = parts")
     pairs = pairs.where(F.col("country").isNull() | (F.col("country") == F.col("home"))).where(F.col("side") == F.col("entry_side"))
     other = F.get("rest", F.lit(0))
     typo = distance(names.look_alike(other["t"]), names.look_alike(F.col("affix")))
