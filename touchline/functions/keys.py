@@ -25,10 +25,11 @@ def key_bytes(bare: Column) -> Column:
     return F.coalesce(F.when(F.length(bare) == 32, F.try_to_binary(bare, F.lit("hex"))), F.encode(bare, "UTF-8"))
 
 
+def hyphenated(bare: Column) -> Column:
+    """A bare uuid in the usual spelling; other text as it is."""
+    return F.when(F.length(bare) == 32, F.when(F.translate(bare, "0123456789abcdef", "") == "", F.concat_ws("-", bare.substr(1, 8), bare.substr(9, 4), bare.substr(13, 4), bare.substr(17, 4), bare.substr(21, 12))).otherwise(bare)).otherwise(bare)
+
+
 def uuid_text(text: Column) -> Column:
     """The usual hyphenated lower-case spelling of a uuid in any spelling; other text is only lower-cased and stripped."""
-    bare = bare_uuid(text)
-    return F.when(
-        bare.rlike("^[0-9a-f]{32}$"),
-        F.concat_ws("-", bare.substr(1, 8), bare.substr(9, 4), bare.substr(13, 4), bare.substr(17, 4), bare.substr(21, 12)),
-    ).otherwise(bare)
+    return hyphenated(bare_uuid(text))

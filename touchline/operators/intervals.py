@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from touchline.session import cut
 
-_LOW = -(2**62)
-
 
 def _codes(pdf: pd.DataFrame, entity: list[str], last: tuple | None) -> tuple[np.ndarray, bool]:
     """A dense number per run of equal entities, and whether the first run continues ``last``."""
@@ -29,33 +27,30 @@ def _codes(pdf: pd.DataFrame, entity: list[str], last: tuple | None) -> tuple[np
 
 
 def _scan(batches: Iterator[pd.DataFrame], entity: list[str], carry: tuple | None) -> Iterator[tuple[pd.DataFrame, tuple]]:
-    """Yields each batch with columns island (start of the island the row belongs to) and seen (greatest end before the row), and the carry after it."""
+    """Yields each batch with columns island (start of the island the row belongs to), gap (whether a gap lies before it) and seen (greatest end before the row), and the carry after it."""
     for pdf in batches:
         if not len(pdf):
             continue
         runs, goes_on = _codes(pdf, entity, carry[0] if carry else None)
         start, end = pdf["start"].to_numpy(np.int64), pdf["end"].to_numpy(np.int64)
         first = np.r_[True, runs[1:] != runs[:-1]]
-        # greatest end so far within the run, the carried one included, by one running maximum over run-shifted values
-        top = np.empty(len(pdf), dtype=np.int64)
-        bounds = np.r_[np.flatnonzero(first), len(pdf)]
-        span = int(max(end.max(), carry[2] if goes_on else end.min()) - min(end.min(), carry[2] if goes_on else end.min())) + 2
-        base = int(min(end.min(), carry[2] if goes_on else end.min()))
-        shifted = end - base + runs * span
+        # greatest end so far within the run, the carried one included: a running maximum over the ranks of the ends, which stay small whatever the ends are
+        values, rank = np.unique(np.r_[end, carry[2] if goes_on else end[0]], return_inverse=True)
+        lifted = rank[:-1] + runs * len(values)
         if goes_on:
-            shifted[0] = max(shifted[0], carry[2] - base)
-        top = np.maximum.accumulate(shifted) - runs * span + base
-        seen = np.r_[_LOW, top[:-1]]
-        seen[bounds[:-1]] = _LOW
+            lifted[0] = max(lifted[0], rank[-1])
+        top = values[np.maximum.accumulate(lifted) - runs * len(values)]
+        seen = np.r_[end[0], top[:-1]]
+        fresh = first | (start > seen)
         if goes_on:
-            seen[0] = carry[2]
-        fresh = start > seen
-        label = np.where(fresh, start, 0)
+            seen[0], fresh[0] = carry[2], start[0] > carry[2]
         at = np.maximum.accumulate(np.where(fresh, np.arange(len(pdf)), -1))
-        island = np.where(at >= 0, label[np.maximum(at, 0)], carry[1] if goes_on else 0)
+        island = np.where(at >= 0, start[np.maximum(at, 0)], carry[1] if goes_on else 0)
+        gap = fresh & ~first
+        gap[0] = goes_on and fresh[0]
         entity_now = tuple(pdf[e].iloc[-1] for e in entity)
         carry = (entity_now, int(island[-1]), int(top[-1]))
-        yield pdf.assign(island=island, seen=seen, fresh=fresh), carry
+        yield pdf.assign(island=island, seen=seen, gap=gap), carry
 
 
 def _summaries(spread: DataFrame, entity: list[str]) -> list[tuple]:
@@ -121,7 +116,7 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], partitions: int |
 
         for pdf, _ in _scan(all_batches(), entity, carry):
             islands = pdf.groupby([*entity, "island"], sort=False, as_index=False)["end"].max().rename(columns={"island": "start"})
-            gaps = pdf[pdf["fresh"] & (pdf["seen"] > _LOW)]
+            gaps = pdf[pdf["gap"]]
             gaps = gaps[entity].assign(start=gaps["seen"], end=gaps["start"], kind="gap")
             yield pd.concat([islands.assign(kind="period")[[*entity, "kind", "start", "end"]], gaps[[*entity, "kind", "start", "end"]]])
 

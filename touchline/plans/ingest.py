@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text
-from touchline.functions.clocks import clock_seconds
+from touchline.functions.clocks import with_clock_seconds
 from touchline.functions.keys import bare_uuid, uuid_text
 from touchline.operators import quality, temporal, timestamps
 from touchline.plans.registry import query
@@ -140,7 +140,7 @@ def position_use(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stint_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Clock readings of stints as seconds, counted by shape: what could not be read shows as null."""
-    t = table(spark, sf, "lineups").select("from_clock", clock_seconds(F.col("from_clock")).alias("s"))
+    t = with_clock_seconds(table(spark, sf, "lineups").select("from_clock"), {"s": "from_clock"})
     return t.groupBy(timestamps.shape_mask(F.col("from_clock")).alias("shape")).agg(F.count("*").alias("rows"), F.count("s").alias("read"))
 
 

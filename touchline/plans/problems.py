@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.functions.clocks import clock_seconds
-from touchline.functions.keys import uuid_key, uuid_text
+from touchline.functions.clocks import with_clock_seconds
+from touchline.functions.keys import bare_uuid, hyphenated, uuid_key, uuid_text
 from touchline.operators import asof, intervals, orphans, shredding, timestamps
 from touchline.operators.shredding import Entity
 from touchline.session import table
@@ -103,10 +103,12 @@ def stint_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = F.transform(F.slice(F.col("ends"), 1, len(PERIOD_STARTS)), lambda e, i: F.greatest(e - F.get(starts, i), F.lit(0)))
     periods = F.transform(lengths, lambda n, i: F.struct(F.get(starts, i).alias("a"), (F.get(starts, i) + n).alias("b"), F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0), lambda x, y: x + y).alias("before")))
     ends = ends.withColumn("lengths", lengths).withColumn("periods", periods).withColumn("total", F.aggregate("lengths", F.lit(0), lambda x, y: x + y)).select("match_id", "periods", "total")
-    stints = table(spark, sf_dir, "lineups").select(
-        uuid_text(F.col("match_id")).alias("match_id"), uuid_text(F.col("player_id")).alias("player_id"), clock_seconds(F.col("from_clock")).alias("f"), clock_seconds(F.col("to_clock")).alias("t"),
-        "from_period", "to_period", F.col("to_clock").isNull().alias("open"),
-    )
+    stints = table(spark, sf_dir, "lineups").select("match_id", "player_id", "from_clock", "to_clock", "from_period", "to_period")
+    # keys are spelt alike in a step of their own, as the spelling is built from the bare one
+    stints = stints.withColumns({"m": bare_uuid(F.col("match_id")), "p": bare_uuid(F.col("player_id"))})
+    stints = with_clock_seconds(stints, {"f": "from_clock", "t": "to_clock"}).select(
+        hyphenated(F.col("m")).alias("match_id"), hyphenated(F.col("p")).alias("player_id"), "f", "t", "from_period", "to_period", F.col("to_clock").isNull().alias("open")
+    )
     joined = stints.join(ends, "match_id")
 
     def only(clock: str):
