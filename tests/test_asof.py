@@ -26,10 +26,22 @@ def test_as_known_against_brute_force(spark):
         if seen:
             want[i] = max(seen)[2]
     assert got == want
+    # the written history serves other events as well, and a period's length changes nothing
+    history = asof.materialise(r, ["entity"], F.when(F.col("updated").isNotNull(), F.greatest("updated", known)), [F.col("updated"), known, F.col("id")], days=9)
+    assert {x.event_id: x["rank"]["r2"] for x in asof.as_known(e, "id", F.col("moment"), history, {"entity": "entity"}).collect()} == want
     assert asof.as_known(e.limit(0), "id", F.col("moment"), r, {"entity": "entity"}, F.col("updated"), [F.col("id")]).collect() == []
     assert asof.as_known(e, "id", F.col("moment"), r.limit(0), {"entity": "entity"}, F.col("updated"), [F.col("id")]).collect() == []
 
 
+def test_stray_moments(spark):
+    """Changes and events thousands of years apart cost no row for the time between."""
+    year = 365 * DAY
+    r = spark.createDataFrame([(1, -1970 * year, 1), (1, 8000 * year, 2)], "entity int, at long, id int")
+    e = spark.createDataFrame([(1, 1, 0), (2, 1, 9000 * year), (3, 1, -1970 * year), (4, 1, -1971 * year)], "id int, entity int, moment long")
+    got = asof.as_known(e, "id", F.col("moment"), r, {"entity": "entity"}, F.col("at"), [F.col("at"), F.col("id")])
+    assert {x.event_id: x["rank"]["r1"] for x in got.collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_asof_join_bounds(spark):
     left = spark.createDataFrame([(1, 10), (1, 20), (2, 10), (1, None)], "k int, t int")
     right = spark.createDataFrame([(1, 10, "a"), (1, 10, "b"), (1, 15, "c"), (3, 1, "d"), (1, None, "e")], "k int, u int, v string")
