@@ -1,30 +1,34 @@
 """Mixed timestamp formats and zones to one unambiguous UTC form.
 
-A text is tokenised into a shape mask (one letter per class of token), the mask is looked up in a fixed table that names a
-parser for it, that is, where each field lies, and all rows are then converted by column expressions. Local times go through
-a table of zone offsets by local year, built from the installed zone database, in which a time that a clock change skips lies in
-no span and one that it repeats lies in two; both come out as unresolved. Nothing but the two fixed tables is broadcast.
+A text is tokenised into a mask of its length (letters A, digits 9, all else itself). Each distinct mask of the data is mapped once to a
+parser, that is, to where each field lies in the text; all rows are then converted by cutting their fields out at those places. Local times
+go through transition tables of the zones and local years in use, which bear the version of the zone database: a time that
+a clock change skips lies in no span of its zone and one that it repeats lies in two, and both come out as unresolved.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
+import hashlib
+import importlib.metadata
+import re
 import zoneinfo
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import cut, sized_join
+
 UNRESOLVED = "UNRESOLVED"
 
 # Month and weekday names, and the offsets in minutes that zone abbreviations stand for.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-MONTH_WORDS = "JAN(UARY)?|FEB(RUARY)?|MAR(CH)?|APR(IL)?|MAY|JUNE?|JULY?|AUG(UST)?|SEPT?(EMBER)?|OCT(OBER)?|NOV(EMBER)?|DEC(EMBER)?"
-WEEKDAY_WORDS = "MON(DAY)?|TUE(S|SDAY)?|WED(NESDAY)?|THU(R|RS|RSDAY)?|FRI(DAY)?|SAT(URDAY)?|SUN(DAY)?"
+MONTHS = "january february march april may june july august september october november december".split()
+WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+SHORT_FORMS = {"sept": "september", "tues": "tuesday", "thur": "thursday", "thurs": "thursday"}
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "SAST": 120, "MSK": 180,
     "IST": 330, "JST": 540, "KST": 540, "AWST": 480, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
@@ -32,92 +36,100 @@ ABBREVIATIONS = {
 }
 #: Day 0 of the spreadsheet day count.
 SERIAL_ORIGIN = -25569
-#: Local years the zone table holds; local times outside it come out as unresolved.
-YEARS = (1970, 2099)
-
-_MASK_STEPS = (
-    (rf"\b({MONTH_WORDS})\b\.?", "n"),
-    (rf"\b({WEEKDAY_WORDS})\b\.?", "w"),
-    (r"(?<![A-Z])[AP]\.?M\b\.?", "p"),
-    (r"(?<=[0-9])T(?=[0-9])", "t"),
-    (r"(?<=[0-9])H(?=[0-9])", "h"),
-    (r"[A-Z]+", "a"),
-    (r"(?<=:[0-9]{2})[.,][0-9]{1,9}(?![0-9])", ".f"),
-    (r"(?<![0-9])[0-9]{19}(?![0-9])", "N"),
-    (r"(?<![0-9])[0-9]{16}(?![0-9])", "U"),
-    (r"(?<![0-9])[0-9]{13}(?![0-9])", "M"),
-    (r"(?<![0-9])[0-9]{9,10}(?![0-9])", "S"),
-    (r"(?<![0-9])[0-9]{8}(?![0-9])", "c"),
-    (r"(?<![0-9])[0-9]{6}(?![0-9])", "g"),
-    (r"(?<![0-9])[0-9]{5}(?![0-9])", "e"),
-    (r"(?<![0-9])[0-9]{4}(?![0-9])", "y"),
-    (r"(?<![0-9])[0-9]{2}(?![0-9])", "D"),
-    (r"(?<![0-9])[0-9](?![0-9])", "d"),
-)
-
-
-def shape_mask(text: Column) -> Column:
-    """The shape of a text: n month name, w weekday, p am/pm, t and h separators, a other letters, d/D one or two digits, y four, c eight, g six, e five, S/M/U/N epoch counts, f a fraction; all else stands for itself."""
-    mask = F.upper(tidy(text))
-    for pattern, letter in _MASK_STEPS:
-        mask = F.regexp_replace(mask, pattern, letter)
-    return mask
+#: Blanks and dashes of other kinds than the plain ones. The longest text that a parser reads has 51 characters.
+BLANKS, DASHES, LONGEST = "\t\n\x0b\x0c\r\u00a0\u2007\u202f", "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", 64
 
 
 def tidy(text: Column) -> Column:
     """Surrounding and repeated blanks of any kind removed, typographic minus signs made plain."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[\\u2010-\\u2015\\u2212]", "-"), "[\\s\\u00a0\\u2007\\u202f]+", " "))
+    plain = F.translate(text, BLANKS + DASHES, " " * len(BLANKS) + "-" * len(DASHES))
+    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+
 
+def _mask(clean: Column) -> Column:
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    return F.when(F.length(clean) <= LONGEST, F.translate(clean, letters + digits, "A" * len(letters) + "9" * len(digits)))
 
-# Shapes of the three parts of a mask; a full timestamp is a date and a clock joined by t or a blank.
-_DATE = r"(?:w,? )?(?:[dD][- ]n[- ][Dy]|n [dD],? [Dy])|[dD][-/.][dD][-/.][Dy]|y[-/.][dD][-/.][dD]|c"
-_CLOCK = r"[dD]:D(?::D(?:\.f)?)?(?: ?p)?|[dD]\.D(?: ?p)?|[dD]hD|y|g"
-_ZONE = r" ?(?:a|[-+](?:D:D|D|y))"
-_WHOLE = rf"^(?:({_DATE})(?:([t ])({_CLOCK})({_ZONE})?)?|({_CLOCK})({_ZONE})?|(e)|([SMUN]))$"
+
+def shape_mask(text: Column) -> Column:
+    """The mask of a text: letters as A, digits as 9, all else as it is; null for null and for texts longer than any parser reads."""
+    return _mask(F.upper(tidy(text)))
+
+
+# The forms of the parts of a mask; a full timestamp is a date and a clock joined by a letter (a T, which the rows are asked for) or a blank.
+_FORMS = {
+    "date": (
+        r"(?:(?P<wd>A{3,9})\.?,? )?(?:(?P<d>99?)(?P<s>[- ])(?P<mw>A{3,9})\.?(?P=s)(?P<y>9999|99)|(?P<mw>A{3,9})\.? (?P<d>99?),? (?P<y>9999|99))",
+        r"(?P<d>99?)(?P<s>[-/.])(?P<mo>99?)(?P=s)(?P<y>9999|99)",
+        r"(?P<y>9999)(?P<s>[-/.])(?P<mo>99?)(?P=s)(?P<d>99?)",
+        r"(?P<y>9999)(?P<mo>99)(?P<d>99)",
+    ),
+    "clock": (r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?(?: ?(?P<ap>A\.?A\.?)(?!A))?", r"(?P<h>99?)\.(?P<mi>99)(?: ?(?P<ap>A\.?A\.?)(?!A))?", r"(?P<h>99?)(?P<hs>A)(?P<mi>99)", r"(?P<h>99)(?P<mi>99)(?P<s>99)?"),
+    "zone": (r" ?(?:(?P<z>A{1,5})|(?P<sg>[-+])(?P<oh>99)(?::?(?P<om>99))?)",),
+}
+#: The kinds of masks, and the fields that a parser places.
+KINDS = {"date": 1, "instant": 2, "clock": 3, "serial": 4, "epoch": 5}
+FIELDS = ("y", "mo", "d", "mw", "wd", "t", "h", "mi", "s", "f", "ap", "hs", "z", "sg", "oh", "om", "n")
 
 
 @lru_cache(1)
-def parsers() -> tuple[dict[str, list[int]], dict[str, list[int]], dict[str, list[int]]]:
-    """The parsers of date, clock and zone masks, built from layouts: for each mask where its fields lie.
+def _grammar() -> tuple[tuple[tuple[str, ...], re.Pattern], ...]:
+    """The parts that a whole mask may consist of, with their pattern; names that recur in alternatives are told apart by a number."""
+    count = iter(range(10_000))
+
+    def unique(pattern: str) -> str:
+        n = next(count)
+        # each alternative of a form has its own copy of a name
+        seen: dict[str, int] = {}
+
+        def named(m: re.Match) -> str:
+            seen[m[1]] = seen.get(m[1], 0) + 1
+            return f"(?P<{m[1]}_{n}_{seen[m[1]]}>"
+
+        out = re.sub(r"\(\?P<([a-z]+)>", named, pattern)
+        return re.sub(r"\(\?P=([a-z]+)\)", lambda m: f"(?P={m[1]}_{n}_1)", out)
+
+    dates, clocks, zones = ([unique(f) for f in _FORMS[k]] for k in ("date", "clock", "zone"))
+    zone = f"(?:{zones[0]})?"
+    out = [(("date",), re.compile(d)) for d in dates]
+    out += [(("instant",), re.compile(f"{d}(?: |(?P<t_0_0>A)){c}{zone}")) for d in dates for c in clocks]
+    out += [(("clock",), re.compile(f"{c}{zone}")) for c in clocks]
+    return (*out, (("serial",), re.compile(r"(?P<n_0_0>9{5})")), (("epoch",), re.compile(r"(?P<n_0_0>9{9,10}|9{13}|9{16}|9{19})")))
+
+
+def parser_of(mask: str | None) -> dict | None:
+    """The parser of a mask: its kind, whether the date is slashed, and of each of ``FIELDS`` its start (from 1; 0: none) and length in the text. None if the mask has none."""
+    if mask is None:
+        return None
+    for (kind,), pattern in _grammar():
+        m = pattern.fullmatch(mask)
+        if not m:
+            continue
+        at = {f: (0, 0) for f in FIELDS}
+        slashed = 0
+        for name, value in m.groupdict().items():
+            field, form, _ = name.split("_")
+            if value is None:
+                continue
+            # in dates s is the separator, in clocks the second
+            if field == "s" and not value.isdigit():
+                slashed = int(value == "/")
+            else:
+                at[field] = (m.start(name) + 1, len(value))
+        return {"kind": KINDS[kind], "slashed": bool(slashed), "fields": [{"at": at[f][0], "n": at[f][1]} for f in FIELDS]}
+    return None
+
+
+def mask_parsers(masks: DataFrame) -> DataFrame:
+    """mask, parser (kind, slashed, fields): each distinct mask of the data (the one column of ``masks``) that has a parser, parsed once. Written."""
 
-    A field is a number of the digit run (0: none), the start and the length in it. Dates: year, month, day, then the number of the month word, whether
-    slashed, how many runs and words the date takes. Clocks: hour, minute, second, fraction, the number of the am/pm word, runs, words. Zones: hours, minutes,
-    the number of the zone word, the sign.
-    """
-    none = [0, 0, 0]
-    dates: dict[str, list[int]] = {"c": [1, 1, 4, 1, 5, 2, 1, 7, 2, 0, 0, 1, 0]}
-    for a, b, sep in product("dD", "dD", "-/."):
-        dates[f"y{sep}{a}{sep}{b}"] = [1, 1, 4, 2, 1, 2, 3, 1, 2, 0, 0, 3, 0]
-        for y in "Dy":
-            dates[f"{a}{sep}{b}{sep}{y}"] = [3, 1, 4, 2, 1, 2, 1, 1, 2, 0, int(sep == "/"), 3, 0]
-    for a, y, lead in product("dD", "Dy", ("", "w ", "w, ")):
-        words = 1 + bool(lead)
-        for mask in (f"{a}-n-{y}", f"{a} n {y}", f"n {a}, {y}", f"n {a} {y}"):
-            dates[lead + mask] = [2, 1, 4, *none, 1, 1, 2, words, 0, 2, words]
-    clocks: dict[str, list[int]] = {"y": [1, 1, 2, 1, 3, 2, *none, *none, 0, 1, 0], "g": [1, 1, 2, 1, 3, 2, 1, 5, 2, *none, 0, 1, 0]}
-    for h, after in product("dD", ("", "p", " p")):
-        two, pm = [1, 1, 2, 2, 1, 2], int(bool(after))
-        clocks[f"{h}:D{after}"] = clocks[f"{h}.D{after}"] = [*two, *none, *none, pm, 2, pm]
-        clocks[f"{h}:D:D{after}"] = [*two, 3, 1, 2, *none, pm, 3, pm]
-        clocks[f"{h}:D:D.f{after}"] = [*two, 3, 1, 2, 4, 1, 9, pm, 4, pm]
-        clocks[f"{h}hD"] = [*two, *none, *none, 0, 2, 1]
-    zones: dict[str, list[int]] = {}
-    for gap in ("", " "):
-        zones[f"{gap}a"] = [*none, *none, 1, 1]
-        for sign, value in (("+", 1), ("-", -1)):
-            zones |= {f"{gap}{sign}D": [1, 1, 2, *none, 0, value], f"{gap}{sign}y": [1, 1, 2, 1, 3, 2, 0, value], f"{gap}{sign}D:D": [1, 1, 2, 2, 1, 2, 0, value]}
-    return dates, clocks, zones
-
-
-def _table(rules: dict[str, list[int]]) -> Column:
-    """A fixed table as a constant map."""
-    return F.from_json(F.lit(json.dumps(rules)), "map<string,array<int>>")
-
-
-def kind_of(mask: Column) -> Column:
-    """date, clock, instant, serial or epoch for a mask that has a parser, else null."""
-    part = lambda i: F.regexp_extract(mask, _WHOLE, i) != ""
-    return F.when(part(1), F.when(part(3), "instant").otherwise("date")).when(part(5), "clock").when(part(7), "serial").when(part(8), "epoch")
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.assign(parser=[parser_of(m) for m in pdf["mask"]])
+            yield pdf[pdf["parser"].notna()]
+
+    distinct = masks.toDF("mask").where("mask is not null").distinct()
+    return cut(distinct.mapInPandas(build, "mask string, parser struct<kind:int,slashed:boolean,fields:array<struct<at:int,n:int>>>"))
 
 
 def _spans_of_zone(name: str, first: int, last: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -128,13 +140,16 @@ def _spans_of_zone(name: str, first: int, last: int) -> list[tuple[int, int, lis
     def offset(second: int) -> int:
         return int((epoch + dt.timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
-    at = int((dt.datetime(first, 1, 1, tzinfo=dt.UTC) - epoch).total_seconds()) - 5 * 86400
-    end = int((dt.datetime(last + 1, 1, 1, tzinfo=dt.UTC) - epoch).total_seconds()) + 5 * 86400
+    # the calendar of the library ends with the years 1 and 9999
+    earliest, latest = (int((dt.datetime(*d, tzinfo=dt.UTC) - epoch).total_seconds()) for d in ((1, 1, 3), (9999, 12, 29)))
+    at = max(int((dt.datetime(first, 1, 1, tzinfo=dt.UTC) - epoch).total_seconds()) - 5 * 86400, earliest)
+    end = min(int((dt.datetime(last, 12, 31, tzinfo=dt.UTC) - epoch).total_seconds()) + 6 * 86400, latest)
     step, spans, start, now = 10 * 86400, [], at, offset(at)
     while at < end:
-        then = offset(at + step)
+        ahead = min(at + step, end)
+        then = offset(ahead)
         if then != now:
-            low, high = at, at + step
+            low, high = at, ahead
             while high - low > 1:
                 mid = (low + high) // 2
                 low, high = (mid, high) if offset(mid) == now else (low, mid)
@@ -142,124 +157,99 @@ def _spans_of_zone(name: str, first: int, last: int) -> list[tuple[int, int, lis
             start, now = high, offset(high)
             at = high
         else:
-            at += step
+            at = ahead
     spans.append((start, end, now))
     local = [(a + o, b + o, o) for a, b, o in spans]
     out = []
     for year in range(first, last + 1):
         a = int((dt.datetime(year, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds())
-        b = int((dt.datetime(year + 1, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds())
+        b = int((dt.datetime(year, 12, 31) - dt.datetime(1970, 1, 1)).total_seconds()) + 86400
         out.append((year, [s for s in local if s[0] < b and s[1] > a]))
     return out
 
 
-def zone_table(spark: SparkSession, used: DataFrame | None = None, zones: list[str] | None = None, years: tuple[int, int] = YEARS) -> DataFrame:
-    """zone_name, local_year, spans (array of local start, local end, offset in seconds), tz_version: the zone database as offsets by local year.
+def zone_table(used: DataFrame) -> DataFrame:
+    """zone_name, local_year, spans (array of local start, local end, offset in seconds), tz_version: the zone database as offsets by local year, for the pairs of ``used`` (zone_name, local_year).
 
-    Its size is bounded by the zone database (about 600 names) and ``years``; with ``used``, a column of zone names, it holds only those of
-    them that the database knows. It is built on the executors.
+    Names that the database does not know have no rows. It is built on the executors, and written.
     """
-    names = sorted(zones if zones is not None else (z for z in zoneinfo.available_timezones() if not z.startswith(("posix/", "right/")) and z != "localtime"))
-    version, known = zone_version(), frozenset(names)
-    first, last = years
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, version = zoneinfo.available_timezones(), zone_version()
         for batch in batches:
-            rows = [(name, year, [{"a": a, "b": b, "o": o} for a, b, o in spans], version) for name in batch["zone_name"] if name in known for year, spans in _spans_of_zone(name, first, last)]
+            rows = []
+            for name, years in batch.groupby("zone_name")["local_year"]:
+                if name in known:
+                    wanted = set(years)
+                    rows += [(name, year, [{"a": a, "b": b, "o": o} for a, b, o in spans], version) for year, spans in _spans_of_zone(name, min(wanted), max(wanted)) if year in wanted]
             yield pd.DataFrame(rows, columns=["zone_name", "local_year", "spans", "tz_version"])
 
-    if used is None:
-        source = spark.createDataFrame([(n,) for n in names], "zone_name string").repartition(max(1, min(8, len(names) // 20)))
-    else:
-        source = used.where(F.col(used.columns[0]).isNotNull()).toDF("zone_name").distinct().coalesce(1)
-    return source.mapInPandas(build, "zone_name string, local_year int, spans array<struct<a:bigint,b:bigint,o:int>>, tz_version string")
+    pairs = used.toDF("zone_name", "local_year").where("zone_name is not null and local_year is not null").distinct().repartition("zone_name")  # each zone is worked through once
+    return cut(pairs.mapInPandas(build, "zone_name string, local_year int, spans array<struct<a:bigint,b:bigint,o:int>>, tz_version string"))
 
 
 @lru_cache(1)
 def zone_version() -> str:
-    """The release of the zone database in use."""
-    try:
-        import importlib.metadata
-
-        return importlib.metadata.version("tzdata")
-    except Exception:  # noqa: BLE001  no tzdata distribution: the system's database
-        return "system"
+    """The release of the zone database in use: as its distribution or its files name it, else a digest of the files."""
+    for folder in map(Path, zoneinfo.TZPATH):
+        for name, pattern in (("tzdata.zi", r"# version (\S+)"), ("+VERSION", r"(\S+)"), ("version", r"(\S+)")):
+            file = folder / name
+            if file.is_file() and (m := re.match(pattern, file.read_text(errors="replace"))):
+                return m[1]
+        if folder.is_dir():
+            digest = hashlib.sha256()
+            for name in sorted(zoneinfo.available_timezones()):
+                file = folder / name
+                digest.update(name.encode() + (file.read_bytes() if file.is_file() else b""))
+            return f"sha256:{digest.hexdigest()[:16]}"
+    return importlib.metadata.version("tzdata")
+
+
+def _names(values: list[str]) -> Column:
+    """A constant map of names, their first three letters and their other short forms, in capitals, to their number from 1."""
+    numbers = {form.upper(): i + 1 for i, v in enumerate(values) for form in (v, v[:3])}
+    numbers |= {s.upper(): values.index(v) + 1 for s, v in SHORT_FORMS.items() if v in values}
+    return F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
 
 
 def _parsed(df: DataFrame, text: str, prefix: str, month_first: Column) -> DataFrame:
-    """Adds ``{prefix}kind``, day (days since 1970), clock (microseconds of the day), offset (seconds), epoch (microseconds), bad."""
+    """Adds ``{prefix}kind`` (a number of KINDS), day (days since 1970), clock (microseconds of the day), zoned, offset (seconds), epoch (microseconds)."""
     p = prefix
-    dates, clocks, zones = parsers()
     c = lambda name: F.col(f"{p}{name}")
-    clean = F.upper(tidy(F.col(text)))
-    df = df.withColumn(f"{p}mask", shape_mask(F.col(text)))
-    group = lambda i: F.regexp_extract(c("mask"), _WHOLE, i)
-    # the mask's parts, each mapped to its parser
-    df = df.withColumns({f"{p}kind": kind_of(c("mask")), f"{p}sep": group(2), f"{p}clockmask": F.concat(group(3), group(5)), f"{p}zonemask": F.concat(group(4), group(6)), f"{p}datemask": group(1)})
-    df = df.withColumns(
-        {
-            f"{p}date": F.try_element_at(_table(dates), c("datemask")),
-            f"{p}time": F.try_element_at(_table(clocks), c("clockmask")),
-            f"{p}zonerule": F.try_element_at(_table(zones), c("zonemask")),
-            f"{p}runs": F.regexp_extract_all(clean, F.lit("[0-9]+"), F.lit(0)),
-            f"{p}words": F.regexp_extract_all(clean, F.lit("(?:[AP]\\.M|[A-Z]+)"), F.lit(0)),
-        }
-    )
-    # where the clock's and the zone's own runs and words begin
-    runs0, words0 = F.coalesce(c("date")[11], F.lit(0)), F.coalesce(c("date")[12], F.lit(0)) + (c("sep") == "t").cast("int")
-    runs1, words1 = runs0 + F.coalesce(c("time")[13], F.lit(0)), words0 + F.coalesce(c("time")[14], F.lit(0))
-    df = df.withColumns({f"{p}r0": runs0, f"{p}w0": words0, f"{p}r1": runs1, f"{p}w1": words1})
-
-    def piece(rule: Column, at: int, base: Column) -> Column:
-        return F.when(rule[at] > 0, F.substr(F.try_element_at(c("runs"), rule[at] + base), rule[at + 1], rule[at + 2]))
-
-    def word(number: Column, base: Column) -> Column:
-        return F.when(number > 0, F.try_element_at(c("words"), number + base))
-
-    zero = F.lit(0)
-    date, time, zone = c("date"), c("time"), c("zonerule")
-    digits = {
-        "y": piece(date, 0, zero), "mo": piece(date, 3, zero), "d": piece(date, 6, zero),
-        "h": piece(time, 0, c("r0")), "mi": piece(time, 3, c("r0")), "s": piece(time, 6, c("r0")), "f": piece(time, 9, c("r0")),
-        "oh": piece(zone, 0, c("r1")), "om": piece(zone, 3, c("r1")),
-        "count": F.when(c("kind").isin("epoch", "serial"), F.try_element_at(c("runs"), F.lit(1))),
-    }
-
-    def number(f: str) -> Column:
-        return digits[f].cast("int")
-
-    months = F.array(*[F.lit(m.upper()) for m in MONTHS])
-    year = F.when(F.length(digits["y"]) <= 2, number("y") + 2000).otherwise(number("y"))
-    swap = F.coalesce(date[10] == 1, F.lit(False)) & month_first
-    numeric_month = F.when(swap, number("d")).otherwise(number("mo"))
-    month = F.when(date[9] > 0, F.array_position(months, F.substring(word(date[9], zero), 1, 3)).cast("int")).otherwise(numeric_month)
-    day = F.when(swap, number("mo")).otherwise(number("d"))
-    df = df.withColumns({f"{p}y": year, f"{p}mo": month, f"{p}d": day, f"{p}hh": number("h"), f"{p}ap": F.substring(word(time[12], c("w0")), 1, 1)})
+    df = df.withColumn(f"{p}text", F.upper(tidy(F.col(text)))).withColumn(f"{p}mask", _mask(c("text")))
+    parsers = mask_parsers(df.select(f"{p}mask")).toDF(f"{p}mask", f"{p}parser")
+    df = sized_join(df, parsers, [f"{p}mask"], "left")
+    # all fields are cut out in one step
+    pieces = F.transform(c("parser")["fields"], lambda x: F.when(x["at"] > 0, F.substr(c("text"), x["at"], x["n"])))
+    df = df.withColumns({f"{p}f": pieces, f"{p}kind": c("parser")["kind"], f"{p}slash": c("parser")["slashed"]})
+    field = lambda f: c("f")[FIELDS.index(f)]
+    number = lambda f: field(f).cast("int")
+    swap = c("slash") & month_first
+    year = F.when(F.length(field("y")) <= 2, number("y") + 2000).otherwise(number("y"))
+    month = F.when(field("mw").isNotNull(), F.try_element_at(_names(MONTHS), field("mw"))).when(swap, number("d")).otherwise(number("mo"))
+    ap = F.translate(field("ap"), ".", "")
+    df = df.withColumns({f"{p}y": year, f"{p}mo": month, f"{p}d": F.when(swap, number("mo")).otherwise(number("d")), f"{p}hh": number("h"), f"{p}ap": ap})
     leap = ((c("y") % 4 == 0) & (c("y") % 100 != 0)) | (c("y") % 400 == 0)
     last = F.when(c("mo") == 2, F.when(leap, 29).otherwise(28)).when(c("mo").isin(4, 6, 9, 11), 30).otherwise(31)
-    real = c("mo").between(1, 12) & c("d").between(1, last) & (c("y") >= 1)
+    # words that stand where a weekday, a T or an h should must be that
+    fits = (field("wd").isNull() | F.try_element_at(_names(WEEKDAYS), field("wd")).isNotNull()) & (field("t").isNull() | (field("t") == "T"))
+    real = c("mo").between(1, 12) & c("d").between(1, last) & (c("y") >= 1) & fits
     civil = F.unix_date(F.make_date(F.when(real, c("y")), F.when(real, c("mo")), F.when(real, c("d"))))
-    serial = F.when(c("kind") == "serial", number("count") + SERIAL_ORIGIN)
-    hour = F.when(c("ap").isNull(), F.when(c("hh") <= 23, c("hh"))).when(c("hh").between(1, 12), c("hh") % 12 + F.when(c("ap") == "P", 12).otherwise(0))
+    serial = F.when(c("kind") == KINDS["serial"], number("n") + SERIAL_ORIGIN)
+    hour = F.when(c("ap").isNull(), F.when(c("hh") <= 23, c("hh"))).when(c("ap").isin("AM", "PM") & c("hh").between(1, 12), c("hh") % 12 + F.when(c("ap") == "PM", 12).otherwise(0))
     minute, second = number("mi"), F.coalesce(number("s"), F.lit(0))
-    micro = F.coalesce(F.rpad(F.substring(digits["f"], 1, 6), 6, "0").cast("int"), F.lit(0))
-    clock = F.when((minute <= 59) & (second <= 59), (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000 + micro)
+    micro = F.coalesce(F.rpad(F.substring(field("f"), 1, 6), 6, "0").cast("int"), F.lit(0))
+    plain = (minute <= 59) & (second <= 59) & (field("hs").isNull() | (field("hs") == "H"))
+    clock = F.when(plain, (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000 + micro)
     abbreviations = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    minutes = number("oh") * 60 + F.coalesce(number("om"), zero)
-    written = F.when((number("oh") <= 18) & (F.coalesce(number("om"), zero) <= 59), zone[7] * minutes * 60).otherwise(F.try_element_at(abbreviations, word(zone[6], c("w1"))) * 60)
-    count = F.when(c("kind") == "epoch", digits["count"]).cast("decimal(20,0)")
-    size = F.length(digits["count"])
+    om = F.coalesce(number("om"), F.lit(0))
+    written = F.when((number("oh") <= 18) & (om <= 59), F.when(field("sg") == "-", -1).otherwise(1) * (number("oh") * 60 + om) * 60).otherwise(F.try_element_at(abbreviations, field("z")) * 60)
+    size = F.length(field("n"))
+    count = F.when(c("kind") == KINDS["epoch"], field("n")).cast("decimal(20,0)")
     scale = F.when(size <= 10, F.lit(1_000_000)).when(size == 13, F.lit(1_000)).otherwise(F.lit(1))
     epoch = F.when(size == 19, F.floor(count / 1000)).otherwise(count * scale).cast("long")
-    return df.withColumns(
-        {
-            f"{p}day": F.when(c("kind") == "serial", serial).otherwise(civil),
-            f"{p}clock": clock,
-            f"{p}zoned": c("zonemask") != "",
-            f"{p}offset": written,
-            f"{p}epoch": epoch,
-        }
-    ).drop(*[f"{p}{x}" for x in ("mask", "sep", "clockmask", "zonemask", "datemask", "date", "time", "zonerule", "runs", "words", "r0", "w0", "r1", "w1", "y", "mo", "d", "hh", "ap")])
+    df = df.withColumns({f"{p}day": F.coalesce(serial, civil), f"{p}clock": clock, f"{p}zoned": field("z").isNotNull() | field("oh").isNotNull(), f"{p}offset": written, f"{p}epoch": epoch})
+    return df.drop(*[f"{p}{x}" for x in ("text", "mask", "parser", "f", "slash", "y", "mo", "d", "hh", "ap")])
 
 
 def _iso_instant(us: Column) -> Column:
@@ -277,9 +267,9 @@ def _iso_instant(us: Column) -> Column:
     )
 
 
-def _sealed(df: DataFrame, columns: list[str], out: str, value: Column) -> DataFrame:
-    """``columns`` and ``value`` as ``out``, through a generator: a filter on ``out`` would else be pushed below the parsing and repeat it in full."""
-    return df.select(*columns, F.explode(F.array(value)).alias(out))
+def _sealed(df: DataFrame, columns: list[str], values: dict[str, Column]) -> DataFrame:
+    """``columns`` and ``values``, through a generator: a filter on a value would else be pushed below the parsing and repeat it in full."""
+    return df.select(*columns, F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
 
 
 def normalise_days(df: DataFrame, text: str, out: str, month_first: Column | None = None) -> DataFrame:
@@ -290,39 +280,39 @@ def normalise_days(df: DataFrame, text: str, out: str, month_first: Column | Non
     """
     month_first = F.lit(False) if month_first is None else F.coalesce(month_first, F.lit(False))
     parsed = _parsed(df, text, "__d", month_first)
-    day = F.when(F.col("__dkind").isin("date", "serial", "instant"), F.col("__dday"))
-    return _sealed(parsed, df.columns, out, F.coalesce(F.date_from_unix_date(day).cast("string"), F.lit(UNRESOLVED)))
+    day = F.when(F.col("__dkind").isin(KINDS["date"], KINDS["serial"], KINDS["instant"]), F.col("__dday"))
+    return _sealed(parsed, df.columns, {out: F.coalesce(F.date_from_unix_date(day).cast("string"), F.lit(UNRESOLVED))})
 
 
-def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Column], day_text: str | None = None, month_first: Column | None = None) -> DataFrame:
+def normalise_instants(df: DataFrame, clock_text: str, out: str, zones: list[Column], day_text: str | None = None, month_first: Column | None = None, version: str | None = None) -> DataFrame:
     """Adds ``out``: the UTC instant of ``clock_text`` (with its day in ``day_text``, if that is given) as yyyy-MM-ddTHH:mm:ss.SSSSSSZ, or UNRESOLVED.
 
     A full timestamp or an epoch count in ``clock_text`` stands alone. A written offset or zone abbreviation goes before
     ``zones``, of which the first that is neither null nor blank counts. UNRESOLVED where a part is null, empty, of unknown form or
     impossible, where no zone is known or the zone is not in the zone database, and where the local time is skipped or repeated by a
-    clock change. Digits finer than microseconds are cut off. Other columns are kept.
+    clock change. Digits finer than microseconds are cut off. Other columns are kept. With ``version``, a column of that name tells the
+    release of the zone database where a row went through it.
     """
     columns = df.columns
     month_first = F.lit(False) if month_first is None else F.coalesce(month_first, F.lit(False))
     zone = F.coalesce(*[F.when(F.trim(z) != "", F.trim(z)) for z in zones]) if zones else F.lit(None).cast("string")
-    used, df = df, _parsed(df.withColumn("__zone", zone), clock_text, "__c", month_first)
-    day = F.when(F.col("__ckind") == "instant", F.col("__cday"))
+    df = _parsed(df.withColumn("__zone", zone), clock_text, "__c", month_first)
+    day = F.when(F.col("__ckind") == KINDS["instant"], F.col("__cday"))
     if day_text is not None:
         df = _parsed(df, day_text, "__d", month_first)
-        day = F.coalesce(day, F.when((F.col("__ckind") == "clock") & F.col("__dkind").isin("date", "serial"), F.col("__dday")))
-    local = day.cast("long") * 86_400_000_000 + F.col("__cclock")
-    df = df.withColumn("__local", local)
+        day = F.coalesce(day, F.when((F.col("__ckind") == KINDS["clock"]) & F.col("__dkind").isin(KINDS["date"], KINDS["serial"]), F.col("__dday")))
+    df = df.withColumn("__local", day.cast("long") * 86_400_000_000 + F.col("__cclock"))
     needs = F.col("__local").isNotNull() & ~F.col("__czoned")
     df = df.withColumn("__year", F.when(needs, F.year(F.date_from_unix_date(F.floor(F.col("__local") / F.lit(86_400_000_000)).cast("int")))))
-    table = F.broadcast(zone_table(df.sparkSession, used.select(zone.alias("zone_name"))).select(F.col("zone_name").alias("__zone"), F.col("local_year").alias("__year"), F.col("spans").alias("__spans")))
-    df = df.join(table, ["__zone", "__year"], "left")
+    table = zone_table(df.select("__zone", "__year")).toDF("__zone", "__year", "__spans", "__version")
+    df = sized_join(df, table, ["__zone", "__year"], "left")
     hits = F.filter(F.col("__spans"), lambda s: (s["a"] * 1_000_000 <= F.col("__local")) & (F.col("__local") < s["b"] * 1_000_000))
     offset = F.when(F.col("__czoned"), F.col("__coffset")).otherwise(F.when(F.size(hits) == 1, F.try_element_at(hits, F.lit(1))["o"]))
-    instant = F.when(F.col("__ckind") == "epoch", F.col("__cepoch")).otherwise(F.col("__local") - offset.cast("long") * 1_000_000)
-    return _sealed(df, columns, out, F.coalesce(_iso_instant(instant), F.lit(UNRESOLVED)))
+    instant = F.when(F.col("__ckind") == KINDS["epoch"], F.col("__cepoch")).otherwise(F.col("__local") - offset.cast("long") * 1_000_000)
+    return _sealed(df, columns, {out: F.coalesce(_iso_instant(instant), F.lit(UNRESOLVED))} | ({version: F.col("__version")} if version else {}))
 
 
 def unknown_shapes(df: DataFrame, text: str) -> DataFrame:
-    """shape, rows: the shapes of ``text`` that have no parser, for extending the table; counted with a map-side combine."""
-    shapes = df.select(shape_mask(F.col(text)).alias("shape")).groupBy("shape").agg(F.count("*").alias("rows"))
-    return shapes.where(kind_of(F.col("shape")).isNull())
+    """shape, rows: the masks of ``text`` that have no parser (null: longer than any), for extending the forms; counted with a map-side combine."""
+    shapes = df.where(F.col(text).isNotNull()).select(shape_mask(F.col(text)).alias("shape")).groupBy("shape").agg(F.count("*").alias("rows"))
+    return shapes.join(mask_parsers(shapes.select("shape")).select(F.col("mask").alias("shape")), "shape", "left_anti")
