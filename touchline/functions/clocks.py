@@ -26,8 +26,8 @@ def clock_seconds(text: Column) -> Column:
     return _seconds(F.split(F.translate(whole, "+", ":"), ":"), whole.contains("+"))
 
 
-def with_clock_seconds(df: DataFrame, clocks: dict[str, str]) -> DataFrame:
-    """Adds, per entry of ``clocks`` (new column: text column), the whole seconds of a match clock.
+def with_clock_seconds(df: DataFrame, clocks: dict[str, str], *columns: str | Column) -> DataFrame:
+    """``columns`` (default: all) and, per entry of ``clocks`` (new column: text column), the whole seconds of a match clock.
 
     mm:ss, hh:mm:ss, mm+m:ss (added time), each with or without a fraction, which is cut off; null for other text. Each text is matched once and
     split at single characters, in steps of their own, so that no expression is evaluated twice.
@@ -35,4 +35,4 @@ def with_clock_seconds(df: DataFrame, clocks: dict[str, str]) -> DataFrame:
     kept = df.columns
     df = df.withColumns({f"__w_{n}": _whole(F.trim(F.col(text))) for n, text in clocks.items()})
     df = df.withColumns({f"__p_{n}": F.split(F.translate(F.col(f"__w_{n}"), "+", ":"), ":") for n in clocks})
-    return df.select(*kept, *[_seconds(F.col(f"__p_{n}"), F.col(f"__w_{n}").contains("+")).alias(n) for n in clocks])
+    return df.select(*(columns or kept), *[_seconds(F.col(f"__p_{n}"), F.col(f"__w_{n}").contains("+")).alias(n) for n in clocks])

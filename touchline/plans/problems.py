@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.clocks import with_clock_seconds
-from touchline.functions.keys import bare_uuid, hyphenated, uuid_key, uuid_text
+from touchline.functions.keys import bare_uuid, hyphenated, uuid_key
 from touchline.operators import asof, intervals, orphans, shredding, timestamps
 from touchline.operators.shredding import Entity
 from touchline.session import table
@@ -93,29 +93,30 @@ def stint_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, player_id, start, end: each stint on the played seconds of its match (start not before end where it covers nothing)."""
     ends = (
         table(spark, sf_dir, "open_matches")
-        .select(uuid_text(F.col("match_id")).alias("match_id"), F.col("period_end_seconds").alias("ends"))
-        .where("match_id is not null and size(ends) > 0")
-        .groupBy("match_id")
-        .agg(F.max("ends").alias("ends"))
+        .where("size(period_end_seconds) > 0")
+        .groupBy(bare_uuid(F.col("match_id")).alias("match"))
+        .agg(F.max("period_end_seconds").alias("ends"))
     )
     starts = F.array(*[F.lit(s) for s in PERIOD_STARTS])
     # of each period its start and end on the clock, and the played seconds before it
     lengths = F.transform(F.slice(F.col("ends"), 1, len(PERIOD_STARTS)), lambda e, i: F.greatest(e - F.get(starts, i), F.lit(0)))
     periods = F.transform(lengths, lambda n, i: F.struct(F.get(starts, i).alias("a"), (F.get(starts, i) + n).alias("b"), F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0), lambda x, y: x + y).alias("before")))
-    ends = ends.withColumn("lengths", lengths).withColumn("periods", periods).withColumn("total", F.aggregate("lengths", F.lit(0), lambda x, y: x + y)).select("match_id", "periods", "total")
+    ends = ends.withColumn("lengths", lengths).withColumn("periods", periods).withColumn("total", F.aggregate("lengths", F.lit(0), lambda x, y: x + y)).select("match", "periods", "total")
     stints = table(spark, sf_dir, "lineups").select("match_id", "player_id", "from_clock", "to_clock", "from_period", "to_period")
-    # keys are spelt alike in a step of their own, as the spelling is built from the bare one
-    stints = stints.withColumns({"m": bare_uuid(F.col("match_id")), "p": bare_uuid(F.col("player_id"))})
-    stints = with_clock_seconds(stints, {"f": "from_clock", "t": "to_clock"}).select(
-        hyphenated(F.col("m")).alias("match_id"), hyphenated(F.col("p")).alias("player_id"), "f", "t", "from_period", "to_period", F.col("to_clock").isNull().alias("open")
-    )
-    joined = stints.join(ends, "match_id")
+    stints = with_clock_seconds(stints, {"f": "from_clock", "t": "to_clock"}, "match_id", "player_id", "from_period", "to_period", F.col("to_clock").isNull().alias("open"))
+    # sealed by a generator: the join would else push a filter on the key below its making, and make it several times
+    keys = F.struct(bare_uuid(F.col("match_id")).alias("match"), bare_uuid(F.col("player_id")).alias("player"))
+    joined = stints.select("f", "t", "from_period", "to_period", "open", F.inline(F.array(keys))).join(ends, "match")
 
     def only(clock: str):
         """The one period that holds the clock; null where none or more than one does."""
-        held = F.filter(F.transform("periods", lambda p, i: F.struct(p["a"].alias("a"), p["b"].alias("b"), (i + 1).alias("n"))), lambda p: (p["a"] <= F.col(clock)) & (F.col(clock) <= p["b"]))
-        strict = F.filter(held, lambda p: F.col(clock) < p["b"])
-        return F.when(F.size(strict) == 1, F.get(strict, F.lit(0))["n"]).when((F.size(strict) == 0) & (F.size(held) == 1), F.get(held, F.lit(0))["n"])
+        # at most four periods: counted and numbered one by one
+        at, none = F.col(clock), F.lit(0)
+        inside = [F.coalesce((F.get("periods", F.lit(i))["a"] <= at) & (at < F.get("periods", F.lit(i))["b"]), F.lit(False)) for i in range(len(PERIOD_STARTS))]
+        end = [F.coalesce(at == F.get("periods", F.lit(i))["b"], F.lit(False)) for i in range(len(PERIOD_STARTS))]
+        count = lambda flags: sum((f.cast("int") for f in flags), none)
+        number = lambda flags: sum((f.cast("int") * (i + 1) for i, f in enumerate(flags)), none)
+        return F.when(count(inside) == 1, number(inside)).when((count(inside) == 0) & (count(end) == 1), number(end))
 
     def played(period, clock: str):
         p = F.get("periods", period - 1)
@@ -124,7 +125,7 @@ def stint_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = joined.withColumns({"fp": F.coalesce("from_period", only("f")), "tp": F.coalesce("to_period", only("t"))})
     last = F.get("periods", F.col("to_period") - 1)
     end = F.when(F.col("open"), F.coalesce(last["before"] + last["b"] - last["a"], F.col("total"))).otherwise(played(F.col("tp"), "t"))
-    return joined.select("match_id", "player_id", played(F.col("fp"), "f").alias("start"), end.alias("end"))
+    return joined.select(hyphenated(F.col("match")).alias("match_id"), hyphenated(F.col("player")).alias("player_id"), played(F.col("fp"), "f").alias("start"), end.alias("end"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
