@@ -60,8 +60,9 @@ HOT_KEYS = 1024
 
 
 def bytes_of(df: DataFrame) -> int:
-    """About the bytes that the rows of ``df`` take: the lengths of texts, and of other nested values as JSON, 16 for a field and for a row."""
-    width = lambda name, kind: F.octet_length(name) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(name))) if kind.startswith(("array", "map", "struct")) else F.lit(0)
+    """About the bytes that the rows of ``df`` take: the lengths of texts and of arrays of numbers, of other nested values as JSON, 16 for a field and for a row."""
+    plain = ("array<int>", "array<bigint>", "array<double>")
+    width = lambda name, kind: F.octet_length(name) if kind in ("string", "binary") else 8 * F.size(name) if kind in plain else F.octet_length(F.to_json(F.struct(name))) if kind.startswith(("array", "map", "struct")) else F.lit(0)
     sizes = [F.coalesce(width(name, kind), F.lit(0)) + 16 for name, kind in df.dtypes]
     return df.agg(F.sum(sum(sizes, F.lit(16))).alias("n")).first()["n"] or 0
 
