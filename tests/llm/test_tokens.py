@@ -48,3 +48,9 @@ def test_corpus(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in tokens.encode(docs, "doc_id", "text").collect():
         assert list(r.ids) == (t.encode(texts[r.doc_id], add_special_tokens=False).ids if texts[r.doc_id] else [])
+
+
+@pytest.mark.parametrize("head", [tokens.HEAD_WORDS, 3])
+def test_counts_equal_the_lists(docs, head):
+    got = {r.doc_id: r.tokens for r in tokens.token_counts(docs, "doc_id", "text", ["k"], head_words=head).collect()}
+    assert [got[i] for i in range(len(TEXTS))] == [len(x) for x in expected()]

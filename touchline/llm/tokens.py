@@ -1,8 +1,8 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer through a distinct-word table.
 
 Texts are split into words by the tokenizer's own pattern inside Spark, each distinct word is encoded once, and the ids are joined
-back by position. The most frequent words (a bounded number) are joined by a vectorised look-up next to the texts; occurrences
-of all other words go through a shuffled join with the word table and are put into their places.
+back by position. The most frequent words (bounded in number and in bytes) are joined by a vectorised look-up next to the texts; occurrences
+of all other words go through a join with the rest of the word table and are put into their places.
 """
 
 from __future__ import annotations
@@ -11,19 +11,20 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.session import cut
+from touchline.session import cut, sized_join
 
 #: Folder of the public tokenizers; a parameter of every function that reads it.
 TOKENIZERS = os.environ.get("TOUCHLINE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern by which the tokenizer splits texts into words, with white space as in Unicode.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The words looked up beside the texts; the word table itself has no bound.
-HEAD_WORDS = 200_000
+#: The words looked up beside the texts, and the bytes and ids that each of them has at most: about 35 MB together. The word table itself has no bound.
+HEAD_WORDS, HEAD_WORD_BYTES, HEAD_WORD_IDS = 200_000, 32, 32
 
 
 def words_of(text):
@@ -53,17 +54,19 @@ def _offsets(lengths: pa.Array) -> pa.Array:
     return pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(pc.cast(lengths, pa.int64()))])
 
 
-def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", head_words: int = HEAD_WORDS) -> DataFrame:
-    """key, ids: the token ids of each text, without special tokens (their strings are ordinary text).
+def _looked_up(docs: DataFrame, key: str, text: str, table: DataFrame, head_words: int, counts: bool) -> tuple[DataFrame, DataFrame]:
+    """The texts with what the commonest words give, and the rest of the word table.
 
-    Empty and null texts have an empty list. One row comes out for each row of ``docs``, repeated and null keys included; an
-    empty table gives no rows; texts of any length are encoded whole; other columns are not read. The result does not depend on ``head_words``.
+    Of the texts: k, ids (with ``counts`` their number instead), and gaps: per missing word how many ids precede it in the text, its number among the text's words, and the word.
     """
-    spark = docs.sparkSession
-    table = word_table(docs, text, tokenizers, name)
-    head = table.orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((pc.cast(head["word"].combine_chunks(), pa.large_string()), pc.cast(head["ids"].combine_chunks(), pa.large_list(pa.int32()))))
-    whole = len(head) < head_words
+    short = (F.octet_length("word") <= HEAD_WORD_BYTES) & (F.size("ids") <= HEAD_WORD_IDS)
+    ordered = table.where(short).orderBy(F.desc("n"), "word").limit(head_words).select("word", "n", "ids").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((pc.cast(ordered["word"].combine_chunks(), pa.large_string()), pc.cast(ordered["ids"].combine_chunks(), pa.large_list(pa.int32()))))
+    if len(ordered) < head_words:
+        rest = table.where(~short)
+    else:  # in the order of the head: rarer than its last word, or as rare and later in the alphabet
+        last, word = ordered["n"][-1].as_py(), ordered["word"][-1].as_py()
+        rest = table.where(~short | (F.col("n") < last) | ((F.col("n") == last) & (F.col("word") > word)))
     key_type = dict(docs.dtypes)[key]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,38 +76,44 @@ def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, n
             flat = pc.cast(words.flatten(), pa.large_string())
             at = pc.index_in(flat, value_set=known)
             found = codes.take(at)  # one list per word, null where the word is not in the head
-            lengths = pc.fill_null(pc.list_value_length(found), 0)
-            starts = _offsets(lengths)
+            starts = _offsets(pc.fill_null(pc.list_value_length(found), 0))
             word_starts = pc.cast(pc.subtract(words.offsets, words.offsets[0]), pa.int64())
-            ids = pa.LargeListArray.from_arrays(starts.take(word_starts), pc.cast(found.drop_null().flatten(), pa.int32()))
+            id_starts = starts.take(word_starts)
+            if counts:
+                out = pc.cast(pc.subtract(id_starts[1:], id_starts[:-1]), pa.int64())
+            else:
+                out = pc.cast(pa.LargeListArray.from_arrays(id_starts, pc.cast(found.drop_null().flatten(), pa.int32())), pa.list_(pa.int32()))
             gap_at = pc.indices_nonzero(pc.is_null(at))
             # the texts' gaps: the missing word, its number in the text, and how many ids precede it
             gap_doc = pc.list_parent_indices(words).take(gap_at)
             ordinal = pc.subtract(pc.cast(gap_at, pa.int64()), word_starts.take(gap_doc))
-            before = pc.subtract(starts.take(gap_at), starts.take(word_starts.take(gap_doc)))
-            counts = pc.value_counts(gap_doc)
-            per_doc = [0] * len(batch)
-            for c in counts.to_pylist():
-                per_doc[c["values"]] = c["counts"]
+            before = pc.subtract(starts.take(gap_at), id_starts.take(gap_doc))
+            per_doc = np.bincount(gap_doc.to_numpy(zero_copy_only=False).astype(np.int64), minlength=len(batch))
             gaps = pa.StructArray.from_arrays([pc.cast(before, pa.int32()), pc.cast(ordinal, pa.int32()), pc.cast(flat.take(gap_at), pa.string())], ["before", "ordinal", "word"])
-            gap_lists = pa.ListArray.from_arrays(pc.cast(_offsets(pa.array(per_doc, pa.int64())), pa.int32()), gaps)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pc.cast(ids, pa.list_(pa.int32())), gap_lists], ["k", "ids", "gaps"])
+            gap_lists = pa.ListArray.from_arrays(pc.cast(_offsets(pa.array(per_doc)), pa.int32()), gaps)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), out, gap_lists], ["k", "ids", "gaps"])
 
-    pieces = docs.select(F.col(key).alias("k"), words_of(F.col(text)).alias("words")).mapInArrow(look_up, f"k {key_type}, ids array<int>, gaps array<struct<before:int,ordinal:int,word:string>>")
-    if whole:
-        return pieces.select(F.col("k").alias(key), "ids")
+    schema = f"k {key_type}, ids {'long' if counts else 'array<int>'}, gaps array<struct<before:int,ordinal:int,word:string>>"
+    pieces = docs.select(F.col(key).alias("k"), words_of(F.col(text)).alias("words")).mapInArrow(look_up, schema)
     # written once, so that the row numbers stay the same whatever is computed again
-    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
-    missing = pieces.select("row", F.inline("gaps")).join(table.select("word", F.col("ids").alias("fill")), "word")
+    return cut(pieces.withColumn("row", F.monotonically_increasing_id())), rest
+
+
+def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", head_words: int = HEAD_WORDS) -> DataFrame:
+    """key, ids: the token ids of each text, without special tokens (their strings are ordinary text).
+
+    Empty and null texts have an empty list. One row comes out for each row of ``docs``, repeated and null keys included; an
+    empty table gives no rows; texts of any length are encoded whole; other columns are not read. The result does not depend on ``head_words``.
+    """
+    pieces, rest = _looked_up(docs, key, text, word_table(docs, text, tokenizers, name), head_words, False)
+    missing = sized_join(pieces.select("row", F.inline("gaps")), rest.select("word", F.col("ids").alias("fill")), ["word"])
     fills = missing.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("ordinal", "before", "fill"))).alias("fills"))
-    merged = F.aggregate(
-        F.col("fills"),
-        F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("done")),
-        lambda acc, g: F.struct(F.concat(acc["out"], F.slice(F.col("ids"), acc["done"] + 1, g["before"] - acc["done"]), g["fill"]).alias("out"), g["before"].alias("done")),
-        lambda acc: F.concat(acc["out"], F.slice(F.col("ids"), acc["done"] + 1, F.size("ids"))),
-    )
-    joined = pieces.join(fills, "row", "left")
-    return joined.select(F.col("k").alias(key), F.when(F.col("fills").isNull(), F.col("ids")).otherwise(merged).alias("ids"))
+    # between two gaps lie the ids that both looked-up ends leave
+    done = lambda i: F.when(i == 0, 0).otherwise(F.get("fills", i - 1)["before"])
+    stretches = F.transform("fills", lambda g, i: F.concat(F.slice(F.col("ids"), done(i) + 1, g["before"] - done(i)), g["fill"]))
+    merged = F.concat(F.flatten(stretches), F.slice(F.col("ids"), F.element_at("fills", -1)["before"] + 1, F.size("ids")))
+    whole = pieces.where("size(gaps) = 0").select(F.col("k").alias(key), "ids")
+    return whole.unionByName(pieces.where("size(gaps) > 0").join(fills, "row").select(F.col("k").alias(key), merged.alias("ids")))
 
 
 def decode(encoded: DataFrame, key: str, ids: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
@@ -132,7 +141,11 @@ def decode(encoded: DataFrame, key: str, ids: str, tokenizers: str = TOKENIZERS,
     return encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(join, f"k {key_type}, text string").withColumnRenamed("k", key)
 
 
-def token_counts(docs: DataFrame, key: str, text: str, columns: list[str], tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """key, columns, tokens: the number of tokens of each text, from the lengths in the word table; 0 for empty and null texts."""
+def token_counts(docs: DataFrame, key: str, text: str, columns: list[str], tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", head_words: int = HEAD_WORDS) -> DataFrame:
+    """key, columns, tokens: the number of tokens of each text, from the lengths in the word table; no list of ids is made. 0 for empty and null texts; a row for each row of ``docs``."""
     packed = docs.select(F.struct(key, *columns).alias("k"), text)
-    return encode(packed, "k", text, tokenizers, name).select("k.*", F.size("ids").cast("long").alias("tokens"))
+    pieces, rest = _looked_up(packed, "k", text, word_table(packed, text, tokenizers, name), head_words, True)
+    missing = sized_join(pieces.select("row", F.inline("gaps")), rest.select("word", F.size("ids").alias("n")), ["word"])
+    more = missing.groupBy("row").agg(F.sum("n").alias("more"))
+    whole = pieces.where("size(gaps) = 0").select("k.*", F.col("ids").alias("tokens"))
+    return whole.unionByName(pieces.where("size(gaps) > 0").join(more, "row").select("k.*", (F.col("ids") + F.col("more")).alias("tokens")))
