@@ -66,20 +66,21 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *mixing.TREE)
     # read several times below, and small: the sizes are written once
-    return cut(tokens.token_counts(docs, "doc_id", "text", ["source", "lang"]))
+    return cut(tokens.token_counts(docs, "doc_id", "text", list(mixing.TREE)))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, tokens, copies: the documents of the mix and how often each occurs in it."""
+    """doc_id, source, site, lang, tokens, copies: the documents of the mix and how often each occurs in it."""
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares that the mix of p9_mix reaches, a row per target."""
+    """The tokens planned and the shares that the mix of p9_mix reaches, a row per target."""
     sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    return mixing.report(mixing.mix(sized, targets), sized, targets)
+    planned = mixing.plan(sized, targets)
+    return mixing.report(mixing.mix(sized, targets, planned=planned), sized, targets, planned)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
