@@ -12,11 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.keys import bare_uuid, key_bytes, uuid_key
-from touchline.session import cut
-
-#: The doubtful keys are broadcast only up to this many; beyond it the join is a salted shuffle.
-BROADCAST_KEYS = 200_000
-SALTS = 16
+from touchline.session import cut, sized_join
 
 
 @dataclass(frozen=True)
@@ -71,7 +67,7 @@ def doubtful_keys(groups: DataFrame) -> DataFrame:
     return groups.where((F.col("references") > 0) & ~F.coalesce(covered, F.lit(False)))
 
 
-def orphan_references(events: DataFrame, row_id: str, at: str, references: list[Reference]) -> DataFrame:
+def orphan_references(events: DataFrame, row_id: str, at: str, references: list[Reference], bound: int | None = None) -> DataFrame:
     """row_id, field, kind, at of each reference whose key is not live in its registry at ``at``.
 
     kind: ``missing`` if the registry never holds the key, ``late`` if all its rows there are registered after ``at``, else
@@ -79,17 +75,11 @@ def orphan_references(events: DataFrame, row_id: str, at: str, references: list[
     blank references are none. Uuids are compared by value, not spelling. A reference with a null time is reported only as missing.
     Empty tables: no events give no rows; an empty registry makes each reference missing. Repeated rows of a registry change
     nothing; repeated event rows are reported each. A null key in a registry holds nothing. Other columns are not read.
+    ``bound`` is that of ``sized_join``; it changes no result.
     """
-    # written once: the count below and the join both read it
+    # written once; joined by its counted size, with hot keys told apart beyond the bound of a broadcast
     groups = cut(doubtful_keys(key_groups(events, row_id, at, references)).select("field", "key", "spans"))
-    children = _children(events, row_id, at, references)
-    # the number of doubtful keys decides the join; it is counted up to the bound only
-    few = groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    if few:
-        joined = children.join(F.broadcast(groups), ["field", "key"])
-    else:
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = children.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, ["field", "key", "salt"])
+    joined = sized_join(_children(events, row_id, at, references), groups, ["field", "key"], bound=bound)
     at_col = F.col("at")
     kind = (
         F.when(F.size("spans") == 0, F.lit("missing"))

@@ -29,11 +29,16 @@ def build_session(app: str = "touchline", cpus: int | str = "*", **extra: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints: the cluster's ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder for reliable checkpoints: the cluster's ``spark.checkpoint.dir``, or an own one where that is unset and all runs in one process (tests).
+
+    On a cluster a machine's own folder would be lost with the machine, so it is refused.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TOUCHLINE_CHECKPOINT_DIR")
+    if not wanted and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="touchline-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
