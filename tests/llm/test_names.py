@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +61,13 @@ LEFT = [
 RIGHT = [("m1", "OLDFORD UNITED", "FC Grünbrück", 100, 2, 1), ("m1", "OLDFORD UNITED", "FC Grünbrück", 100, 2, 1), ("m2", "Wexley Rovers", "real montaña", 201, 3, 3), ("m3", "Wexley Rovers", "Real Montaña", 206, 0, 0), ("m4", None, None, 100, 0, 0)]
 
 
+TRACE: list[float] = []
+
+
 def link(spark, left, right):
     l = spark.createDataFrame(left, "i long, home_text string, away_text string, day int, home_goals int, away_goals int").withColumn("season", F.lit("1970/1971"))  # noqa: E741
     r = spark.createDataFrame(right, "j string, home_text string, away_text string, day int, home_goals int, away_goals int").withColumn("season", F.lit("1970/1971"))
-    return {x.i: (x.j, x.confidence) for x in linkage.link(l, r, ["fc", "united", "city", "rovers", "real"]).collect()}
+    return {x.i: (x.j, x.confidence) for x in linkage.link(l, r, spark.createDataFrame([(w,) for w in ("fc", "united", "city", "rovers", "real")], "word string"), trace=TRACE).collect()}
 
 
 def test_link(spark):
@@ -73,6 +77,33 @@ def test_link(spark):
     assert link(spark, [], RIGHT) == {} and link(spark, LEFT, []) == {}
 
 
+def test_the_solver_comes_to_rest(spark):
+    TRACE.clear()
+    link(spark, LEFT, RIGHT)
+    assert TRACE[-1] < linkage.Rules().tolerance and len(TRACE) < linkage.Rules().rounds - 1
+
+
+def test_projection_is_exact():
+    """Against a search for the amount that all values give up; records of many values, of negative ones, and of one."""
+    rng = np.random.default_rng(5)
+    record = np.sort(rng.integers(0, 40, 400))
+    _, record = np.unique(record, return_inverse=True)
+    values = rng.normal(0.2, 0.6, 400)
+    got = linkage.at_most_one(values, record)
+    for r in range(record.max() + 1):
+        v, low, high = values[record == r], 0.0, 10.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.maximum(v - mid, 0).sum() > 1 else (low, mid)
+        assert got[record == r] == pytest.approx(np.maximum(v - (0 if np.maximum(v, 0).sum() <= 1 else low), 0), abs=1e-9)
+
+
+def test_spellings_of_marked_letters_and_short_words(spark):
+    right = [("m1", "Mäkikkajärvi Pallo", "AZ", 100, 2, 1), ("m2", "Real Montañera", "Oldford United", 100, 1, 1)]
+    left = [(1, "Maekikkajaer. Pallo", "AZ", 100, 2, 1), (2, "Makikkaja. Pallo", "AZ", 101, 2, 1), (3, "Montanyera", "Oldford Utd", 100, 1, 1)]
+    assert {i: j for i, (j, _) in link(spark, left, right).items()} == {1: "m1", 2: "m1", 3: "m2"}
+
+
 def test_undated_match_falls_back_to_the_season(spark):
     right = [("m1", "Oldford United", "FC Grünbrück", None, 2, 1), ("m2", "FC Grünbrück", "Oldford United", None, 0, 0)]
     assert {i: j for i, (j, _) in link(spark, LEFT[:1], right).items()} == {1: "m1"}

@@ -1,7 +1,7 @@
 """Matching records of two sources without a key by soft logic.
 
-Candidate pairs come from the pigeonhole join of name words within neighbouring days. Each pair is a variable in [0, 1], and so is each pair
-of spellings; weighted rules bind them:
+Candidate pairs come from the pigeonhole join of the two sides' name words within neighbouring days. Each pair is a variable in [0, 1], and so is
+each pair of spellings; weighted rules bind them:
 
     similar names                        ->  link                       (similarity)
     link                                 ->  days and scores agree      (similarity)
@@ -11,13 +11,14 @@ of spellings; weighted rules bind them:
     links of one record together at most 1                              (exclusivity)
 
 With Lukasiewicz logic their violation is a sum of hinges, convex in all variables, and is minimised by the alternating direction method
-of multipliers: every rule solves its own small problem in closed form, then the copies of each variable are averaged. The values
-reached are the confidences.
+of multipliers: the rules of a record are solved together, given what all records think of the aliases, then the aliases are
+averaged over the records, until both agree and stand still. The values reached are the confidences.
+
+Exclusivity binds the left records only: a match of the right source may well be listed in several left rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import canonical, names
-from touchline.session import cut
+from touchline.session import cut, sized_join
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Weights of the rules, the step of the method, its rounds, and the least confidence of a match."""
+    """Weights of the rules, the steps of the method within and between records, the residual at which it ends (root mean square; rounds: at the latest), and the least confidence and similarity of a match."""
 
     similar: float = 1.0
     agree: float = 1.0
@@ -40,35 +41,55 @@ class Rules:
     alias: float = 1.0
     prior: float = 0.05
     step: float = 1.0
-    rounds: int = 8
+    inner: int = 40
+    tolerance: float = 1e-3
+    rounds: int = 60
     accept: float = 0.45
     least_similar: float = 0.5
 
 
+#: Pairs that one task solves at once; it changes no result.
+PAIRS_AT_ONCE = 50_000
+
+
+def folded(text: Column) -> Column:
+    """A plain word for comparison: marked letters spelt as one or as two (ae, oe, ue, ny) come out alike, and so do i and l."""
+    return names.look_alike(F.regexp_replace(F.regexp_replace(text, "([aou])e", "$1"), "ny", "n"))
+
+
 def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """look, dot, word: each typed word (look; dot: cut short) with the words of ``right`` (word) it may stand for, by the pigeonhole join."""
-    beginnings = right.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word") - 1, F.lit(3)))).alias("n")).select("word", F.substr("word", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("form_dot"))
-    forms = right.select("word", F.col("word").alias("form"), F.lit(False).alias("form_dot")).unionByName(beginnings).groupBy("form", "form_dot").agg(F.collect_set("word").alias("owners"))
-    found = canonical.probes_of(left, "look").join(canonical.segments_of(forms, "form"), "segment").where("dot = form_dot")
-    found = found.where(F.levenshtein("look", "form", canonical.EDITS) >= 0).select("look", "dot", F.explode("owners").alias("word"))
-    return found.distinct()
+    """look, dot, word: each typed word of ``left`` (look, fold; dot: cut short) with the words of ``right`` (word, fold) it may stand for, by the pigeonhole join over both spellings of either."""
+    typed = left.select("look", "dot", F.explode(F.array_distinct(F.array("look", "fold"))).alias("typed"))
+    meant = right.select("word", F.explode(F.array_distinct(F.array("word", "fold"))).alias("meant"))
+    beginnings = meant.select("word", "meant", F.explode(F.sequence(F.lit(3), F.greatest(F.length("meant") - 1, F.lit(3)))).alias("n")).select("word", F.substr("meant", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("form_dot"))
+    forms = meant.select("word", F.col("meant").alias("form"), F.lit(False).alias("form_dot")).unionByName(beginnings).groupBy("form", "form_dot").agg(F.collect_set("word").alias("owners"))
+    found = canonical.probes_of(typed, "typed").join(canonical.segments_of(forms, "form"), "segment").where("dot = form_dot")
+    found = found.where(F.levenshtein("typed", "form", canonical.EDITS) >= 0).select("look", "dot", F.explode("owners").alias("word"))
+    # words too short for segments only stand for themselves
+    short = left.where("length(look) <= 2").join(right.select("word", F.col("word").alias("look")), "look").select("look", "dot", "word")
+    return found.unionByName(short).distinct()
 
 
 def word_likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two words (struct t, look, dot): 1 if equal, less by slips, exchanged letters and cut ends."""
+    """0 to 1 for two words (struct look, fold, dot): 1 if equal, less by slips, exchanged letters and cut ends; in the spelling in which they are more alike."""
 
-    def cut_short(x: Column, y: Column) -> Column:
-        start = F.substr(y["look"], F.lit(1), F.length(x["look"]))
-        return F.when(x["dot"] & (F.length(x["look"]) >= 3), F.when(start == x["look"], 0.92).when((F.length(x["look"]) >= 5) & (F.levenshtein(start, x["look"], 1) == 1), 0.84))
+    def of(spelling: str) -> Column:
+        x, y = a[spelling], b[spelling]
 
-    d = F.levenshtein(a["look"], b["look"], canonical.EDITS)
-    size = F.least(F.length(a["look"]), F.length(b["look"]))
-    whole = F.when(d == 0, 1.0).when((d == 1) & (size >= 5), 0.94).when((d == 2) & (size >= 5) & names.swapped(a["look"], b["look"]), 0.94).when((d == 2) & (size >= 9), 0.82)
-    return F.greatest(F.coalesce(whole, F.lit(0.0)), F.coalesce(cut_short(a, b), F.lit(0.0)), F.coalesce(cut_short(b, a), F.lit(0.0)))
+        def cut_short(dot: Column, p: Column, q: Column) -> Column:
+            start = F.substr(q, F.lit(1), F.length(p))
+            return F.when(dot & (F.length(p) >= 3), F.when(start == p, 0.92).when((F.length(p) >= 5) & (F.levenshtein(start, p, 1) == 1), 0.84))
+
+        d = F.levenshtein(x, y, canonical.EDITS)
+        size = F.least(F.length(x), F.length(y))
+        whole = F.when(d == 0, 1.0).when((d == 1) & (size >= 5), 0.94).when((d == 2) & (size >= 5) & names.swapped(x, y), 0.94).when((d == 2) & (size >= 9), 0.82)
+        return F.greatest(F.coalesce(whole, F.lit(0.0)), F.coalesce(cut_short(a["dot"], x, y), F.lit(0.0)), F.coalesce(cut_short(b["dot"], y, x), F.lit(0.0)))
+
+    return F.when((a["look"] == a["fold"]) & (b["look"] == b["fold"]), of("look")).otherwise(F.greatest(of("look"), of("fold")))
 
 
 def name_likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two names (struct words of t, look, dot, own; side): the likeness of their own words, less where the common words clash; 0 for different sides."""
+    """0 to 1 for two names (struct words of t, look, fold, dot, own, stands; side): the likeness of their own words, less where the common words clash; 0 for different sides."""
     pairs = F.flatten(F.transform(a["words"], lambda x, i: F.transform(b["words"], lambda y, j: F.struct(F.when(x["own"] & y["own"], word_likeness(x, y)).otherwise(0.0).alias("s"), (-i).alias("i"), (-j).alias("j")))))
     best = F.array_max(pairs)
     rest = lambda n, at: F.filter(n["words"], lambda _, i: i != -at)
@@ -82,7 +103,7 @@ def name_likeness(a: Column, b: Column) -> Column:
             F.when((F.size(ra) == 0) & (F.size(rb) == 0), 1.0)
             .when((F.size(ra) == 0) | (F.size(rb) == 0), 0.93)
             .when(text(ra) == text(rb), 1.0)
-            .when(one & (names.short_for(x["t"], x["dot"], y["t"]) | names.short_for(y["t"], y["dot"], x["t"])), 0.98)
+            .when(one & (names.short_for(x["look"], x["dot"], y["look"]) | names.short_for(y["look"], y["dot"], x["look"]) | names.short_for(x["fold"], x["dot"], y["fold"]) | names.short_for(y["fold"], y["dot"], x["fold"])), 0.98)
             .when(one & (canonical.distance(x["look"], y["look"]).isNotNull() | F.arrays_overlap(x["stands"], y["stands"])), 0.96)
             .when(((F.size(ra) > 1) & (initials(ra) == text(rb))) | ((F.size(rb) > 1) & (initials(rb) == text(ra))), 0.98)
             .otherwise(0.35)
@@ -91,42 +112,51 @@ def name_likeness(a: Column, b: Column) -> Column:
     return F.when(a["side"] == b["side"], F.coalesce(best["s"] * common(rest(a, best["i"]), rest(b, best["j"])), F.lit(0.0))).otherwise(0.0)
 
 
-def _with_parts(df: DataFrame, texts: dict[str, str], common: Column) -> DataFrame:
-    """Adds under each key of ``texts`` the struct(words, side) of the name in its column; a name of common words only has them as its own. ``stands`` are the common words that a word may stand for.
+def named_parts(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """name, parts (struct of words: t, look, fold, dot, own, stands; and side) of the distinct names of ``texts`` (column name); ``common`` (column word) are words that are no name by themselves.
 
-    Step by step, each in a column of its own, so that no expression is evaluated twice.
+    A name of common words only has them as its own. ``stands`` are the common words that a word may stand for. Every distinct word is looked at once. Written.
     """
-
-    def stands(w: Column) -> Column:
-        return F.filter(common, lambda c: (w["t"] == c) | names.short_for(w["t"], w["dot"], c) | (~w["dot"] & canonical.distance(names.look_alike(w["t"]), names.look_alike(c)).isNotNull()))
-
-    def word(w: Column) -> Column:
-        return F.struct(w["t"].alias("t"), names.look_alike(w["t"]).alias("look"), w["dot"].alias("dot"), (w["dot"] | ~F.array_contains(common, w["t"])).alias("own"), stands(w).alias("stands"))
-
-    def named(words: Column) -> Column:
-        alone = ~F.exists(words, lambda w: w["own"])
-        return F.transform(words, lambda w: F.struct(w["t"].alias("t"), w["look"].alias("look"), w["dot"].alias("dot"), (w["own"] | alone).alias("own"), w["stands"].alias("stands")))
-
-    kept = df.columns
-    df = df.withColumns({f"{k}_toks": names.tokens(F.col(text)) for k, text in texts.items()})
-    df = df.withColumns({f"{k}_words": F.transform(names.core(F.col(f"{k}_toks")), word) for k in texts})
-    return df.select(*kept, *[F.struct(named(F.col(f"{k}_words")).alias("words"), names.sides(F.col(f"{k}_toks")).alias("side")).alias(k) for k in texts])
-
-
-def _side_words(df: DataFrame, key: str) -> DataFrame:
-    own = lambda n: F.transform(F.filter(n["words"], lambda w: w["own"] & (F.length(w["look"]) >= 3)), lambda w: F.struct(w["look"].alias("look"), w["dot"].alias("dot")))
-    return df.select(key, "day", "season", F.explode(F.array_distinct(F.concat(own(F.col("home")), own(F.col("away"))))).alias("w")).select(key, "day", "season", "w.look", "w.dot").distinct()
+    split = texts.select("name").distinct().withColumn("toks", names.tokens(F.col("name")))
+    split = cut(split.select("name", names.sides(F.col("toks")).alias("side"), names.core(F.col("toks")).alias("words")))
+    words = split.select(F.explode("words").alias("w")).select("w.t", "w.dot").distinct().withColumns({"look": names.look_alike(F.col("t")), "fold": folded(F.col("t"))})
+    words = cut(words)
+    common = cut(common.select("word").where("word is not null").distinct().withColumn("look", names.look_alike(F.col("word"))))
+    first = lambda c: F.substring(c, 1, 1)
+    short = words.join(common.select("word"), first(F.col("t")) == first(F.col("word"))).where((F.col("t") == F.col("word")) | names.short_for(F.col("t"), F.col("dot"), F.col("word"))).select("t", "dot", "word")
+    probes = canonical.probes_of(words.where("not dot"), "look").withColumnRenamed("look", "typed")
+    slips = probes.join(canonical.segments_of(common, "look"), "segment").where(canonical.distance(F.col("typed"), F.col("look")).isNotNull()).select("t", "dot", "word")
+    stands = short.unionByName(slips).groupBy("t", "dot").agg(F.collect_set("word").alias("stands"))
+    # a word cut short is always a name's own, any other is unless it is common
+    known = words.join(stands, ["t", "dot"], "left").join(common.select(F.col("word").alias("t"), F.lit(True).alias("common")), "t", "left")
+    known = cut(known.select("t", "dot", "look", "fold", (F.col("dot") | F.col("common").isNull()).alias("own"), F.coalesce("stands", F.array().cast("array<string>")).alias("stands")))
+    long = split.select("name", F.posexplode("words").alias("at", "w")).select("name", "at", "w.t", "w.dot")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "t", "look", "fold", "dot", "own", "stands")))
+    whole = sized_join(long, known, ["t", "dot"]).groupBy("name").agg(ordered.alias("w"), (~F.bool_or("own")).alias("alone"))
+    item = lambda w: F.struct(w["t"].alias("t"), w["look"].alias("look"), w["fold"].alias("fold"), w["dot"].alias("dot"), (w["own"] | F.col("alone")).alias("own"), w["stands"].alias("stands"))
+    return cut(split.select("name", "side").join(whole, "name").select("name", F.struct(F.transform("w", item).alias("words"), "side").alias("parts")))
+
+
+def _own(side: Column) -> Column:
+    return F.transform(F.filter(side["words"], lambda w: w["own"]), lambda w: F.struct(w["look"].alias("look"), w["fold"].alias("fold"), w["dot"].alias("dot")))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """i, j: the pairs of records (columns i or j, home, away as parts, day, season) that have a similar word of their own and lie at most a day apart; where ``right`` has no day, in the same season."""
-    lw, rw = _side_words(left, "i"), _side_words(right, "j").withColumnRenamed("look", "word")
+    """i, j: the pairs of records (columns i or j, home, away as parts, day, season) that share a similar word of their own on both sides, in either order, and lie at most a day apart; where ``right`` has no day, in the same season."""
+    lw = left.select("i", "day", "season", F.explode(F.array_distinct(_own(F.col("home")))).alias("h"), "away").select("i", "day", "season", "h", F.explode(F.array_distinct(_own(F.col("away")))).alias("a"))
+    rw = right.select("j", "day", "season", F.explode(F.array_distinct(_own(F.col("home")))).alias("h"), "away").select("j", "day", "season", "h", F.explode(F.array_distinct(_own(F.col("away")))).alias("a"))
     lw, rw = cut(lw), cut(rw)
-    similar = cut(similar_words(lw.select("look", "dot").distinct(), rw.select("word").distinct()))
-    lw = lw.join(similar, ["look", "dot"]).select("i", "day", "season", "word").distinct()
-    near = lw.select("i", "word", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
-    dated = near.join(rw.where("day is not null").select("j", "word", "day"), ["word", "day"]).select("i", "j")
-    undated = lw.join(rw.where("day is null and season is not null").select("j", "word", "season"), ["word", "season"]).select("i", "j")
+    typed, meant = (df.select(F.inline(F.array("h", "a"))).distinct() for df in (lw, rw))
+    similar = cut(similar_words(typed, meant.select(F.col("look").alias("word"), "fold").distinct()).groupBy("look", "dot").agg(F.collect_set("word").alias("words")))
+    for side in ("h", "a"):
+        lw = sized_join(lw.withColumns({"look": F.col(side)["look"], "dot": F.col(side)["dot"]}), similar.withColumnRenamed("words", f"{side}_words"), ["look", "dot"]).drop("look", "dot")
+    lw = lw.select("i", "day", "season", F.explode("h_words").alias("h"), "a_words").select("i", "day", "season", "h", F.explode("a_words").alias("a"))
+    rw = rw.select("j", "day", "season", F.col("h.look").alias("h"), F.col("a.look").alias("a"))
+    ordered = lambda df, key: df.select(key, "day", "season", F.least("h", "a").alias("w1"), F.greatest("h", "a").alias("w2")).distinct()
+    lw, rw = ordered(lw, "i"), ordered(rw, "j")
+    near = lw.select("i", "w1", "w2", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
+    dated = near.join(rw.where("day is not null").select("j", "w1", "w2", "day"), ["w1", "w2", "day"]).select("i", "j")
+    undated = lw.select("i", "w1", "w2", "season").join(rw.where("day is null and season is not null").select("j", "w1", "w2", "season"), ["w1", "w2", "season"]).select("i", "j")
     return dated.unionByName(undated).distinct()
 
 
@@ -169,99 +199,120 @@ def _hinge(values: np.ndarray, signs: tuple[int, ...], offset: np.ndarray | floa
 
 #: The variable that each copy of a rule is a copy of: the link (x) or the alias of either side (h, a).
 _COPIES = "xxxxhxahax"
-
-
-def _local_round(pairs: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """One round for the pairs of whole records: every rule's problem in closed form, the links averaged, the aliases' copies handed out."""
-    rho, n = rules.step, len(pairs)
-    u = np.stack(pairs["u"].to_numpy()) if n else np.zeros((0, len(_COPIES)))
-    now = {"x": pairs["x"].to_numpy(), "h": pairs["th"].to_numpy(), "a": pairs["ta"].to_numpy()}
-    v = np.stack([now[k] for k in _COPIES]) - u.T
-    similar, agree = pairs["similar"].to_numpy(), pairs["agree"].to_numpy()
-    c = np.empty_like(v)
-    c[0] = _hinge(v[0:1] - rules.prior / rho, (-1,), similar, rules.similar, rho)[0]
-    c[1] = _hinge(v[1:2], (1,), -agree, rules.agree, rho)[0]
-    # exclusivity: the links of a record move alike until none is negative and they sum to at most 1
-    codes, record = np.unique(pairs["i"].to_numpy(), return_inverse=True)
-    c[2] = np.maximum(v[2], 0)
-    for _ in range(3):
-        open_ = c[2] > 0
-        over = np.maximum(np.bincount(record, c[2], len(codes)) - 1, 0) / np.maximum(np.bincount(record, open_, len(codes)), 1)
-        c[2] = np.maximum(c[2] - np.where(open_, over[record], 0), 0)
-    c[[3, 4]] = _hinge(v[[3, 4]], (1, -1), 0.0, rules.carry, rho)
-    c[[5, 6]] = _hinge(v[[5, 6]], (1, -1), 0.0, rules.carry, rho)
-    c[[7, 8, 9]] = _hinge(v[[7, 8, 9]], (1, 1, -1), agree - 2, rules.back, rho)
-    total = c + u.T
-    x = np.clip(total[[i for i, k in enumerate(_COPIES) if k == "x"]].mean(0), 0, 1)
-    out = pairs.assign(x=x, ch=total[[4, 7]].mean(0), ca=total[[6, 8]].mean(0))
-    # the duals still lack the consensus of the aliases; it is taken off when they are read again
-    out["u"] = list((total - np.where(np.array(list(_COPIES))[:, None] == "x", x, 0)).T)
+_STATE = "part int, i bigint, j string, similar double, agree double, home_key bigint, away_key bigint, home_like double, away_like double, x double, h double, a double, zh double, za double, yh double, ya double, u array<double>, primal double, dual double"
+
+
+def at_most_one(values: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """The closest values that are not negative and sum to at most 1 in each record (numbers from 0): all less by the same amount, which the largest few decide."""
+    order = np.lexsort((-values, record))
+    v, r = values[order], record[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    total = np.cumsum(v)
+    before = np.r_[0.0, total[starts[1:] - 1]]
+    segment = np.cumsum(np.r_[True, r[1:] != r[:-1]]) - 1
+    rank = np.arange(len(v)) - starts[segment] + 1
+    over = np.maximum(np.maximum.reduceat((total - before[segment] - 1) / rank, starts), 0)
+    out = np.empty_like(values)
+    out[order] = np.maximum(v - over[segment], 0)
     return out
 
 
-def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
-    """i, j, similar, agree, confidence: the values of the links after the rounds of the method.
-
-    The pairs of a record lie in one partition, where all its rules are solved; only the values of the aliases are exchanged between
-    partitions, one average per pair of spellings and round, combined before the shuffle.
+def _local_round(pairs: pd.DataFrame, z: dict[str, np.ndarray], rules: Rules) -> pd.DataFrame:
+    """The rules of whole records, solved for their links and their own values of the aliases, which are drawn to what all records together think of them (``z``: h, a)."""
+    rho = rules.step
+    u = np.stack(pairs["u"].to_numpy()).T
+    now = {k: pairs[k].to_numpy(float) for k in "xha"}
+    similar, agree = pairs["similar"].to_numpy(), pairs["agree"].to_numpy()
+    _, record = np.unique(pairs["i"].to_numpy(), return_inverse=True)
+    started = pairs["zh"].notna().to_numpy()
+    y = {k: pairs[f"y{k}"].to_numpy() + np.where(started, now[k] - z[k], 0) for k in "ha"}
+    primal = np.where(started, sum((now[k] - z[k]) ** 2 for k in "ha"), np.nan)
+    dual = np.where(started, sum((pairs[f"z{k}"].to_numpy(float) - z[k]) ** 2 for k in "ha"), np.nan)
+    c = np.empty_like(u)
+    places = {k: [n for n, x in enumerate(_COPIES) if x == k] for k in "xha"}
+    for _ in range(rules.inner):
+        v = np.stack([now[k] for k in _COPIES]) - u
+        c[0] = _hinge(v[0:1] - rules.prior / rho, (-1,), similar, rules.similar, rho)[0]
+        c[1] = _hinge(v[1:2], (1,), -agree, rules.agree, rho)[0]
+        c[2] = at_most_one(v[2], record)
+        c[[3, 4]] = _hinge(v[[3, 4]], (1, -1), 0.0, rules.carry, rho)
+        c[[5, 6]] = _hinge(v[[5, 6]], (1, -1), 0.0, rules.carry, rho)
+        c[[7, 8, 9]] = _hinge(v[[7, 8, 9]], (1, 1, -1), agree - 2, rules.back, rho)
+        total = c + u
+        now["x"] = np.clip(total[places["x"]].mean(0), 0, 1)
+        for k in "ha":
+            now[k] = np.clip((total[places[k]].sum(0) + z[k] - y[k]) / (len(places[k]) + 1), 0, 1)
+        u = total - np.stack([now[k] for k in _COPIES])
+    return pairs.assign(x=now["x"], h=now["h"], a=now["a"], zh=z["h"], za=z["a"], yh=y["h"], ya=y["a"], u=list(u.T), primal=primal, dual=dual)
+
+
+def solve(pairs: DataFrame, rules: Rules, trace: list[float] | None = None) -> DataFrame:
+    """i, j, similar, agree, confidence: the values of the links where the method stands still, or after the last of its rounds.
+
+    The pairs of a record lie in one part, where all its rules are solved; only the values of the aliases, one row per pair of spellings, are exchanged between
+    the parts. ``trace`` receives the residual of each round: the greater of how far the records are from the aliases' common values, and of how far these moved.
     """
-    aliased = [i for i, k in enumerate(_COPIES) if k != "x"]
-    side = {i: "th" if _COPIES[i] == "h" else "ta" for i in aliased}
-    schema = "i bigint, j string, similar double, agree double, home_key bigint, away_key bigint, home_like double, away_like double, x double, th double, ta double, u array<double>, ch double, ca double"
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf["i"].iloc[-1]  # the batch may end within a record
-            rest, pdf = pdf[pdf["i"] == last], pdf[pdf["i"] != last]
-            if len(pdf):
-                yield _local_round(pdf.reset_index(drop=True), rules)[columns]
-        if rest is not None and len(rest):
-            yield _local_round(rest.reset_index(drop=True), rules)[columns]
-
-    state = pairs.withColumns({"x": F.least("similar", "agree"), "th": F.col("home_like"), "ta": F.col("away_like"), "u": F.array_repeat(F.lit(0.0), len(_COPIES))})
-    for _ in range(rules.rounds):
-        solved = cut(state.select(*columns[:12]).repartition("i").sortWithinPartitions("i").mapInPandas(rounds, schema))
-        sides = F.array(F.struct(F.col("home_key").alias("key"), F.col("home_like").alias("like"), F.col("ch").alias("t")), F.struct(F.col("away_key").alias("key"), F.col("away_like").alias("like"), F.col("ca").alias("t")))
-        # an alias: the average of its copies, drawn to the likeness of the spellings
-        value = F.least(F.greatest((F.avg("t") + rules.alias * F.max("like")) / (1 + rules.alias), F.lit(0.0)), F.lit(1.0))
-        aliases = cut(solved.select(F.inline(sides)).groupBy("key").agg(value.alias("t")))
-        # a spelling may recur in much of the table: its pairs are salted, and the aliases, one row each, go out to every salt
-        salted = aliases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(canonical.SALTS - 1))))
-        state = solved.drop("th", "ta").withColumn("salt", F.pmod(F.xxhash64("i", "j"), F.lit(canonical.SALTS)).cast("int"))
-        for key, t in (("home_key", "th"), ("away_key", "ta")):
-            state = state.join(salted.select(F.col("key").alias(key), "salt", F.col("t").alias(t)).hint("shuffle_hash"), [key, "salt"])
-        state = state.withColumn("u", F.array(*[F.col("u")[i] - (F.col(side[i]) if i in side else F.lit(0.0)) for i in range(len(_COPIES))]))
-    return solved.select("i", "j", "similar", "agree", F.col("x").alias("confidence"))
-
-
-def link(left: DataFrame, right: DataFrame, common: list[str], rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_AT_ONCE))
+    start = {"x": F.least("similar", "agree"), "h": F.col("home_like"), "a": F.col("away_like"), "yh": F.lit(0.0), "ya": F.lit(0.0), "u": F.array_repeat(F.lit(0.0), len(_COPIES))}
+    state = pairs.withColumns({"part": F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")} | start | {c: F.lit(None).cast("double") for c in ("zh", "za", "primal", "dual")})
+    columns = [c.strip().split(" ")[0] for c in _STATE.split(",")]
+    state = cut(state.select(*columns))
+    sides = lambda value: F.inline(F.array(*[F.struct(F.col(f"{side}_key").alias("key"), F.col(f"{side}_like").alias("like"), value(k).alias("t")) for side, k in (("home", "h"), ("away", "a"))]))
+    # the parts in which each alias is asked for
+    routing = cut(state.select("part", F.explode(F.array("home_key", "away_key")).alias("key")).distinct())
+    aliases = state.select(sides(lambda k: F.col(k))).groupBy("key").agg(F.max("like").alias("z"))
+
+    def step(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in columns})
+        value = known.set_index("key")["z"]
+        return _local_round(pdf, {"h": pdf["home_key"].map(value).to_numpy(), "a": pdf["away_key"].map(value).to_numpy()}, rules)[columns]
+
+    for n in range(rules.rounds):
+        routed = routing.join(aliases, "key")
+        state = cut(state.groupBy("part").cogroup(routed.groupBy("part")).applyInPandas(step, _STATE))
+        if n:
+            r = state.agg(F.avg("primal").alias("p"), F.avg("dual").alias("d")).first()
+            residual = max(r.p or 0.0, r.d or 0.0) ** 0.5
+            if trace is not None:
+                trace.append(residual)
+            if residual < rules.tolerance:
+                break
+        # an alias: where the copies of all records and the likeness of its spellings pull it together
+        value = (rules.step * F.sum("t") + rules.alias * F.max("like")) / (rules.step * F.count("*") + rules.alias)
+        aliases = cut(state.select(sides(lambda k: F.col(k) + F.col(f"y{k}"))).groupBy("key").agg(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("z")))
+    return state.select("i", "j", "similar", "agree", F.col("x").alias("confidence"))
+
+
+def link(left: DataFrame, right: DataFrame, common: DataFrame, rules: Rules = Rules(), trace: list[float] | None = None) -> DataFrame:  # noqa: B008
     """i, j, confidence: each record of ``left`` with the record of ``right`` that is the same real thing, and how sure that is.
 
     ``left`` has i, ``right`` j, both home_text, away_text, day (days since 1970), season, home_goals, away_goals. Records of ``left`` without a day
-    have no match, nor do those whose names share no word with any record in reach. Null and empty names match nothing; repeated
+    have no match, nor do those whose names share no words with any record in reach. Null and empty names match nothing; repeated
     records of ``left`` are solved once and each have the match; of equal candidates the surer, then the one that agrees better, then the smaller j
-    wins. Empty tables give no rows. ``common`` are words that are no name by themselves.
+    wins. Empty tables give no rows. ``common`` (column word) are words that are no name by themselves.
     """
-    words = F.array(*[F.lit(w) for w in common]).cast("array<string>")
     content = ["home_text", "away_text", "day", "home_goals", "away_goals"]
     # written first: what the dates and names come from is not computed again with every step
     rows = cut(left.where("day is not null and home_text is not null and away_text is not null").select("i", "season", *content))
     # repeated records are one
-    single = rows.groupBy(*content, "season").agg(F.min("i").alias("rep"))
-    single = cut(single)
+    single = cut(rows.groupBy(*content, "season").agg(F.min("i").alias("rep")))
     others = cut(right.where("home_text is not null and away_text is not null").select("j", "season", *content).distinct())
-    texts = {"home": "home_text", "away": "away_text"}
-    l = cut(_with_parts(single.withColumnRenamed("rep", "i"), texts, words))  # noqa: E741
-    r = cut(_with_parts(others, texts, words))
+    texts = single.select(F.explode(F.array("home_text", "away_text")).alias("name")).unionByName(others.select(F.explode(F.array("home_text", "away_text")).alias("name")))
+    parts = named_parts(texts, common)
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        for side in ("home", "away"):
+            df = sized_join(df, parts.select(F.col("name").alias(f"{side}_text"), F.col("parts").alias(side)), [f"{side}_text"])
+        return cut(df)
+
+    l, r = with_parts(single.withColumnRenamed("rep", "i")), with_parts(others)  # noqa: E741
     known = cut(evidence(l, r, cut(candidates(l, r))))
     pairs = cut(known.groupBy("i", "j").agg(F.max_by(F.struct("similar", "agree", "home_key", "away_key", "home_like", "away_like"), F.struct("similar", "agree")).alias("e")).select("i", "j", "e.*"))
-    solved = solve(pairs, rules).where((F.col("confidence") >= rules.accept) & (F.col("similar") >= rules.least_similar))
-    order = F.struct("confidence", "similar", "agree")
+    solved = solve(pairs, rules, trace).where((F.col("confidence") >= rules.accept) & (F.col("similar") >= rules.least_similar))
+    # values that differ by less than the residual are equal
+    order = F.struct(F.round("confidence", 2).alias("c"), "similar", "agree")
     best = solved.groupBy("i").agg(F.max(order).alias("top")).join(solved.withColumn("order", order), "i").where(F.col("order") == F.col("top")).groupBy("i").agg(F.min("j").alias("j"), F.max("confidence").alias("confidence"))
     again = rows.select(F.col("i").alias("row"), "season", *content).alias("a").join(single.alias("s"), [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*content, "season")]).select("row", F.col("rep").alias("i"))
     return again.join(best, "i").select(F.col("row").alias("i"), "j", "confidence")

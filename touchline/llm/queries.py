@@ -33,9 +33,9 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     month_first = F.col("country_name") == MONTH_FIRST_COUNTRY
     matches = normalise_days(normalise_days(matches, "match_date", "d", month_first), "kick_off", "k", month_first)
     right = matches.select(F.col("match_id").alias("j"), F.col("home_team_name").alias("home_text"), F.col("away_team_name").alias("away_text"), F.coalesce(_day("d"), _day("k")).alias("day"), F.col("season_name").alias("season"), F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"))
-    # the words that many clubs of the (fixed) club list share
-    words = canonical.reference_parts(canonical.club_entries(table(spark, sf_dir, "product_teams"))).where("affix <> ''").select("affix").distinct().collect()
-    return linkage.link(left, right, sorted({w for r in words for w in r.affix.split(" ")}))
+    # the words that many clubs of the club list share
+    clubs = canonical.reference_parts(canonical.club_entries(table(spark, sf_dir, "product_teams")))
+    return linkage.link(left, right, clubs.where("affix <> ''").select(F.explode(F.split("affix", " ")).alias("word")).distinct())
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
