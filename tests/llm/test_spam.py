@@ -34,8 +34,23 @@ def test_pages(spark):
     pages = SPAM | CONTENT
     df = spark.createDataFrame([(k, t, 1) for k, t in pages.items()], "doc_id string, text string, chars int")
     assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").collect()} == set(SPAM)
-    shapes = {r.doc_id: r for r in spam.page_shapes(df, "doc_id", "text").collect()}
-    assert len(shapes) == len(pages) and shapes["null"].chars == 0 and all(r.content >= 0 for r in shapes.values())
+    groups = {r.doc_id: r for r in spam.page_groups(df, "doc_id", "text").collect()}
+    assert len(groups) == len(pages) and groups["null"].chars == 0 and all(sum(g.n for g in r.groups) == r.chars for r in groups.values())
+    # equal shapes are one group: the links of a list, the rows of a table
+    assert len(groups["links"].groups) == 1 and groups["links"].groups[0].lines == 12
+    rows = spam.page_shapes(df, "doc_id", "text").where("doc_id = 'report'").collect()
+    assert rows and not any(r.bad for r in rows)
+
+
+def test_repetition_wherever_it_stands(spark):
+    """Lists behind a quotation mark, lines of middling length that repeat each other, two stock sentences among keywords: by the share of repeated words, not by their place."""
+    pages = {
+        "quoted list": "\n".join("> cheap tickets | home shirt | best odds | away jersey | boots sale" for _ in range(4)),
+        "middling": "\n".join(f"cheap match tickets {p} for cheap match tickets {p} today" for p in ("Abbey", "Birk", "Corby", "Dale", "Elm", "Frome")),
+        "many different sentences": SENTENCES * 2 + "\n".join(f"The {a} of {b} found the {c} late." for a in ("pass", "run", "cross") for b in ("Abbey", "Birk") for c in ("post", "net")),
+    }
+    df = spark.createDataFrame(list(pages.items()), "doc_id string, text string")
+    assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").collect()} == {"quoted list", "middling"}
 
 
 def test_long_repeated_and_empty(spark):
