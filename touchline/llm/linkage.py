@@ -71,45 +71,56 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def word_likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two words (struct look, fold, dot): 1 if equal, less by slips, exchanged letters and cut ends; in the spelling in which they are more alike."""
+    """0 to 1 for two words (struct look, fold, dot): 1 if equal, less by slips, exchanged letters and cut ends; in the spelling in which they are more alike.
 
-    def of(spelling: str) -> Column:
-        x, y = a[spelling], b[spelling]
-
-        def cut_short(dot: Column, p: Column, q: Column) -> Column:
-            start = F.substr(q, F.lit(1), F.length(p))
-            return F.when(dot & (F.length(p) >= 3), F.when(start == p, 0.92).when((F.length(p) >= 5) & (F.levenshtein(start, p, 1) == 1), 0.84))
-
-        d = F.levenshtein(x, y, canonical.EDITS)
-        size = F.least(F.length(x), F.length(y))
-        whole = F.when(d == 0, 1.0).when((d == 1) & (size >= 5), 0.94).when((d == 2) & (size >= 5) & names.swapped(x, y), 0.94).when((d == 2) & (size >= 9), 0.82)
-        return F.greatest(F.coalesce(whole, F.lit(0.0)), F.coalesce(cut_short(a["dot"], x, y), F.lit(0.0)), F.coalesce(cut_short(b["dot"], y, x), F.lit(0.0)))
+    Step by step through arrays of one: a lambda's argument is computed once, however often it is used.
+    """
+    spellings = F.array_distinct(F.array(*[F.struct(a[k].alias("x"), b[k].alias("y")) for k in ("look", "fold")]))
+    measured = F.transform(spellings, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.levenshtein(p["x"], p["y"], canonical.EDITS).alias("d"), F.least(F.length(p["x"]), F.length(p["y"])).alias("n")))
+
+    def cut_short(dot: Column, p: Column, q: Column) -> Column:
+        start = F.substr(q, F.lit(1), F.length(p))
+        return F.when(dot & (F.length(p) >= 3), F.when(start == p, 0.92).when((F.length(p) >= 5) & (F.levenshtein(start, p, 1) == 1), 0.84))
+
+    def likeness(m: Column) -> Column:
+        d, n = m["d"], m["n"]
+        whole = F.when(d == 0, 1.0).when((d == 1) & (n >= 5), 0.94).when((d == 2) & (n >= 5) & names.swapped(m["x"], m["y"]), 0.94).when((d == 2) & (n >= 9), 0.82)
+        return F.greatest(F.coalesce(whole, F.lit(0.0)), F.coalesce(cut_short(a["dot"], m["x"], m["y"]), F.lit(0.0)), F.coalesce(cut_short(b["dot"], m["y"], m["x"]), F.lit(0.0)))
+
+    return F.array_max(F.transform(measured, likeness))
+
+
+def _common_likeness(ra: Column, rb: Column) -> Column:
+    """How well the words beside the own ones agree (``ra``, ``rb``: the rest of either name)."""
+    x, y = F.get(ra, F.lit(0)), F.get(rb, F.lit(0))
+    text = lambda r: F.array_join(F.transform(r, lambda t: t["look"]), " ")
+    initials = lambda r: F.array_join(F.transform(r, lambda t: F.substring(t["t"], 1, 1)), "")
+    one = (F.size(ra) == 1) & (F.size(rb) == 1)
+    short = lambda k: names.short_for(x[k], x["dot"], y[k]) | names.short_for(y[k], y["dot"], x[k])
+    return (
+        F.when((F.size(ra) == 0) & (F.size(rb) == 0), 1.0)
+        .when((F.size(ra) == 0) | (F.size(rb) == 0), 0.93)
+        .when(text(ra) == text(rb), 1.0)
+        .when(one & (short("look") | short("fold")), 0.98)
+        .when(one & (canonical.distance(x["look"], y["look"]).isNotNull() | F.arrays_overlap(x["stands"], y["stands"])), 0.96)
+        .when(((F.size(ra) > 1) & (initials(ra) == text(rb))) | ((F.size(rb) > 1) & (initials(rb) == text(ra))), 0.98)
+        .otherwise(0.35)
+    )
 
-    return F.when((a["look"] == a["fold"]) & (b["look"] == b["fold"]), of("look")).otherwise(F.greatest(of("look"), of("fold")))
 
+def name_likenesses(pairs: Column) -> Column:
+    """Per pair of names (struct a, b: struct words of t, look, fold, dot, own, stands; side) 0 to 1: the likeness of their own words, less where the common words clash; 0 for different sides."""
 
-def name_likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two names (struct words of t, look, fold, dot, own, stands; side): the likeness of their own words, less where the common words clash; 0 for different sides."""
-    pairs = F.flatten(F.transform(a["words"], lambda x, i: F.transform(b["words"], lambda y, j: F.struct(F.when(x["own"] & y["own"], word_likeness(x, y)).otherwise(0.0).alias("s"), (-i).alias("i"), (-j).alias("j")))))
-    best = F.array_max(pairs)
-    rest = lambda n, at: F.filter(n["words"], lambda _, i: i != -at)
+    def best(p: Column) -> Column:
+        words = F.flatten(F.transform(p["a"]["words"], lambda x, i: F.transform(F.filter(p["b"]["words"], lambda y: x["own"] & y["own"]), lambda y: F.struct(word_likeness(x, y).alias("s"), (-i).alias("i"), y["look"].alias("y")))))
+        top = F.array_max(words)
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), F.when(p["a"]["side"] == p["b"]["side"], top).alias("top"))
 
-    def common(ra: Column, rb: Column) -> Column:
-        x, y = F.get(ra, F.lit(0)), F.get(rb, F.lit(0))
-        text = lambda r: F.array_join(F.transform(r, lambda t: t["look"]), " ")
-        initials = lambda r: F.array_join(F.transform(r, lambda t: F.substring(t["t"], 1, 1)), "")
-        one = (F.size(ra) == 1) & (F.size(rb) == 1)
-        return (
-            F.when((F.size(ra) == 0) & (F.size(rb) == 0), 1.0)
-            .when((F.size(ra) == 0) | (F.size(rb) == 0), 0.93)
-            .when(text(ra) == text(rb), 1.0)
-            .when(one & (names.short_for(x["look"], x["dot"], y["look"]) | names.short_for(y["look"], y["dot"], x["look"]) | names.short_for(x["fold"], x["dot"], y["fold"]) | names.short_for(y["fold"], y["dot"], x["fold"])), 0.98)
-            .when(one & (canonical.distance(x["look"], y["look"]).isNotNull() | F.arrays_overlap(x["stands"], y["stands"])), 0.96)
-            .when(((F.size(ra) > 1) & (initials(ra) == text(rb))) | ((F.size(rb) > 1) & (initials(rb) == text(ra))), 0.98)
-            .otherwise(0.35)
-        )
+    def rest(q: Column) -> Column:
+        at = F.array_position(F.transform(q["b"]["words"], lambda w: w["look"]), q["top"]["y"])
+        return F.struct(q["top"]["s"].alias("s"), F.filter(q["a"]["words"], lambda _, i: i != -q["top"]["i"]).alias("ra"), F.filter(q["b"]["words"], lambda _, j: j + 1 != at).alias("rb"))
 
-    return F.when(a["side"] == b["side"], F.coalesce(best["s"] * common(rest(a, best["i"]), rest(b, best["j"])), F.lit(0.0))).otherwise(0.0)
+    return F.transform(F.transform(F.transform(pairs, best), rest), lambda r: F.coalesce(r["s"] * _common_likeness(r["ra"], r["rb"]), F.lit(0.0)))
 
 
 def named_parts(texts: DataFrame, common: DataFrame) -> DataFrame:
@@ -166,7 +177,7 @@ def evidence(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     r = right.select("j", F.struct("home", "away", "day", "home_goals", "away_goals", "home_text", "away_text").alias("r"))
     df = pairs.join(l, "i").join(r, "j")
     orders = ("home", "home"), ("away", "away"), ("home", "away"), ("away", "home")
-    likes = F.transform(F.array(*[F.struct(F.col(f"l.{a}").alias("a"), F.col(f"r.{b}").alias("b")) for a, b in orders]), lambda p: name_likeness(p["a"], p["b"]))
+    likes = name_likenesses(F.array(*[F.struct(F.col(f"l.{a}").alias("a"), F.col(f"r.{b}").alias("b")) for a, b in orders]))
     df = df.withColumn("likes", likes).select("i", "j", "l", "r", *[F.col("likes")[n].alias(a[0] + b[0]) for n, (a, b) in enumerate(orders)])
     both = lambda x, y: F.greatest(F.col(x) + F.col(y) - 1, F.lit(0.0))
     # written here: the likenesses are long expressions, and each is used several times below
