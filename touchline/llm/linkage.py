@@ -64,7 +64,10 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
     beginnings = meant.select("word", "meant", F.explode(F.sequence(F.lit(3), F.greatest(F.length("meant") - 1, F.lit(3)))).alias("n")).select("word", F.substr("meant", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("form_dot"))
     forms = meant.select("word", F.col("meant").alias("form"), F.lit(False).alias("form_dot")).unionByName(beginnings).groupBy("form", "form_dot").agg(F.collect_set("word").alias("owners"))
     found = canonical.probes_of(typed, "typed").join(canonical.segments_of(forms, "form"), "segment").where("dot = form_dot")
-    found = found.where(F.levenshtein("typed", "form", canonical.EDITS) >= 0).select("look", "dot", F.explode("owners").alias("word"))
+    d, n = F.levenshtein("typed", "form", canonical.EDITS), F.least(F.length("typed"), F.length("form"))
+    # the slips that make two words alike at all, see word_likeness
+    alike = (d == 0) | ((d == 1) & (n >= canonical.LEAST_LENGTH)) | ((d == 2) & ((n >= 9) | ((n >= canonical.LEAST_LENGTH) & names.swapped(F.col("typed"), F.col("form")))))
+    found = found.where(alike).select("look", "dot", F.explode("owners").alias("word"))
     # words too short for segments only stand for themselves
     short = left.where("length(look) <= 2").join(right.select("word", F.col("word").alias("look")), "look").select("look", "dot", "word")
     return found.unionByName(short).distinct()
