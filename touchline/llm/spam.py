@@ -13,15 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters that end lines, end sentences, close quotations, separate words and items, and patterns of links and of records (numbered, tabular or JSON lines).
-LINE_ENDS = "\r\x0b\x0c\x85\u2028\u2029"
-STOPS, CLOSERS = ".!?…", '"»”)'
-SENTENCE_END = "([.!?…](?<![.!?…]{2})[\"»”)]*)\\s+"
+# Patterns of line ends, sentence ends, links, words, separators, and of records (numbered, tabular or JSON lines) and scores; characters that end sentences and that close quotations.
+LINE_ENDS = "[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]+"
+STOPS, CLOSERS = ".!?…", "\"»”)"
+SENTENCE_END = "([.!?\\u2026](?<![.!?\\u2026]{2})[\"\\u00bb\\u201d)]*)\\s+"
 LINK = "(?:https?://|www\\.)\\S+"
-RECORD = "^[^\\p{L}\\p{N}_<]*[0-9]{1,3}\\+?[0-9]?(?:['’.):]|\\s*\\|)|^\\||^[\\[{]+\\s*\""
-SCORE = "[0-9]\\s*[-–:]\\s*[0-9]|\\([A-Z]{2,3}\\)"
-SEPARATORS, WORD_BREAKS = "|,;•/»·>", "|,;•/»·<>()[]{}.!?…:\"“”„«#*=+_&\t "
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÁÍÓÚÑÇÀÈŒ"
+WORD = "[\\p{L}\\p{N}\\p{M}]+(?:['\\u2019-][\\p{L}\\p{N}\\p{M}]+)*"
+SEPARATOR = "(?:[|,;\\u2022/\\u00bb\\u00b7>]|!!+|-(?=>)|\\bwww\\b|[-\\u2013\\u2014](?= ))\\s*(?:[|,;\\u2022/\\u00bb\\u00b7>]\\s*)*"
+EDGES = " |,;•/»·>!-"
+RECORD = "^[^\\p{L}\\p{N}_<]*[0-9]{1,3}\\+?[0-9]?(?:['\\u2019.):]|\\s*\\|)|^\\||^[\\[{]+\\s*\""
+SCORE = "[0-9]\\s*[-\\u2013:]\\s*[0-9]|\\([A-Z]{2,3}\\)"
 
 
 @dataclass(frozen=True)
@@ -49,13 +50,9 @@ class Bounds:
 BOUNDS = Bounds()
 
 
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, char, ""))
-
-
 def segments(text: Column) -> Column:
     """array<string>: the lines of a text cut at sentence ends; numbered, tabular and JSON lines stay whole."""
-    lines = F.transform(F.split(F.translate(text, LINE_ENDS, "\n" * len(LINE_ENDS)), "\n"), F.trim)
+    lines = F.transform(F.split(text, LINE_ENDS), F.trim)
     cut_up = lambda x: F.split(F.regexp_replace(x, SENTENCE_END, "$1\n"), "\n")
     parts = F.transform(lines, lambda x: F.when(x.rlike(RECORD), F.array(x)).otherwise(cut_up(x)))
     return F.filter(F.transform(F.flatten(parts), F.trim), lambda x: F.length(x) > 0)
@@ -74,12 +71,11 @@ def shapes(segs: Column, b: Bounds = BOUNDS) -> Column:
         bare = F.rtrim(s, F.lit(CLOSERS))
         last, before = F.right(bare, F.lit(1)), F.left(F.right(bare, F.lit(2)), F.lit(1))
         stops = [F.lit(c) for c in STOPS]
-        # dashes between blanks, arrows, rows of exclamation marks and lone www separate as well
-        apart = F.regexp_replace(F.translate(body, SEPARATORS, "|" * len(SEPARATORS)), " [-–—] |!!+|\\bwww\\b", "|")
         return F.struct(
-            F.length(s).alias("n"), a["links"].alias("links"),
-            F.filter(F.split(F.translate(F.lower(body), WORD_BREAKS, " " * len(WORD_BREAKS)), " "), lambda x: (F.length(x) > 0) & ~x.isin("-", "–", "—")).alias("own"),
-            F.size(F.filter(F.split(apart, "[|]"), lambda x: F.length(F.trim(x)) > 0)).alias("pieces"), _count(body, "#").alias("tags"), _count(body, CAPITALS).alias("capitals"),
+            F.length(s).alias("n"), a["links"].alias("links"), F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0)).alias("own"),
+            # pieces between separators: one that begins or ends the segment parts nothing
+            (F.regexp_count(F.trim(body, F.lit(EDGES)), F.lit(SEPARATOR)) + 1).alias("pieces"),
+            F.when(body.contains("#"), F.length(body) - F.length(F.replace(body, F.lit("#"), F.lit("")))).otherwise(0).alias("tags"), F.regexp_count(body, F.lit("\\p{Lu}")).alias("capitals"),
             (last.isin(*stops) & ((F.length(bare) < 2) | ~before.isin(*stops))).alias("terminal"), s.endswith(")").alias("closing"), s.startswith(">").alias("quote"),
             (s.rlike(RECORD) | s.contains('":')).alias("record"), s.alias("s"),
         )
