@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import names
-from touchline.session import cut
+from touchline.session import cut, sized_join
 
 UNMATCHED = "UNMATCHED"
 #: Edit distance up to which segments are made, and the length from which a word may differ at all.
 EDITS, LEAST_LENGTH = 2, 5
 #: A word that this many entries of the list share is no name by itself (FC, United, ...).
 COMMON = 10
-SALTS = 8
+#: Letters from which a beginning cut short by a stop can stand for a name.
+LEAST_CUT = 1
 
 
 def segments_of(strings: DataFrame, text: str, edits: int = EDITS) -> DataFrame:
@@ -58,43 +59,53 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def reference_parts(clubs: DataFrame) -> DataFrame:
-    """entry, country, short, side, place, parts, affix of each entry (columns entry, name, short, country): its own words as one, their number, the common word, its side.
+    """entry, country, short, side, place, parts, affix of each entry (columns entry, name, short, country): its own words as one, their number, the common words, its side.
 
-    An entry with marked letters comes twice, with the letters plain and spelt out.
+    An entry with marked letters comes twice, with the letters plain and spelt out. A name of common words only has them as its own.
     """
     parts = clubs.select("entry", "country", F.translate(names.plain(F.col("short")), ". ", "").alias("short"), F.explode(F.array_distinct(F.array(names.tokens(F.col("name")), names.tokens(F.col("name"), names.spelt_out)))).alias("toks"))
-    parts = parts.withColumns({"side": names.sides(F.col("toks")), "words": F.transform(names.core(F.col("toks")), lambda t: t["t"])})
-    common = parts.select(F.explode(F.array_distinct("words")).alias("word"), "entry").groupBy("word").agg(F.countDistinct("entry").alias("n")).where(F.col("n") >= COMMON).agg(F.collect_set("word").alias("common"))
-    parts = parts.join(F.broadcast(common), F.lit(True), "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    own = F.array_except("words", "common")
-    own = F.when(F.size(own) > 0, own).otherwise(F.col("words"))
-    return parts.select("entry", "country", "short", "side", F.array_join(own, "").alias("place"), F.size(own).alias("parts"), F.array_join(F.array_except("words", own), " ").alias("affix")).where("length(place) > 0").distinct()
+    parts = cut(parts.select("entry", "country", "short", names.sides(F.col("toks")).alias("side"), F.transform(names.core(F.col("toks")), lambda t: t["t"]).alias("words")).distinct().withColumn("row", F.monotonically_increasing_id()))
+    long = parts.select("row", "entry", F.posexplode("words").alias("at", "word"))
+    common = long.groupBy("word").agg(F.countDistinct("entry").alias("n")).where(F.col("n") >= COMMON).select("word", F.lit(True).alias("shared"))
+    told = sized_join(long, cut(common), ["word"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("shared", F.lit(False)).alias("shared")))).alias("w"))
+    some = F.exists("w", lambda x: ~x["shared"])
+    text = lambda keep, by: F.array_join(F.transform(F.filter("w", keep), lambda x: x["word"]), by)
+    out = parts.join(told, "row").withColumn("some", some)
+    own = lambda x: ~x["shared"] | ~F.col("some")
+    return out.select("entry", "country", "short", "side", text(own, "").alias("place"), F.size(F.filter("w", own)).alias("parts"), text(lambda x: ~own(x), " ").alias("affix")).where("length(place) > 0").distinct()
 
 
 def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
     """name, country, entries: for each typed name (distinct pairs of name and country, null where unknown) that fits some entry, the entries it fits best.
 
     A name fits an entry if one of its words, or as many adjacent words as the entry's own name has, are the entry's own name (up to a slip of one edit or two exchanged letters, or cut short by a
-    stop), its other words are the entry's common word or stand for it, and the sides are the same; or if it is the entry's short name.
+    stop), its other words are the entry's common words or stand for them, and the sides are the same; or if it is the entry's short name.
     """
     # the parts of the plan are written one by one: each is small, and nothing that is used twice is computed twice
     ref = cut(reference_parts(clubs).withColumn("look", names.look_alike(F.col("place"))))
-    known = ref.agg(F.collect_set(F.when(F.col("affix") != "", F.col("affix"))).alias("common"), F.max("parts").alias("longest"))
+    longest = ref.agg(F.coalesce(F.max("parts"), F.lit(0)).alias("longest"))  # one row
+    # the common words of the list, as a typed word is met with them
+    common = cut(ref.where("affix <> ''").select(F.col("affix").alias("word")).distinct().withColumn("shared", F.lit(True)))
     q = typed.select("name", "country", names.tokens(F.col("name")).alias("toks")).withColumns({"side": names.sides(F.col("toks")), "words": names.core(F.col("toks"))})
-    q = cut(q.join(F.broadcast(known), F.lit(True), "left").where(F.size("words") >= 1))
+    q = cut(q.where(F.size("words") >= 1))
     # runs of adjacent words, as long as the longest own name of the list: a bound of the list, so the work is linear in the words
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least("longest", F.size("words"))), lambda n: F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda at: F.struct(at.alias("at"), n.alias("n")))))
-    words = q.select("name", "country", "side", "words", "common", F.explode(runs).alias("run")).select("*", F.expr("slice(words, run.at + 1, run.n)").alias("inside"), F.expr("filter(words, (w, i) -> i < run.at or i >= run.at + run.n)").alias("rest"))
+    words = q.join(F.broadcast(longest), F.lit(True)).where("longest > 0").select("name", "country", "side", "words", F.explode(runs).alias("run"))
+    words = words.select("*", F.expr("slice(words, run.at + 1, run.n)").alias("inside"), F.expr("filter(words, (w, i) -> i < run.at or i >= run.at + run.n)").alias("rest"))
     words = words.where("not exists(slice(inside, 1, run.n - 1), w -> w.dot)")  # only the last word of a run may be cut short
-    word = F.array_join(F.transform("inside", lambda t: t["t"]), "")
-    words = words.withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).select("name", "country", "side", "common", "rest", F.col("run.n").alias("n"), names.look_alike(word).alias("look"), F.element_at("inside", -1)["dot"].alias("dot"), F.array_contains("common", word).alias("is_common")).where("not is_common and length(look) >= 3")
+    words = words.select("name", "country", "side", "rest", F.col("run.n").alias("n"), F.array_join(F.transform("inside", lambda t: t["t"]), "").alias("word"), F.element_at("inside", -1)["dot"].alias("dot"), F.get("rest", F.lit(0))["t"].alias("beside"))
+    words = sized_join(words, common, ["word"], "left").where("shared is null").drop("shared")
+    words = sized_join(words, common.toDF("beside", "beside_shared"), ["beside"], "left")
+    words = cut(words.select("name", "country", "side", "rest", "n", names.look_alike(F.col("word")).alias("look"), "dot", F.coalesce("beside_shared", F.lit(False)).alias("beside_shared")))
     # whole words against whole places, cut words against beginnings of places: one join, told apart by the key
-    beginnings = ref.select("entry", "look", F.explode(F.sequence(F.lit(3), F.greatest(F.length("look") - 1, F.lit(3)))).alias("n")).select("entry", F.substr("look", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("dot"))
-    forms = ref.select("entry", F.col("look").alias("form"), F.lit(False).alias("dot")).unionByName(beginnings).groupBy("form", "dot").agg(F.collect_set("entry").alias("owners"))
+    beginnings = ref.select("entry", "look", F.explode(F.sequence(F.lit(LEAST_CUT), F.greatest(F.length("look") - 1, F.lit(LEAST_CUT)))).alias("n")).select("entry", F.substr("look", F.lit(1), F.col("n")).alias("form"), F.lit(True).alias("dot"))
+    forms = cut(ref.select("entry", F.col("look").alias("form"), F.lit(False).alias("dot")).unionByName(beginnings).distinct())
     distinct_words = words.select("look", "dot").distinct()
-    found = probes_of(distinct_words, "look").join(segments_of(forms.withColumnRenamed("dot", "form_dot"), "form"), "segment")
-    found = found.where(F.col("dot") == F.col("form_dot")).select("look", "dot", "form", "owners", distance(F.col("look"), F.col("form")).alias("edits")).where("edits is not null").distinct()
-    found = cut(found.select("look", "dot", "edits", F.explode("owners").alias("entry")).groupBy("look", "dot", "entry").agg(F.min("edits").alias("edits")))
+    found = probes_of(distinct_words, "look").join(segments_of(forms.select("form", F.col("dot").alias("form_dot")).distinct(), "form"), "segment")
+    found = found.where(F.col("dot") == F.col("form_dot")).select("look", "dot", "form", distance(F.col("look"), F.col("form")).alias("edits")).where("edits is not null").distinct()
+    # words too short for segments only stand for themselves
+    found = found.unionByName(distinct_words.where("length(look) <= 2").select("look", "dot", F.col("look").alias("form"), F.lit(0).alias("edits")))
+    found = cut(found.join(forms, ["form", "dot"]).groupBy("look", "dot", "entry").agg(F.min("edits").alias("edits")))
     pairs = words.join(found, ["look", "dot"]).join(ref.select("entry", F.col("country").alias("home"), F.col("side").alias("entry_side"), "affix", "parts"), "entry").where("n = 1 or n = parts")
     pairs = pairs.where(F.col("country").isNull() | (F.col("country") == F.col("home"))).where(F.col("side") == F.col("entry_side"))
     other = F.get("rest", F.lit(0))
@@ -105,13 +116,14 @@ def match_names(typed: DataFrame, clubs: DataFrame) -> DataFrame:
         .when(F.col("affix") == "", F.lit(None))
         # the common word written out: each of its letters begins a word, or it abbreviates one
         .when(F.size("rest") > 1, F.when(F.array_join(F.transform("rest", lambda t: F.substring(t["t"], 1, 1)), "") == F.col("affix"), 1))
-        .when((F.length("affix") <= 3) & (F.length(other["t"]) >= 6) & ~F.array_contains("common", other["t"]) & names.short_for(F.col("affix"), F.lit(False), other["t"]), 1)
+        .when((F.length("affix") <= 3) & (F.length(other["t"]) >= 6) & ~F.col("beside_shared") & names.short_for(F.col("affix"), F.lit(False), other["t"]), 1)
         .when(names.short_for(other["t"], other["dot"], F.col("affix")), 1)
         .when(~other["dot"] & typo.isNotNull(), 1)
     )
-    pairs = pairs.withColumn("cost", F.col("edits") * 10 + F.col("dot").cast("int") * 5 + affix).where("cost is not null").select("name", "country", "entry", "cost")
-    codes = q.where((F.size("words") == 1) & (F.col("side") == "")).select("name", "country", F.get("words", F.lit(0))["t"].alias("short")).where("length(short) between 2 and 4")
-    codes = codes.join(ref.where("side = '' and short <> ''").select("short", "entry", F.col("country").alias("home")), "short").where(F.col("country").isNull() | (F.col("country") == F.col("home"))).select("name", "country", "entry", F.lit(1).alias("cost"))
+    pairs = pairs.withColumn("cost", F.col("edits") * 10 + F.when(F.col("dot"), F.when(F.length("look") < 3, 7).otherwise(5)).otherwise(0) + affix).where("cost is not null").select("name", "country", "entry", "cost")
+    # a name of one word may be an entry's short name
+    codes = q.where((F.size("words") == 1) & (F.col("side") == "")).select("name", "country", F.get("words", F.lit(0))["t"].alias("short"))
+    codes = codes.join(ref.where("side = '' and short <> ''").select("short", "entry", F.col("country").alias("home")).distinct(), "short").where(F.col("country").isNull() | (F.col("country") == F.col("home"))).select("name", "country", "entry", F.lit(1).alias("cost"))
     every = pairs.unionByName(codes).groupBy("name", "country", "entry").agg(F.min("cost").alias("cost"))
     return every.groupBy("name", "country").agg(F.collect_list(F.struct("cost", "entry")).alias("all")).select("name", "country", F.expr("transform(filter(all, x -> x.cost = array_min(transform(all, y -> y.cost))), x -> x.entry)").alias("entries"))
 
@@ -134,9 +146,9 @@ def map_names(records: DataFrame, key: str, texts: list[str], country: Column, c
     given = F.coalesce(F.try_element_at("hints", names.plain(F.col("country"))), F.when(F.trim("country") == "", F.lit(None)).otherwise(F.col("country")))
     long = long.select("key", "name", F.coalesce(given, inside).alias("country"))
     fits = cut(match_names(long.select("name", "country").distinct(), clubs))
-    # names recur, one may make up much of the table: the matched names are few and go out to every salt
-    salted = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = long.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).alias("l").join(salted.alias("f"), (F.col("l.name") == F.col("f.name")) & F.col("l.country").eqNullSafe(F.col("f.country")) & (F.col("l.salt") == F.col("f.salt")))
+    # names recur, and one may make up much of the table; a missing country is a value of its own
+    filled = lambda df: df.withColumn("place", F.coalesce(F.concat(F.lit("in "), "country"), F.lit("anywhere"))).drop("country")
+    joined = sized_join(filled(long), cut(filled(fits)), ["name", "place"])
     sets = joined.select("key", "entries").distinct().groupBy("key").agg(F.collect_list("entries").alias("sets"))
     shared = sets.select("key", F.aggregate(F.slice("sets", 2, 2**30), F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b)).alias("shared"))
     matched = shared.where(F.size("shared") == 1).select("key", F.get("shared", F.lit(0)).alias("entry"))
