@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from touchline.functions import markets
 from touchline.functions import probability as P
 from touchline.functions import text
 from touchline.functions.clocks import clock_seconds
@@ -79,8 +80,10 @@ def test_generator_and_simulation(spark):
     a = sorted(map(tuple, simulation.simulate(df, "id", "cells", draws=5000).collect()))
     b = sorted(map(tuple, simulation.simulate(df.repartition(5), "id", "cells", draws=5000).collect()))
     assert a == b and sum(r[-1] for r in a) == 20_000
-    rates = {r.event: r.hits / 20_000 for r in simulation.event_rates(simulation.simulate(df, "id", "cells", draws=5000), "id").collect()}
-    assert rates["home"] == pytest.approx(0.6, abs=0.02) and rates["tail"] == pytest.approx(0.1, abs=0.02)
+    drawn = [sorted(map(str, simulation.simulate_events(x, "id", "cells").collect())) for x in (df, df.repartition(5))]
+    assert drawn[0] == drawn[1]
+    rates = {r.event: r.hits / 112_460 for r in simulation.event_rates(simulation.simulate_events(df, "id", "cells"), "id").collect()}
+    assert rates["outcome:home_win"] == pytest.approx(0.6, abs=0.01) and rates["unresolved_tail"] == pytest.approx(0.1, abs=0.01)
 
 
 def test_elo_against_a_plain_fold():
@@ -136,9 +139,9 @@ def test_texts(spark):
     assert keys.select(uuid_key(F.col("k"))).distinct().count() == 1 and keys.select(uuid_text(F.col("k")).alias("t")).distinct().first().t == "99eb61f0-86b6-4828-ab04-93b43533e7a2"
     r = spark.range(1).select(
         text.measurement_key(F.lit("Ball Possession")).alias("k"), text.measurement_value(F.lit("12%")).alias("p"), text.measurement_value(F.lit("3/4 (75%)")).alias("f"), text.measurement_value(F.lit("true")).alias("n"), text.strict_count(F.lit("-1")).alias("c"),
-        text.market(F.lit(" Over  2.5 ")).alias("m"), text.event_kind(F.lit("Goal disallowed")).alias("e"), text.score_bucket(F.lit("5+")).alias("b"), text.club_key(F.lit("FC The Rovers!")).alias("club"), text.backoff_seconds(F.lit(4)).alias("w"),
+        markets.market(F.lit(" Over  2.5 ")).alias("m"), text.event_kind(F.lit("Goal disallowed")).alias("e"), text.score_bucket(F.lit("5+")).alias("b"), text.club_key(F.lit("FC The Rovers!")).alias("club"), text.backoff_seconds(F.lit(4)).alias("w"),
     ).first()
-    assert (r.k, r.p, r.f, r.n, r.c, tuple(r.m), r.e, tuple(r.b), r.club, r.w) == ("possession", 12.0, 0.75, None, None, ("TOTAL_2_5", "OVER"), "DISALLOWED", (5, "AT_LEAST"), "rovers", 240.0)
+    assert (r.k, r.p, r.f, r.n, r.c, tuple(r.m), r.e, tuple(r.b), r.club, r.w) == ("possession", 12.0, 0.75, None, None, ("TOTAL_GOALS", "TOTAL_OVER_2_5"), "DISALLOWED", (5, "AT_LEAST"), "rovers", 240.0)
 
 
 def test_sources(spark, tmp_path):
@@ -242,7 +245,30 @@ def test_exact_intervals(spark):
 
 
 def test_simulation_gates(spark):
-    df = spark.createDataFrame([("m", [(0, 0, 0.3), (1, 0, 0.6)])], "id string, cells array<struct<home:int,away:int,p:double>>")
+    df = spark.createDataFrame([("m", [(0, 0, 0.3), (1, 0, 0.6), (7, 2, 0.1)])], "id string, cells array<struct<home:int,away:int,p:double>>")
     hits = simulation.simulate(df, "id", "cells")
-    assert simulation.total_variation(hits, df, "id", "cells").first().distance < 0.0127
-    assert all(r.widest < 0.02 for r in simulation.batch_stability(hits, "id").collect())
+    assert simulation.total_variation(hits, df, "id", "cells").first().distance < simulation.VARIATION_LIMIT
+    drawn = simulation.simulate_events(df, "id", "cells")
+    rates = {r.event: r for r in simulation.gates(simulation.event_rates(drawn, "id"), "id").collect()}
+    assert len(rates) == len(simulation.EVENTS) == 62 and all(r.verdict == "PASS" for r in rates.values())
+    assert rates["outcome:home_win"].analytic == pytest.approx(0.7) and rates["score:5+-2"].analytic == pytest.approx(0.1) and rates["unresolved_tail"].hits == 0
+    assert all(sum(rates[e].hits for e in simulation.EVENTS if e.startswith(g)) == 112_460 for g in ("score:", "outcome:", "btts:", "total_goals:", "clean_sheet:home", "total:over_2.5", "total:under_2.5") if not g.startswith("total:"))
+    assert rates["total:over_2.5"].hits + rates["total:under_2.5"].hits == 112_460
+    assert rates["outcome:home_win"].low < rates["outcome:home_win"].hits / 112_460 < rates["outcome:home_win"].high
+    gate = simulation.variation_gate(drawn, "id").first()
+    assert gate.verdict in ("PASS", "WARN") and gate.distance <= simulation.VARIATION_LIMIT
+    # what was drawn from another forecast is out of parity, and a tail that was drawn is named
+    wrong = simulation.event_rates(drawn, "id").withColumn("analytic", F.col("analytic") + 0.02)
+    assert {r.verdict for r in simulation.gates(wrong.where("event = 'outcome:home_win'"), "id").collect()} == {"OUT_OF_PARITY"}
+    short = spark.createDataFrame([("m", [(0, 0, 0.9)])], "id string, cells array<struct<home:int,away:int,p:double>>")
+    tail = simulation.gates(simulation.event_rates(simulation.simulate_events(short, "id", "cells"), "id"), "id").where("event = 'unresolved_tail'").first()
+    assert tail.verdict == "TAIL_SAMPLED"
+    assert simulation.simulate_events(df.limit(0), "id", "cells").collect() == []
+
+
+def test_event_matrix_against_the_words_of_the_events():
+    home, away = np.array([0, 3, 9, 2, -1]), np.array([0, 1, 6, 2, -1])
+    m = simulation.event_matrix(home, away)
+    names = [[e for e, hit in zip(simulation.EVENTS, row, strict=True) if hit] for row in m]
+    assert names[1] == ["score:3-1", "outcome:home_win", "btts:yes", "total:over_0.5", "total:over_1.5", "total:over_2.5", "total:over_3.5", "total:under_4.5", "clean_sheet:home_no", "clean_sheet:away_no", "total_goals:4"]
+    assert "score:5+-5+" in names[2] and names[4] == ["unresolved_tail"] and [len(n) for n in names] == [11, 11, 11, 11, 1]

@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of measurements, events and markets, and words of club names that say nothing.
+# Spellings of measurements and events, and words of club names that say nothing.
 MEASUREMENTS = {
     "ballpossession": "possession", "possession": "possession", "totalshots": "shots", "shots": "shots", "shotsontarget": "shots_on_target", "shotsongoal": "shots_on_target",
     "cornerkicks": "corners", "corners": "corners", "fouls": "fouls", "foulscommitted": "fouls", "offsides": "offsides", "yellowcards": "yellow_cards", "redcards": "red_cards",
 }
-MARKETS = {
-    "1": ("RESULT", "HOME"), "home": ("RESULT", "HOME"), "home win": ("RESULT", "HOME"), "x": ("RESULT", "DRAW"), "draw": ("RESULT", "DRAW"), "2": ("RESULT", "AWAY"), "away": ("RESULT", "AWAY"), "away win": ("RESULT", "AWAY"),
-    "1x": ("DOUBLE_CHANCE", "HOME_DRAW"), "12": ("DOUBLE_CHANCE", "HOME_AWAY"), "x2": ("DOUBLE_CHANCE", "DRAW_AWAY"),
-    "over 2.5": ("TOTAL_2_5", "OVER"), "under 2.5": ("TOTAL_2_5", "UNDER"), "btts": ("BOTH_SCORE", "YES"), "btts yes": ("BOTH_SCORE", "YES"), "btts no": ("BOTH_SCORE", "NO"),
-}
 CLUB_WORDS = r"\b(fc|afc|cf|sc|ac|club|football|the)\b"
 
 
@@ -41,12 +36,6 @@ def strict_count(text: Column) -> Column:
     return F.when(F.trim(text).rlike("^[0-9]{1,9}$"), F.trim(text).cast("long"))
 
 
-def market(label: Column) -> Column:
-    """struct(market, selection) of a typed label; null for unknown ones."""
-    known = F.create_map(*[x for k, (m, s) in MARKETS.items() for x in (F.lit(k), F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection")))])
-    return F.try_element_at(known, F.regexp_replace(F.lower(F.trim(label)), r"\s+", " "))
-
-
 def event_kind(text: Column) -> Column:
     """GOAL, DISALLOWED, CARD, SUB or OTHER of an event's words; a disallowed goal is looked for first."""
     t = F.lower(text)

@@ -118,45 +118,63 @@ def leaks(snapshots: DataFrame, key: str, document: str, cutoff: str, outcome_ke
     return snapshots.select(key, finding.alias("finding")).where("finding is not null")
 
 
-def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 300) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction, on the side where it converges fast."""
-    from math import lgamma
-
-    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
-    flip = x > (a + 1) / (a + b + 2)
-    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
-    lg = np.vectorize(lgamma, otypes=[float])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)) / a
+def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, until it stands still everywhere; it takes about as many terms as the root of the greater parameter."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     f = d.copy()
-    for m in range(1, terms):
+    for m in range(1, 20_000):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + step * d
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + step / np.where(np.abs(c) < tiny, tiny, c)
             f = f * c * d
-    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * f))
+        if np.nanmax(np.abs(c * d - 1), initial=0.0) < 1e-14:
+            break
+    return f
+
+
+def _ln_gamma(x: np.ndarray) -> np.ndarray:
+    from math import lgamma
+
+    return np.vectorize(lgamma, otypes=[float])(x)
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, on the side where it converges fast."""
+    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(_ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * _beta_fraction(x, a, b)))
     return np.where(flip, 1 - out, out)
 
 
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where ``beta_cdf`` reaches q: Newton steps held within a bracket that shrinks with every step."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    low, high, x = np.zeros_like(a), np.ones_like(a), a / (a + b)
+    norm = _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b)
+    for _ in range(60):
+        gap = beta_cdf(x, a, b) - q
+        low, high = np.where(gap < 0, x, low), np.where(gap < 0, high, x)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            step = x - gap / np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        new = np.where((step > low) & (step < high), step, (low + high) / 2)
+        if np.max(np.abs(new - x), initial=0.0) < 1e-15:
+            break
+        x = new
+    return x
+
+
 def clopper_pearson(hits: np.ndarray, n: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
-    """The exact interval of a rate, by bisection of the beta distribution."""
+    """The exact interval of a rate, from quantiles of the beta distribution."""
     k, n = np.asarray(hits, float), np.asarray(n, float)
     tail = (1 - level) / 2
-
-    def quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        low, high = np.zeros_like(a), np.ones_like(a)
-        for _ in range(60):
-            mid = (low + high) / 2
-            below = beta_cdf(mid, a, b) < q
-            low, high = np.where(below, mid, low), np.where(below, high, mid)
-        return (low + high) / 2
-
-    low = np.where(k <= 0, 0.0, quantile(tail, np.maximum(k, 0.5), n - k + 1))
-    high = np.where(k >= n, 1.0, quantile(1 - tail, k + 1, np.maximum(n - k, 0.5)))
+    low = np.where(k <= 0, 0.0, beta_quantile(tail, np.maximum(k, 0.5), n - k + 1))
+    high = np.where(k >= n, 1.0, beta_quantile(1 - tail, k + 1, np.maximum(n - k, 0.5)))
     return low, high
 
 

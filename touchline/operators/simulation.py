@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,13 +16,54 @@ GAMMA, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 BATCHES, BATCH_DRAWS = 4, 28_115
 
 
+# The gates of a simulation. Limits of the difference between two batches, of half an interval, of the distance over all scores, and of one event's error; familywise levels of the intervals.
+STABILITY_LIMIT, PRECISION_LIMIT, VARIATION_LIMIT, ERROR_LIMIT = 0.01997, 0.005, 0.012794580429261083, 0.008613326107968184
+PRECISION_LEVEL, PARITY_LEVEL = 0.05, 0.01
+
+_GOALS = ("0", "1", "2", "3", "4", "5+")
+#: The derived events of a simulated score, in order: 36 scores, results, both score, totals over and under, clean sheets, totals, and the tail.
+EVENTS = (
+    *[f"score:{h}-{a}" for h in _GOALS for a in _GOALS], "outcome:home_win", "outcome:draw", "outcome:away_win", "btts:yes", "btts:no",
+    *[f"total:{side}_{n}.5" for n in range(5) for side in ("over", "under")], *[f"clean_sheet:{side}_{x}" for side in ("home", "away") for x in ("yes", "no")], *[f"total_goals:{n}" for n in _GOALS], "unresolved_tail",
+)
+SCORES = 36
+
+
+def event_matrix(home: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """One row per score, one column per event of EVENTS: whether the score is in it. Negative goals are the tail and in no other event."""
+    at = {e: i for i, e in enumerate(EVENTS)}
+    out = np.zeros((len(home), len(EVENTS)), dtype=bool)
+    tail, total = home < 0, home + away
+    rules = {"outcome:home_win": home > away, "outcome:draw": home == away, "outcome:away_win": home < away, "btts:yes": (home > 0) & (away > 0), "btts:no": (home == 0) | (away == 0)}
+    for i, h in enumerate(_GOALS):
+        for j, a in enumerate(_GOALS):
+            rules[f"score:{h}-{a}"] = (np.minimum(home, 5) == i) & (np.minimum(away, 5) == j)
+        rules[f"total_goals:{h}"] = np.minimum(total, 5) == i
+    for n in range(5):
+        rules |= {f"total:over_{n}.5": total > n, f"total:under_{n}.5": total <= n}
+    for side, conceded in (("home", away), ("away", home)):
+        rules |= {f"clean_sheet:{side}_yes": conceded == 0, f"clean_sheet:{side}_no": conceded > 0}
+    for event, holds in rules.items():
+        out[:, at[event]] = holds & ~tail
+    out[:, -1] = tail
+    return out
+
+
 def splitmix64(seed: int, n: int) -> np.ndarray:
     """The first n outputs of SplitMix64; its state is a counter, so all come at once."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed) + np.uint64(GAMMA) * np.arange(1, n + 1, dtype=np.uint64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
-        return z ^ (z >> np.uint64(31))
+        z = _counters(n) + np.uint64(seed)
+        for shift, factor in ((30, MIX1), (27, MIX2)):
+            z ^= z >> np.uint64(shift)
+            z *= np.uint64(factor)
+        z ^= z >> np.uint64(31)
+        return z
+
+
+@lru_cache(4)
+def _counters(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.uint64(GAMMA) * np.arange(1, n + 1, dtype=np.uint64)
 
 
 def unit(words: np.ndarray) -> np.ndarray:
@@ -29,6 +71,11 @@ def unit(words: np.ndarray) -> np.ndarray:
     return ((words >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def commitment(protocol: str, policy: str, probabilities: str) -> bytes:
+    """The common part of a forecast's seeds: the hash of protocol, policy and the hash of its probabilities."""
+    return hashlib.sha256((protocol + policy + probabilities).encode()).digest()
+
+
 def seed_of(base: bytes, match: str, batch: int) -> int:
     """The seed of a batch: leading bytes of a hash over base, match and batch number, big endian."""
     return int.from_bytes(hashlib.sha256(base + match.encode() + batch.to_bytes(4, "big")).digest()[:8], "big")
@@ -36,7 +83,11 @@ def seed_of(base: bytes, match: str, batch: int) -> int:
 
 def sample(cumulative: np.ndarray, seed: int, draws: int) -> np.ndarray:
     """Counts of draws per atom: the first atom whose cumulative probability exceeds the uniform number."""
-    at = np.searchsorted(cumulative, unit(splitmix64(seed, draws)), side="right")
+    u = unit(splitmix64(seed, draws))
+    if len(cumulative) <= 16:  # few atoms: counted below each bound, no search
+        below = np.array([np.count_nonzero(u < c) for c in cumulative[:-1]] + [draws])
+        return np.diff(below, prepend=0)
+    at = np.searchsorted(cumulative, u, side="right")
     return np.bincount(np.minimum(at, len(cumulative) - 1), minlength=len(cumulative))
 
 
@@ -46,11 +97,13 @@ def simulate(forecasts: DataFrame, key: str, cells: str, base: bytes = b"touchli
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for k, batch, home, away, p in zip(pdf["k"], pdf["batch"], pdf["home"], pdf["away"], pdf["p"], strict=True):
+            hits = []
+            for k, batch, p in zip(pdf["k"], pdf["batch"], pdf["p"], strict=True):
                 p = np.asarray(p, dtype=float)
-                cumulative = np.cumsum(np.append(p, max(0.0, 1 - p.sum())))
-                hits = sample(cumulative, seed_of(base, str(k), int(batch)), draws)
-                yield pd.DataFrame({"k": k, "batch": batch, "home": np.append(home, -1), "away": np.append(away, -1), "hits": hits})
+                hits.append(sample(np.cumsum(np.append(p, max(0.0, 1 - p.sum()))), seed_of(base, str(k), int(batch)), draws))
+            sizes = [len(h) for h in hits]
+            goals = lambda c: np.concatenate([np.append(x, -1) for x in pdf[c]]) if len(pdf) else np.array([], dtype=int)  # noqa: B023, E731
+            yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), sizes), "batch": np.repeat(pdf["batch"].to_numpy(), sizes), "home": goals("home"), "away": goals("away"), "hits": np.concatenate(hits) if hits else []})
 
     part = lambda f: F.transform(cells, lambda x: x[f])
     spread = forecasts.select(F.col(key).alias("k"), part("home").alias("home"), part("away").alias("away"), part("p").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
@@ -58,25 +111,75 @@ def simulate(forecasts: DataFrame, key: str, cells: str, base: bytes = b"touchli
     return spread.mapInPandas(run, f"k {kind}, batch int, home int, away int, hits long").withColumnRenamed("k", key)
 
 
-def event_rates(hits: DataFrame, key: str) -> DataFrame:
-    """key, event, hits: draws per derived event (results, both score, totals, clean sheets, tail) over all batches."""
-    h, a, total = F.col("home"), F.col("away"), F.col("home") + F.col("away")
-    tail = h < 0
-    events = F.array_compact(
-        F.array(
-            F.when(tail, "tail"), F.when(~tail & (h > a), "home"), F.when(~tail & (h == a), "draw"), F.when(~tail & (h < a), "away"), F.when(~tail & (h > 0) & (a > 0), "both_score"),
-            *[F.when(~tail & (total > n), f"over_{n}.5") for n in range(5)], F.when(~tail & (a == 0), "home_clean_sheet"), F.when(~tail & (h == 0), "away_clean_sheet"),
-        )
-    )
-    return hits.where("hits > 0").select(key, "hits", F.explode(events).alias("event")).groupBy(key, "event").agg(F.sum("hits").alias("hits"))
-
-
-def batch_stability(hits: DataFrame, key: str) -> DataFrame:
-    """key, event, widest: the largest difference between the rates of an event in any two batches of a forecast."""
-    sizes = hits.groupBy(key, "batch").agg(F.sum("hits").alias("draws"))
-    outcome = F.when(F.col("home") < 0, "tail").when(F.col("home") > F.col("away"), "home").when(F.col("home") == F.col("away"), "draw").otherwise("away")
-    rates = hits.groupBy(key, "batch", outcome.alias("event")).agg(F.sum("hits").alias("n")).join(sizes, [key, "batch"])
-    return rates.groupBy(key, "event").agg((F.max(F.col("n") / F.col("draws")) - F.min(F.col("n") / F.col("draws"))).alias("widest"))
+def simulate_events(forecasts: DataFrame, key: str, cells: str, protocol: str = "touchline-simulation-v1", policy: str = "", batches: int = BATCHES, draws: int = BATCH_DRAWS) -> DataFrame:
+    """key, counts (per event of EVENTS the draws of each batch), analytic (per event its probability): all batches of a forecast drawn and reduced together.
+
+    The seed of a batch comes from the protocol, the policy, the hash of the forecast's probabilities, the key and the batch's number, so that a result can be drawn again anywhere.
+    """
+    kind = dict(forecasts.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            counts, analytic = [], []
+            for k, home, away, p in zip(pdf["k"], pdf["home"], pdf["away"], pdf["p"], strict=True):
+                p = np.append(np.asarray(p, dtype=float), 0.0)
+                p[-1] = max(0.0, 1 - p.sum())
+                events = event_matrix(np.append(home, -1), np.append(away, -1))
+                base = commitment(protocol, policy, hashlib.sha256(p.tobytes()).hexdigest())
+                cumulative = np.cumsum(p)
+                counts.append([(sample(cumulative, seed_of(base, str(k), b), draws) @ events).tolist() for b in range(batches)])
+                analytic.append((p @ events).tolist())
+            yield pd.DataFrame({"k": pdf["k"], "counts": [np.array(c).T.tolist() for c in counts], "analytic": analytic})
+
+    part = lambda f: F.transform(cells, lambda x: x[f])
+    rows = forecasts.select(F.col(key).alias("k"), part("home").alias("home"), part("away").alias("away"), part("p").alias("p"))
+    # a row is many draws: rows are spread over the cores first
+    return rows.repartition("k").mapInPandas(run, f"k {kind}, counts array<array<bigint>>, analytic array<double>").withColumnRenamed("k", key)
+
+
+def event_rates(simulated: DataFrame, key: str) -> DataFrame:
+    """key, event, hits, analytic, widest: draws per event over all batches, its probability, and the greatest difference of its rate between two batches."""
+    names = F.array(*[F.lit(e) for e in EVENTS])
+    per = F.arrays_zip(names.alias("event"), F.col("counts"), F.col("analytic"))
+    long = simulated.select(key, F.inline(per)).toDF(key, "event", "batches", "analytic")
+    draws = F.lit(float(BATCH_DRAWS))
+    return long.select(key, "event", F.aggregate("batches", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("hits"), "analytic", ((F.array_max("batches") - F.array_min("batches")) / draws).alias("widest"))
+
+
+def gates(rates: DataFrame, key: str, n: int = BATCHES * BATCH_DRAWS) -> DataFrame:
+    """``rates`` (see ``event_rates``) with low, high (the exact familywise 95% interval of the rate) and verdict: TAIL_SAMPLED, UNSTABLE, IMPRECISE, OUT_OF_PARITY, else PASS.
+
+    An event is in parity where its probability lies within the exact familywise 99% interval of its rate, that is, where neither tail of the binomial beyond the count is too thin.
+    """
+    from touchline.operators.scoring import beta_cdf, clopper_pearson
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rates.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            hits, p = pdf["hits"].to_numpy(float), pdf["analytic"].to_numpy(float)
+            few, back = np.unique(hits, return_inverse=True)
+            low, high = (x[back] for x in clopper_pearson(few, np.full(len(few), float(n)), 1 - PRECISION_LEVEL / len(EVENTS))) if len(pdf) else (hits, hits)
+            thin = PARITY_LEVEL / len(EVENTS) / 2
+            with np.errstate(invalid="ignore"):
+                at_least = np.where(hits <= 0, 1.0, beta_cdf(np.clip(p, 0, 1), np.maximum(hits, 1), n - hits + 1))
+                at_most = np.where(hits >= n, 1.0, 1 - beta_cdf(np.clip(p, 0, 1), hits + 1, np.maximum(n - hits, 1)))
+            verdict = np.select(
+                [(pdf["event"] == EVENTS[-1]) & (hits > 0), pdf["widest"] > STABILITY_LIMIT, (high - low) / 2 > PRECISION_LIMIT, (at_least < thin) | (at_most < thin)],
+                ["TAIL_SAMPLED", "UNSTABLE", "IMPRECISE", "OUT_OF_PARITY"], "PASS",
+            )
+            yield pdf.assign(low=low, high=high, verdict=verdict)
+
+    return rates.mapInPandas(run, f"{schema}, low double, high double, verdict string")
+
+
+def variation_gate(simulated: DataFrame, key: str, n: int = BATCHES * BATCH_DRAWS) -> DataFrame:
+    """key, distance (half the sum of absolute differences over the 36 scores), worst (the greatest error of an event), verdict: FAIL beyond the limit of the distance, WARN beyond that of the error, else PASS."""
+    rate = F.transform("counts", lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(float(n)))
+    errors = F.zip_with(rate, F.col("analytic"), lambda a, b: F.abs(a - b))
+    d = simulated.select(key, errors.alias("e"))
+    d = d.select(key, (F.aggregate(F.slice("e", 1, SCORES), F.lit(0.0), lambda a, x: a + x) / 2).alias("distance"), F.array_max("e").alias("worst"))
+    return d.withColumn("verdict", F.when(F.col("distance") > VARIATION_LIMIT, "FAIL").when(F.col("worst") > ERROR_LIMIT, "WARN").otherwise("PASS"))
 
 
 def total_variation(hits: DataFrame, forecasts: DataFrame, key: str, cells: str) -> DataFrame:

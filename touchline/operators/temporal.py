@@ -93,3 +93,13 @@ def running_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, str]
     rows = rows.withColumns({f"__i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
     joined = rows.join(per, [*keys, "__p"], "left")
     return joined.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__i_{n}")).alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, keys: list[str], time: str, ties: list[str], width: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row of a key by time, then ``ties``, from 1; time is a whole number, cut into periods of ``width`` as in ``running_sums``, so that a hot key is spread over its periods."""
+    rows = df.withColumn("__p", F.floor(F.col(time) / width))
+    per = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy(*keys, "__p").orderBy(time, *ties)
+    return rows.withColumn("__i", F.row_number().over(inside)).join(per, [*keys, "__p"]).select(*df.columns, (F.col("__o") + F.col("__i")).alias(name))

@@ -325,11 +325,20 @@ def loss_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.bootstrap_intervals(s, "outcome", ["kickoff_at", "forecast_id"], "loss")
 
 
+def _simulated(spark: SparkSession, sf: str) -> DataFrame:
+    return simulation.simulate_events(gridded(spark, sf).select("forecast_id", "cells"), "forecast_id", "cells")
+
+
 @query()
 def simulated_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Event counts of deterministic simulations of every forecast."""
-    f = gridded(spark, sf).select("forecast_id", "cells")
-    return simulation.event_rates(simulation.simulate(f, "forecast_id", "cells"), "forecast_id")
+    """Counts of the 62 derived events in deterministic simulations of every forecast, with the probability of each."""
+    return simulation.event_rates(_simulated(spark, sf), "forecast_id")
+
+
+@query()
+def simulation_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of every simulation with its exact interval and the verdict on stability, precision and parity."""
+    return simulation.gates(simulated_events(spark, sf), "forecast_id")
 
 
 @query()
@@ -407,11 +416,8 @@ def goal_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def simulation_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance between simulated and analytic scores of each forecast with its verdict."""
-    f = gridded(spark, sf).select("forecast_id", "cells")
-    hits = simulation.simulate(f, "forecast_id", "cells")
-    d = simulation.total_variation(hits, f, "forecast_id", "cells").withColumn("metric", F.lit("total_variation"))
-    return scoring.gate(d.withColumnRenamed("distance", "value"), {"total_variation": (0.0127, 0.02)})
+    """Distance between simulated and analytic scores of each forecast, its worst event, and the verdict."""
+    return simulation.variation_gate(_simulated(spark, sf), "forecast_id")
 
 
 @query()

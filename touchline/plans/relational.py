@@ -145,13 +145,15 @@ def overlapping_registrations(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.overlapping(p, ["player_id"], "start", "end", "end").select("player_id", "start").distinct()
 
 
-@query(f"""{ALL}, u AS (UNPIVOT (SELECT match_id, hg, ag FROM facts) ON hg, ag INTO NAME measure VALUE goals), k AS (SELECT DISTINCT measure FROM u), g AS (SELECT unnest(range(0, 8))::BIGINT AS goals)
+@query(f"""{ALL}, u AS (UNPIVOT (SELECT match_id, hg, ag FROM facts) ON hg, ag INTO NAME measure VALUE goals), k AS (SELECT DISTINCT measure FROM u), g AS (SELECT unnest(range(0, (SELECT max(goals) FROM u) + 1))::BIGINT AS goals)
 SELECT k.measure, g.goals, count(u.match_id) AS matches FROM k CROSS JOIN g LEFT JOIN u ON u.measure = k.measure AND u.goals = g.goals GROUP BY ALL""")
 def goal_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Unpivot, then a dense grid of measures and values with zero fill."""
+    """Unpivot, then a dense grid of measures and values, up to the greatest there is, with zero fill."""
     long = facts(spark, sf).select("match_id", "hg", "ag").unpivot("match_id", ["hg", "ag"], "measure", "goals")
     counts = long.groupBy("measure", "goals").agg(F.count("*").alias("n"))
-    grid = spark.createDataFrame([("hg",), ("ag",)], "measure string").withColumn("goals", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")))
+    # the grid is as wide as the distinct goals: one row of bounds
+    bounds = counts.agg(F.max("goals").alias("top"), F.collect_set("measure").alias("measures"))
+    grid = bounds.select(F.explode("measures").alias("measure"), "top").select("measure", F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("goals"))
     return grid.join(counts, ["measure", "goals"], "left").select("measure", "goals", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
@@ -227,28 +229,6 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).groupBy("home").agg(F.sha2(ordered, 256).alias("fingerprint"), F.count("*").alias("matches"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
 
 
-_PICKS = f"""{ALL}, picks AS (SELECT match_id, provider AS source, CASE (match_id * 7 + ascii(provider)) % 3 WHEN 0 THEN 'HOME' WHEN 1 THEN 'DRAW' ELSE 'AWAY' END AS pick, home, hg, ag FROM facts)"""
-
-
-def _picks(spark: SparkSession, sf: str) -> DataFrame:
-    n = (F.col("match_id") * 7 + F.ascii("provider")) % 3
-    return facts(spark, sf).select("match_id", F.col("provider").alias("source"), F.when(n == 0, "HOME").when(n == 1, "DRAW").otherwise("AWAY").alias("pick"), "home", "hg", "ag")
-
-
-@query(f"""{_PICKS}, v AS (SELECT home, pick, count(DISTINCT source) AS votes FROM picks GROUP BY ALL), t AS (SELECT *, sum(votes) OVER (PARTITION BY home)::BIGINT AS total FROM v) SELECT home, pick, votes, total FROM t WHERE votes >= 2 AND 3 * votes >= total""")
-def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Consensus vote: distinct sources per choice against the total of the group."""
-    v = _picks(spark, sf).groupBy("home", "pick").agg(F.count_distinct("source").alias("votes"))
-    return v.withColumn("total", F.sum("votes").over(Window.partitionBy("home"))).where("votes >= 2 and 3 * votes >= total")
-
-
-@query(f"""{_PICKS} SELECT source, count(*) AS picks, count(*) FILTER (WHERE pick = CASE WHEN hg > ag THEN 'HOME' WHEN hg = ag THEN 'DRAW' ELSE 'AWAY' END) AS hits, round(avg(CASE WHEN pick = CASE WHEN hg > ag THEN 'HOME' WHEN hg = ag THEN 'DRAW' ELSE 'AWAY' END THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM picks GROUP BY source""")
-def source_scoreboard(spark: SparkSession, sf: str) -> DataFrame:
-    """Hit rate of each source of picks."""
-    hit = F.col("pick") == F.when(F.col("hg") > F.col("ag"), "HOME").when(F.col("hg") == F.col("ag"), "DRAW").otherwise("AWAY")
-    return _picks(spark, sf).groupBy("source").agg(F.count("*").alias("picks"), F.count_if(hit).alias("hits"), F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), 6).alias("hit_rate"))
-
-
 @query(f"""{CLEAN}, n AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY ko) - 1 AS prior FROM sides)
 SELECT match_id, team, round(avg(gf) OVER w, 6) AS gf10, round(avg(ga) OVER w, 6) AS ga10, round(avg(xf) OVER w, 6) AS xf10, round(avg(points) OVER w, 6) AS ppg10, round(avg(CASE WHEN ga = 0 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS clean10, prior >= 10 AS enough FROM n WINDOW w AS (PARTITION BY team ORDER BY ko ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def rolling_form(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,20 +310,22 @@ def latest_fifty(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("home", "n", F.round("m", 6).alias("all_mean"), F.round("l", 6).alias("last50"), rating.alias("rating"))
 
 
-@query(f"""{ALL}, r AS (SELECT home, away, row_number() OVER (PARTITION BY home ORDER BY ko DESC, match_id DESC) - 1 AS i FROM facts) SELECT home, away, round(sum(pow(0.85, i)), 6) AS preference, count(*) AS times FROM r WHERE i < 40 GROUP BY ALL""")
+@query(f"""{ALL}, r AS (SELECT home, away, row_number() OVER (PARTITION BY home ORDER BY ko DESC, match_id DESC) - 1 AS i FROM facts) SELECT home, away, round(sum(pow(0.85, i)), 6) AS preference, count(*) AS times FROM r GROUP BY ALL""")
 def recency_preference(spark: SparkSession, sf: str) -> DataFrame:
-    """Preference by geometrically decaying weight of the latest appearances."""
-    r = facts(spark, sf).select("home", "away", (F.row_number().over(Window.partitionBy("home").orderBy(F.desc("ko"), F.desc("match_id"))) - 1).alias("i")).where("i < 40")
-    return r.groupBy("home", "away").agg(F.round(F.sum(F.pow(F.lit(0.85), F.col("i"))), 6).alias("preference"), F.count("*").alias("times"))
+    """Preference by geometrically decaying weight of all appearances, the latest first."""
+    r = temporal.numbered(facts(spark, sf).select("home", "away", (-F.col("ko")).alias("t"), (-F.col("match_id")).alias("id")), ["home"], "t", ["id"], PERIOD, "i")
+    return r.groupBy("home", "away").agg(F.round(F.sum(F.pow(F.lit(0.85), F.col("i") - 1)), 6).alias("preference"), F.count("*").alias("times"))
 
 
-@query("""WITH m AS (SELECT provider_code, provider_team_id, provider_team_name, last_seen_at, mapping_id FROM provider_mapping), w AS (SELECT *, row_number() OVER (PARTITION BY provider_code, provider_team_id ORDER BY last_seen_at DESC NULLS LAST, mapping_id DESC) AS i, min(provider_team_name) OVER p AS lo, max(provider_team_name) OVER p AS hi, count(*) OVER p AS rows FROM (SELECT DISTINCT * FROM m) WINDOW p AS (PARTITION BY provider_code, provider_team_id)) SELECT provider_code, provider_team_id, mapping_id, lo IS DISTINCT FROM hi AS conflict, rows FROM w WHERE i = 1""")
+@query("""WITH m AS (SELECT DISTINCT provider_code, provider_team_id, provider_team_name, last_seen_at, mapping_id FROM provider_mapping), w AS (SELECT *, row_number() OVER (PARTITION BY provider_code, provider_team_id ORDER BY last_seen_at DESC NULLS LAST, mapping_id DESC) AS i, min(provider_team_name) OVER p AS lo, max(provider_team_name) OVER p AS hi, count(*) OVER (PARTITION BY provider_code, provider_team_id) AS rows FROM m WINDOW p AS (PARTITION BY provider_code, provider_team_id, last_seen_at))
+SELECT provider_code, provider_team_id, mapping_id, lo IS DISTINCT FROM hi AS conflict, rows FROM w WHERE i = 1""")
 def conflicting_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest row per key with a conflict flag and an ambiguity count over the key."""
+    """Latest row per key, whether rows of its very moment contradict each other, and how many rows the key has."""
     m = table(spark, sf, "provider_mapping").select("provider_code", "provider_team_id", "provider_team_name", "last_seen_at", "mapping_id").distinct()
-    order = F.struct(F.col("last_seen_at").isNotNull(), "last_seen_at", "mapping_id")
-    out = m.groupBy("provider_code", "provider_team_id").agg(F.max_by("mapping_id", order).alias("mapping_id"), F.min("provider_team_name").alias("lo"), F.max("provider_team_name").alias("hi"), F.count("*").alias("rows"))
-    return out.select("provider_code", "provider_team_id", "mapping_id", (~F.col("lo").eqNullSafe(F.col("hi"))).alias("conflict"), "rows")
+    at = m.groupBy("provider_code", "provider_team_id", "last_seen_at").agg(F.max("mapping_id").alias("mapping_id"), F.min("provider_team_name").alias("lo"), F.max("provider_team_name").alias("hi"), F.count("*").alias("n"))
+    order = F.struct(F.col("last_seen_at").isNotNull(), "last_seen_at")
+    out = at.groupBy("provider_code", "provider_team_id").agg(F.max_by(F.struct("mapping_id", "lo", "hi"), order).alias("r"), F.sum("n").alias("rows"))
+    return out.select("provider_code", "provider_team_id", "r.mapping_id", (~F.col("r.lo").eqNullSafe(F.col("r.hi"))).alias("conflict"), "rows")
 
 
 @query(f"""{ALL} SELECT match_id, ko FROM facts ORDER BY ko DESC, match_id LIMIT 21 OFFSET 40""")
