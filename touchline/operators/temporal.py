@@ -95,7 +95,7 @@ def running_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, str]
     return joined.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__i_{n}")).alias(n) for n in sums])
 
 
-def numbered(df: DataFrame, keys: list[str], time: str, ties: list[str], width: int, name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], time: str, ties: list[str | Column], width: int, name: str) -> DataFrame:
     """``df`` with ``name``: the place of each row of a key by time, then ``ties``, from 1; time is a whole number, cut into periods of ``width`` as in ``running_sums``, so that a hot key is spread over its periods."""
     rows = df.withColumn("__p", F.floor(F.col(time) / width))
     per = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
