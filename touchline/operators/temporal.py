@@ -37,19 +37,29 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tie: str | None = None, inclusive: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tie: str | None = None, inclusive: bool = True, width: int | None = None) -> DataFrame:
     """``left`` with, per row, ``values`` of the latest row of ``right`` with the same keys at (``inclusive``) or before its time; nulls where there is none.
 
-    Both sides are merged in one sort per key and the last value is carried forward: n log n, and no pair of rows is ever formed.
-    Right rows of equal time are ordered by ``tie``. Left rows with a null time have none.
+    Both sides are merged in one sort per key and the last value is carried forward: n log n, and no pair of rows is ever formed. With ``width``, times are whole numbers and a key is cut
+    into periods of that width, each of which begins with the last value before it, so that a hot key is spread. Right rows of equal time are ordered by ``tie``. Left rows with a null
+    time have none.
     """
     lcols = left.columns
     pack = F.struct(*[F.col(v) for v in values])
     tie_col = F.col(tie).cast("string") if tie else F.lit("")
-    r = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("__t"), F.lit(0 if inclusive else 2).alias("__o"), tie_col.alias("__tie"), pack.alias("__v"), F.lit(None).cast(left.select(F.struct(*lcols).alias("s")).schema["s"].dataType).alias("__l"))
-    l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__o"), F.lit("").alias("__tie"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.struct(*lcols).alias("__l"))  # noqa: E741
-    w = Window.partitionBy(*keys).orderBy("__t", "__o", F.col("__tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = l.unionByName(r).withColumn("__found", F.last("__v", ignorenulls=True).over(w)).where(F.col("__l").isNotNull())
+    period = lambda t: F.floor(F.col(t) / width) if width else F.lit(0).cast("long")
+    r = right.where(F.col(right_time).isNotNull()).select(*keys, period(right_time).alias("__p"), F.col(right_time).alias("__t"), F.lit(0 if inclusive else 2).alias("__o"), tie_col.alias("__tie"), pack.alias("__v"), F.lit(None).cast(left.select(F.struct(*lcols).alias("s")).schema["s"].dataType).alias("__l"))
+    l = left.select(*keys, F.coalesce(period(left_time), F.lit(0)).alias("__p"), F.col(left_time).alias("__t"), F.lit(1).alias("__o"), F.lit("").alias("__tie"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.struct(*lcols).alias("__l"))  # noqa: E741
+    merged = l.unionByName(r)
+    if width:
+        # one row per key and period: the last value of the periods before
+        last = r.groupBy(*keys, "__p").agg(F.max_by("__v", F.struct("__t", "__tie")).alias("__v")).withColumn("__o", F.lit(1))
+        asked = l.select(*keys, "__p").distinct().withColumns({"__v": F.lit(None).cast(r.schema["__v"].dataType), "__o": F.lit(0)})
+        before = Window.partitionBy(*keys).orderBy("__p", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        starts = last.unionByName(asked).withColumn("__v", F.last("__v", ignorenulls=True).over(before)).where("__o = 0 and __v is not null")
+        merged = merged.unionByName(starts.select(*keys, "__p", F.lit(None).cast(r.schema["__t"].dataType).alias("__t"), F.lit(-1).alias("__o"), F.lit("").alias("__tie"), "__v", F.lit(None).cast(r.schema["__l"].dataType).alias("__l")))
+    w = Window.partitionBy(*keys, *(["__p"] if width else [])).orderBy(F.asc_nulls_first("__t"), "__o", F.col("__tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = merged.withColumn("__found", F.last("__v", ignorenulls=True).over(w)).where(F.col("__l").isNotNull())
     found = F.when(F.col("__t").isNotNull(), F.col("__found"))
     return merged.select(*[F.col("__l")[c].alias(c) for c in lcols], *[found[v].alias(v) for v in values])
 
@@ -103,3 +113,31 @@ def numbered(df: DataFrame, keys: list[str], time: str, ties: list[str | Column]
     per = per.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     inside = Window.partitionBy(*keys, "__p").orderBy(time, *ties)
     return rows.withColumn("__i", F.row_number().over(inside)).join(per, [*keys, "__p"]).select(*df.columns, (F.col("__o") + F.col("__i")).alias(name))
+
+
+#: Rows of a key that one task sorts for a frame of neighbouring rows; it changes no result.
+CHUNK = 4096
+
+
+def with_neighbours(df: DataFrame, keys: list[str], time: str, ties: list[str | Column], width: int, columns, before: int = 0, after: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``columns``: a function of a window over a key's rows in order of time and ``ties``, whose frames look at most ``before`` rows back and ``after`` rows ahead, and of each row's number.
+
+    The rows of a key are numbered (see ``numbered``) and cut into chunks; each chunk also gets the last rows of the one before it and the first of the one after it, so
+    that a key with a third of all rows is spread over its chunks. ``columns(window, number)`` returns the new columns by name.
+    """
+    rows = numbered(df, keys, time, ties, width, "__number")
+    own, at = F.floor((F.col("__number") - 1) / chunk), (F.col("__number") - 1) % chunk
+    copies = F.array_compact(F.array(own, F.when(at >= chunk - before, own + 1) if before else F.lit(None).cast("bigint"), F.when(at < after, own - 1) if after else F.lit(None).cast("bigint")))
+    rows = rows.select("*", own.alias("__own"), F.explode(copies).alias("__chunk"))
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__number")
+    # the frames are laid over the chunk with its neighbours, which are dropped afterwards
+    return rows.withColumns(columns(w, F.col("__number"))).where("__chunk = __own").drop("__own", "__chunk", "__number")
+
+
+def with_recent(df: DataFrame, keys: list[str], time: str, reach: int, width: int, columns) -> DataFrame:
+    """``df`` with ``columns``: a function of a window ordered by whole-number time whose range frames look back at most ``reach``. A key is cut into periods of ``width`` (at least ``reach``), each with the end of the one before it."""
+    own = F.floor(F.col(time) / width)
+    copies = F.array_compact(F.array(own, F.when(F.pmod(F.col(time), F.lit(width)) >= width - reach, own + 1)))
+    rows = df.select("*", own.alias("__own"), F.explode(copies).alias("__chunk"))
+    w = Window.partitionBy(*keys, "__chunk").orderBy(time)
+    return rows.withColumns(columns(w)).where("__chunk = __own").drop("__own", "__chunk")

@@ -11,6 +11,7 @@ from touchline.functions import probability as P
 from touchline.operators import models, ratings, scoring, simulation, temporal
 from touchline.plans.facts import ALL, CLEAN, clean_facts, facts, sides
 from touchline.plans.registry import query
+from touchline.plans.relational import PRIOR, running_priors
 from touchline.session import table
 
 DAY = 86_400
@@ -60,11 +61,13 @@ def score_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("forecast_id", F.inline(cells))
 
 
-@query(f"""WITH {_CELLS} SELECT forecast_id, (h + a)::BIGINT AS total, round(sum(p), 6) AS p FROM cells WHERE h + a <= 8 GROUP BY forecast_id, h + a""")
+@query(f"""WITH {_CELLS}, t AS (SELECT forecast_id, (h + a)::BIGINT AS total, sum(p) AS p FROM cells GROUP BY ALL) SELECT forecast_id, 'EXACT' AS kind, total, round(p, 6) AS p FROM t UNION ALL SELECT forecast_id, 'BEYOND_GRID', NULL, round(1 - sum(p), 6) + 0.0 FROM t GROUP BY forecast_id""")
 def total_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Distribution of total goals per forecast: summed in the row, one cell array in, one total array out."""
-    totals = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda t: F.struct(t.cast("long").alias("total"), F.round(P.mass(F.col("cells"), lambda h, a: h + a == t), 6).alias("p")))
-    return gridded(spark, sf).select("forecast_id", F.inline(totals))
+    """Distribution of total goals per forecast over the whole grid, and what lies beyond it: summed in the row, one cell array in, one total array out."""
+    row = lambda kind, total, p: F.struct(F.lit(kind).alias("kind"), total.cast("long").alias("total"), F.round(p, 6).alias("p"))
+    totals = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda t: row("EXACT", t, P.mass(F.col("cells"), lambda h, a: h + a == t)))
+    tail = row("BEYOND_GRID", F.lit(None), 1 - P.mass(F.col("cells"), lambda h, a: F.lit(True)))
+    return gridded(spark, sf).select("forecast_id", F.inline(F.concat(totals, F.array(F.struct(tail["kind"].alias("kind"), tail["total"].alias("total"), (tail["p"] + 0.0).alias("p"))))))
 
 
 @query(f"""WITH {_F}, {_K}, nb AS (SELECT forecast_id, k, exp(lgamma(k + 5.0) - lgamma(5.0) - ln(factorial(k::INT)::DOUBLE)) * pow(5.0 / (5.0 + lh), 5.0) * pow(lh / (5.0 + lh), k) AS p FROM f, g) SELECT forecast_id, k::BIGINT AS k, round(p, 6) AS p FROM nb""")
@@ -100,9 +103,9 @@ r AS (SELECT h.match_id, exp({P.HOME_INTERCEPT} + {P.ATTACK} * ln(greatest(h.gf,
 
 def champion_rates(spark: SparkSession, sf: str) -> DataFrame:
     """match_id, lh, la, outcome columns: expected goals of every match whose sides both have ten matches before it."""
-    w = temporal.last_n(["team"], ["ko"], 10)
-    n = F.row_number().over(Window.partitionBy("team").orderBy("ko")) - 1
-    s = sides(clean_facts(spark, sf)).select("match_id", "at_home", "gf", "ga", n.alias("prior"), F.avg("gf").over(w).alias("mf"), F.avg("ga").over(w).alias("ma")).where("prior >= 10")
+    s = sides(clean_facts(spark, sf)).select("match_id", "team", "ko", "at_home", "gf", "ga")
+    last = lambda w, number: {"prior": number - 1, "mf": F.avg("gf").over(w.rowsBetween(-10, -1)), "ma": F.avg("ga").over(w.rowsBetween(-10, -1))}
+    s = temporal.with_neighbours(s, ["team"], "ko", [], 90 * DAY, last, 10).where("prior >= 10")
     # the two sides of a match meet in one aggregate, not in a self-join
     pick = lambda c, home: F.max(F.when(F.col("at_home") == F.lit(home), F.col(c)))
     m = s.groupBy("match_id").agg(F.count("*").alias("n"), pick("mf", True).alias("hf"), pick("ma", True).alias("hc"), pick("mf", False).alias("af"), pick("ma", False).alias("ac"), pick("gf", True).alias("hg"), pick("gf", False).alias("ag")).where("n = 2")
@@ -110,13 +113,45 @@ def champion_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{_ROLL}, {_K}, c AS (SELECT match_id, lh, la, h.k AS h, a.k AS a, {_POIS.format(k='h.k', l='lh')} * {_POIS.format(k='a.k', l='la')} AS p FROM r, g h, g a)
-SELECT match_id, round(min(lh), 6) AS lh, round(min(la), 6) AS la, round(sum(p) FILTER (WHERE h > a), 6) AS home, round(sum(p) FILTER (WHERE h = a), 6) AS draw, round(sum(p) FILTER (WHERE h < a), 6) AS away, round(sum(p) FILTER (WHERE h + a > 2), 6) AS over_25 FROM c GROUP BY match_id""")
+SELECT match_id, round(min(lh), 6) AS lh, round(min(la), 6) AS la, round(sum(p) FILTER (WHERE h > a), 6) AS home, round(sum(p) FILTER (WHERE h = a), 6) AS draw, round(sum(p) FILTER (WHERE h < a), 6) AS away, round(sum(p) FILTER (WHERE h + a > 2), 6) AS over_25, round(1 - sum(p), 6) + 0.0 AS tail FROM c GROUP BY match_id""")
 def champion_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: strict last-ten form to expected goals to the score grid to markets, for every match."""
     cells = P.score_cells(F.col("lh"), F.col("la"), F.lit(0.0))
     m = lambda f: F.round(P.mass(F.col("cells"), f), 6)
     r = champion_rates(spark, sf).withColumn("cells", cells)
-    return r.select("match_id", F.round("lh", 6).alias("lh"), F.round("la", 6).alias("la"), m(lambda h, a: h > a).alias("home"), m(lambda h, a: h == a).alias("draw"), m(lambda h, a: h < a).alias("away"), m(lambda h, a: h + a > 2).alias("over_25"))
+    return r.select("match_id", F.round("lh", 6).alias("lh"), F.round("la", 6).alias("la"), m(lambda h, a: h > a).alias("home"), m(lambda h, a: h == a).alias("draw"), m(lambda h, a: h < a).alias("away"), m(lambda h, a: h + a > 2).alias("over_25"), (F.round(1 - P.mass(F.col("cells"), lambda h, a: F.lit(True)), 6) + 0.0).alias("tail"))
+
+
+_BASE = f"""{_ROLL}, {_K}, c AS (SELECT match_id, h.k AS h, a.k AS a, {_POIS.format(k='h.k', l='lh')} * {_POIS.format(k='a.k', l='la')} AS p FROM r, g h, g a), m AS (SELECT match_id, sum(p) FILTER (WHERE h > a) AS ph, sum(p) FILTER (WHERE h = a) AS pd, sum(p) FILTER (WHERE h < a) AS pa FROM c GROUP BY match_id),
+{PRIOR.replace('facts', 'raw_facts')}, o AS (SELECT f.competition_id, f.match_id, f.ko, ph, pd, pa, (hs + 1.0) / (seen + 3) AS bh, (ds + 1.0) / (seen + 3) AS bd, (as_ + 1.0) / (seen + 3) AS ba, (hg > ag)::INT AS h, (hg = ag)::INT AS d, (hg < ag)::INT AS a FROM m JOIN facts f USING (match_id) JOIN prior USING (match_id)),
+l AS (SELECT *, row_number() OVER (PARTITION BY competition_id ORDER BY ko DESC, match_id DESC) AS i, pow(ph - h, 2) + pow(pd - d, 2) + pow(pa - a, 2) AS brier, -ln(ph * h + pd * d + pa * a) AS loss, pow(bh - h, 2) + pow(bd - d, 2) + pow(ba - a, 2) AS base_brier, -ln(bh * h + bd * d + ba * a) AS base_loss FROM o),
+q AS (SELECT competition_id, count(*) AS forecasts, {', '.join(f'avg({c}) AS {c}, avg({c}) FILTER (WHERE i <= 50) AS recent_{c}' for c in ('brier', 'loss', 'base_brier', 'base_loss'))} FROM l GROUP BY competition_id)"""
+_RATED = ("brier", "loss", "base_brier", "base_loss")
+
+
+@query(f"""{_BASE} SELECT competition_id, forecasts, {', '.join(f'round({c}, 6) AS {c}, round(recent_{c}, 6) AS recent_{c}' for c in _RATED)}, CASE WHEN forecasts < 50 THEN 'UNRATED' WHEN NOT (brier < base_brier AND loss < base_loss) THEN 'WATCH' WHEN forecasts >= 100 AND recent_brier < recent_base_brier AND recent_loss < recent_base_loss THEN 'STRONG' ELSE 'GOOD' END AS rating FROM q""")
+def league_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Per competition the forecasts' losses against those of the running prior, over all matches and the latest fifty, and the rating that follows: better over all of at least fifty is good, and of at least a hundred also lately strong."""
+    m = lambda f: P.mass(F.col("cells"), f)
+    r = champion_rates(spark, sf).withColumn("cells", P.score_cells(F.col("lh"), F.col("la"), F.lit(0.0)))
+    r = r.select("match_id", m(lambda h, a: h > a).alias("ph"), m(lambda h, a: h == a).alias("pd"), m(lambda h, a: h < a).alias("pa"))
+    f = clean_facts(spark, sf).select("match_id", "competition_id", "ko", "hg", "ag")
+    o = f.join(r, "match_id").join(running_priors(spark, sf), "match_id")
+    seen = F.col("hs") + F.col("ds") + F.col("as_") + 3
+    hits = [F.when(c, 1.0).otherwise(0.0) for c in (F.col("hg") > F.col("ag"), F.col("hg") == F.col("ag"), F.col("hg") < F.col("ag"))]
+    own, base = [F.col(c) for c in ("ph", "pd", "pa")], [(F.col(c) + 1.0) / seen for c in ("hs", "ds", "as_")]
+    given = lambda ps: sum((p * h for p, h in zip(ps, hits, strict=True)), F.lit(0.0))
+    o = o.select("competition_id", (-F.col("ko")).alias("t"), (-F.col("match_id")).alias("id"), scoring.brier(own, hits).alias("brier"), (-F.ln(given(own))).alias("loss"), scoring.brier(base, hits).alias("base_brier"), (-F.ln(given(base))).alias("base_loss"))
+    o = temporal.numbered(o, ["competition_id"], "t", ["id"], 90 * DAY, "i")
+    q = o.groupBy("competition_id").agg(F.count("*").alias("forecasts"), *[F.avg(c).alias(c) for c in _RATED], *[F.avg(F.when(F.col("i") <= 50, F.col(c))).alias(f"recent_{c}") for c in _RATED])
+    return q.select("competition_id", "forecasts", *[F.round(c, 6).alias(c) for x in _RATED for c in (x, f"recent_{x}")], league_rating(F.col("forecasts"), *[F.col(c) for x in _RATED for c in (x, f"recent_{x}")]).alias("rating"))
+
+
+def league_rating(n, brier, recent_brier, loss, recent_loss, base_brier, recent_base_brier, base_loss, recent_base_loss):
+    """UNRATED below fifty forecasts; WATCH where they are not better than the prior on both losses, or a loss is missing; GOOD where they are; STRONG where a hundred or more are, the latest fifty included."""
+    better = lambda a, b, c, d: F.coalesce((a < b) & (c < d), F.lit(False))
+    full, recent = better(brier, base_brier, loss, base_loss), better(recent_brier, recent_base_brier, recent_loss, recent_base_loss)
+    return F.when(n < 50, "UNRATED").when(~full, "WATCH").when((n >= 100) & recent, "STRONG").otherwise("GOOD")
 
 
 @query(f"""WITH {_F} SELECT forecast_id, round(exp(ln(lh)) / (exp(ln(lh)) + 0.9 * exp((ln(lh) + ln(la)) / 2) + exp(ln(la))), 6) AS home, round(0.9 * exp((ln(lh) + ln(la)) / 2) / (exp(ln(lh)) + 0.9 * exp((ln(lh) + ln(la)) / 2) + exp(ln(la))), 6) AS draw, round(1 / (1 + pow(10, greatest(least((la - lh), 700), -700))), 6) AS elo, round(1500 + 100 * lh * pow(0.5, 30.0 / 365), 6) AS decayed FROM f""")

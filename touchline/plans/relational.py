@@ -72,16 +72,15 @@ def last_known_result(spark: SparkSession, sf: str) -> DataFrame:
     m = clean_facts(spark, sf)
     left = m.select("match_id", F.col("home").alias("team"), "ko")
     right = sides(m).select("team", "known", F.col("match_id").alias("last_known"), "gf")
-    return temporal.asof_join(left, right, ["team"], "ko", "known", ["last_known", "gf"], tie="last_known").select("match_id", "last_known", "gf")
+    return temporal.asof_join(left, right, ["team"], "ko", "known", ["last_known", "gf"], tie="last_known", width=PERIOD).select("match_id", "last_known", "gf")
 
 
 @query(f"""{CLEAN} SELECT match_id, team, lead(match_id) OVER w AS next_match, (lead(ko) OVER w - ko) // {DAY} AS days_to_next, (ko - lag(ko) OVER w) // {DAY} AS days_since_last FROM sides WINDOW w AS (PARTITION BY team ORDER BY ko)""")
 def next_fixture(spark: SparkSession, sf: str) -> DataFrame:
     """Next-after and rest days per team."""
-    w = Window.partitionBy("team").orderBy("ko")
-    s = sides(clean_facts(spark, sf))
     days = lambda x: F.floor(x / DAY)
-    return s.select("match_id", "team", F.lead("match_id").over(w).alias("next_match"), days(F.lead("ko").over(w) - F.col("ko")).alias("days_to_next"), days(F.col("ko") - F.lag("ko").over(w)).alias("days_since_last"))
+    near = lambda w, _: {"next_match": F.lead("match_id").over(w), "days_to_next": days(F.lead("ko").over(w) - F.col("ko")), "days_since_last": days(F.col("ko") - F.lag("ko").over(w))}
+    return temporal.with_neighbours(sides(clean_facts(spark, sf)).select("match_id", "team", "ko"), ["team"], "ko", [], PERIOD, near, 1, 1).drop("ko")
 
 
 @query(f"""{ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY team, at_home ORDER BY ko DESC, match_id DESC) AS i FROM sides), t AS (SELECT team, match_id, at_home, ko, row_number() OVER (PARTITION BY team ORDER BY ko DESC, match_id DESC) AS place FROM r WHERE i <= 5)
@@ -233,28 +232,25 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 SELECT match_id, team, round(avg(gf) OVER w, 6) AS gf10, round(avg(ga) OVER w, 6) AS ga10, round(avg(xf) OVER w, 6) AS xf10, round(avg(points) OVER w, 6) AS ppg10, round(avg(CASE WHEN ga = 0 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS clean10, prior >= 10 AS enough FROM n WINDOW w AS (PARTITION BY team ORDER BY ko ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def rolling_form(spark: SparkSession, sf: str) -> DataFrame:
     """Means of a team's last ten matches before each kick-off, nulls left out, with whether there were ten."""
-    w = temporal.last_n(["team"], ["ko"], 10)
-    n = F.row_number().over(Window.partitionBy("team").orderBy("ko")) - 1
-    mean = lambda x: F.round(F.avg(x).over(w), 6)
-    return sides(clean_facts(spark, sf)).select("match_id", "team", mean("gf").alias("gf10"), mean("ga").alias("ga10"), mean("xf").alias("xf10"), mean("points").alias("ppg10"), mean(F.when(F.col("ga") == 0, 1.0).otherwise(0.0)).alias("clean10"), (n >= 10).alias("enough"))
+    s = sides(clean_facts(spark, sf)).select("match_id", "team", "ko", "gf", "ga", "xf", "points", F.when(F.col("ga") == 0, 1.0).otherwise(0.0).alias("clean"))
+    means = {"gf": "gf10", "ga": "ga10", "xf": "xf10", "points": "ppg10", "clean": "clean10"}
+    last = lambda w, number: {out: F.round(F.avg(c).over(w.rowsBetween(-10, -1)), 6) for c, out in means.items()} | {"enough": number > 10}
+    return temporal.with_neighbours(s, ["team"], "ko", [], PERIOD, last, 10).drop("ko", *means)
 
 
 @query(f"""{CLEAN}, r AS (SELECT team, match_id, ko, at_home, points, row_number() OVER (PARTITION BY team ORDER BY ko DESC, match_id) AS i, row_number() OVER (PARTITION BY team, at_home ORDER BY ko DESC, match_id) AS j FROM sides),
 f AS (SELECT team, 'LAST_5' AS form, i AS place, ko, points FROM r WHERE i <= 5 UNION ALL SELECT team, 'LAST_10', i, ko, points FROM r WHERE i <= 10 UNION ALL SELECT team, 'HOME_5', j, ko, points FROM r WHERE at_home AND j <= 5 UNION ALL SELECT team, 'AWAY_5', j, ko, points FROM r WHERE NOT at_home AND j <= 5)
 SELECT team, form, string_agg(CASE points WHEN 3 THEN 'W' WHEN 1 THEN 'D' ELSE 'L' END, '' ORDER BY place) AS results, sum(points)::BIGINT AS points, count(*) AS played, max(ko) AS latest FROM f GROUP BY ALL""")
 def form_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Named form windows with their result strings, from one sort per team."""
-    s = sides(clean_facts(spark, sf))
-    i = F.row_number().over(Window.partitionBy("team").orderBy(F.desc("ko"), "match_id"))
-    j = F.row_number().over(Window.partitionBy("team", "at_home").orderBy(F.desc("ko"), "match_id"))
-    s = s.select("team", "ko", "at_home", "points", i.alias("i"), j.alias("j")).where("i <= 10 or j <= 5")
-    entry = lambda cond, name, place: F.when(cond, F.struct(F.lit(name).alias("form"), F.col(place).alias("place")))
-    home = F.col("at_home")
-    forms = F.array_compact(F.array(entry(F.col("i") <= 5, "LAST_5", "i"), entry(F.col("i") <= 10, "LAST_10", "i"), entry(home & (F.col("j") <= 5), "HOME_5", "j"), entry(~home & (F.col("j") <= 5), "AWAY_5", "j")))
-    long = s.select("team", "ko", "points", F.inline(forms))
+    """Four windows of a team's latest matches with their result strings; each sorted partition is cut to ten rows per key before the shuffle."""
+    s = sides(clean_facts(spark, sf)).select("team", "ko", "match_id", "points", F.explode(F.array(F.lit("ALL"), F.when(F.col("at_home"), "HOME").otherwise("AWAY"))).alias("venue"))
+    top = temporal.top_n_per_key(s, ["team", "venue"], [F.desc("ko"), F.col("match_id")], 10)
     letter = F.when(F.col("points") == 3, "W").when(F.col("points") == 1, "D").otherwise("L")
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", letter.alias("r")))), lambda x: x["r"]), "")
-    return long.groupBy("team", "form").agg(ordered.alias("results"), F.sum("points").alias("points"), F.count("*").alias("played"), F.max("ko").alias("latest"))
+    rows = top.groupBy("team", "venue").agg(F.array_sort(F.collect_list(F.struct((-F.col("ko")).alias("t"), "match_id", letter.alias("r"), "points", "ko"))).alias("rows"))
+    forms = F.when(F.col("venue") == "ALL", F.array(F.struct(F.lit("LAST_5").alias("form"), F.lit(5).alias("n")), F.struct(F.lit("LAST_10").alias("form"), F.lit(10).alias("n")))).otherwise(F.array(F.struct(F.concat("venue", F.lit("_5")).alias("form"), F.lit(5).alias("n"))))
+    long = rows.select("team", "rows", F.inline(forms)).withColumn("taken", F.slice("rows", F.lit(1), F.col("n")))
+    total = F.aggregate("taken", F.lit(0).cast("bigint"), lambda a, x: a + x["points"])
+    return long.select("team", "form", F.array_join(F.transform("taken", lambda x: x["r"]), "").alias("results"), total.alias("points"), F.size("taken").cast("long").alias("played"), F.get("taken", F.lit(0))["ko"].alias("latest"))
 
 
 _SPANS = (3, 7, 14, 30)
@@ -262,9 +258,9 @@ _SPANS = (3, 7, 14, 30)
 
 @query(f"""{CLEAN} SELECT match_id, team, {', '.join(f'count(*) OVER (PARTITION BY team ORDER BY ko RANGE BETWEEN {d * DAY} PRECEDING AND 1 PRECEDING) AS last_{d}' for d in _SPANS)} FROM sides""")
 def congestion(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches in the 3, 7, 14 and 30 days before each kick-off: time-range frames over one sort."""
-    w = Window.partitionBy("team").orderBy("ko")
-    return sides(clean_facts(spark, sf)).select("match_id", "team", *[F.count("*").over(w.rangeBetween(-d * DAY, -1)).alias(f"last_{d}") for d in _SPANS])
+    """Matches in the 3, 7, 14 and 30 days before each kick-off: time-range frames over periods that begin with the end of the one before."""
+    counts = lambda w: {f"last_{d}": F.count("*").over(w.rangeBetween(-d * DAY, -1)) for d in _SPANS}
+    return temporal.with_recent(sides(clean_facts(spark, sf)).select("match_id", "team", "ko"), ["team"], "ko", max(_SPANS) * DAY, PERIOD, counts).drop("ko")
 
 
 @query(f"""{ALL}, g AS (SELECT avg(CASE WHEN hg > ag THEN 1.0 ELSE 0.0 END) AS p FROM facts) SELECT competition_id, count(*) AS n, round(avg(hg), 6) AS mean_home, round(avg(ag), 6) AS mean_away, round(count(*) / (count(*) + 50.0) * avg(CASE WHEN hg > ag THEN 1.0 ELSE 0.0 END) + 50.0 / (count(*) + 50.0) * (SELECT p FROM g), 6) AS shrunk_home FROM facts GROUP BY competition_id""")
@@ -289,25 +285,29 @@ def chronological_batches(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(ranked, "ko").select("match_id", "batch")
 
 
-@query(f"""{ALL}, e AS (SELECT competition_id, known AS t, 0 AS o, CASE WHEN hg > ag THEN 1 ELSE 0 END AS h, 1 AS n, NULL::BIGINT AS match_id FROM facts UNION ALL SELECT competition_id, ko, 1, 0, 0, match_id FROM facts),
-w AS (SELECT *, sum(h) OVER p AS hs, sum(n) OVER p AS ns FROM e WINDOW p AS (PARTITION BY competition_id ORDER BY t, o RANGE UNBOUNDED PRECEDING)) SELECT match_id, round((hs + 1.0) / (ns + 3.0), 6) AS prior_home, ns::BIGINT AS seen FROM (SELECT match_id, t, o, hs, ns FROM (SELECT e.*, (SELECT 1) AS one, sum(h) OVER (PARTITION BY competition_id ORDER BY t * 2 + o RANGE UNBOUNDED PRECEDING) AS hs, sum(n) OVER (PARTITION BY competition_id ORDER BY t * 2 + o RANGE UNBOUNDED PRECEDING) AS ns FROM e)) WHERE match_id IS NOT NULL""")
-def running_prior(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoothed outcome rate among results known by a kick-off: results and kick-offs merged in one running sum, no range join."""
+PRIOR = """e AS (SELECT competition_id, known * 2 AS t, (hg > ag)::INT AS h, (hg = ag)::INT AS d, (hg < ag)::INT AS a, NULL::BIGINT AS id FROM facts UNION ALL SELECT competition_id, ko * 2 + 1, 0, 0, 0, match_id FROM facts),
+prior AS (SELECT id AS match_id, hs, ds, as_, hs + ds + as_ AS seen FROM (SELECT id, sum(h) OVER p AS hs, sum(d) OVER p AS ds, sum(a) OVER p AS as_ FROM e WINDOW p AS (PARTITION BY competition_id ORDER BY t RANGE UNBOUNDED PRECEDING)) WHERE id IS NOT NULL)"""
+
+
+def running_priors(spark: SparkSession, sf: str) -> DataFrame:
+    """match_id, hs, ds, as_: home wins, draws and away wins of a match's competition that were known by its kick-off; results and kick-offs merged in one running sum, no range join."""
     m = facts(spark, sf)
-    results = F.struct((F.col("known") * 2).alias("t"), F.when(F.col("hg") > F.col("ag"), 1).otherwise(0).alias("h"), F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("id"))
-    asks = F.struct((F.col("ko") * 2 + 1).alias("t"), F.lit(0).alias("h"), F.lit(0).alias("n"), F.col("match_id").alias("id"))
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    results = F.struct((F.col("known") * 2).alias("t"), one(F.col("hg") > F.col("ag")).alias("h"), one(F.col("hg") == F.col("ag")).alias("d"), one(F.col("hg") < F.col("ag")).alias("a"), F.lit(None).cast("bigint").alias("id"))
+    asks = F.struct((F.col("ko") * 2 + 1).alias("t"), F.lit(0).alias("h"), F.lit(0).alias("d"), F.lit(0).alias("a"), F.col("match_id").alias("id"))
     e = m.select("competition_id", F.inline(F.array(results, asks)))
-    e = temporal.running_sums(e, ["competition_id"], "t", {"hs": "h", "ns": "n"}, 2 * PERIOD).where("id is not null")
-    return e.select(F.col("id").alias("match_id"), F.round((F.col("hs") + 1.0) / (F.col("ns") + 3.0), 6).alias("prior_home"), F.col("ns").alias("seen"))
+    # combined by moment first: a running sum then has a row per competition and moment, however many matches share it
+    known = e.where("id is null").groupBy("competition_id", "t").agg(F.sum("h").alias("h"), F.sum("d").alias("d"), F.sum("a").alias("a")).withColumn("id", F.lit(None).cast("bigint"))
+    e = temporal.running_sums(known.unionByName(e.where("id is not null").select(*known.columns)), ["competition_id"], "t", {"hs": "h", "ds": "d", "as_": "a"}, 2 * PERIOD).where("id is not null")
+    return e.select(F.col("id").alias("match_id"), "hs", "ds", "as_")
 
 
-@query(f"""{ALL}, r AS (SELECT home, hg, row_number() OVER (PARTITION BY home ORDER BY ko DESC, match_id DESC) AS i FROM facts) SELECT home, count(*) AS n, round(avg(hg), 6) AS all_mean, round(avg(hg) FILTER (WHERE i <= 50), 6) AS last50, CASE WHEN count(*) < 50 THEN 'UNRATED' WHEN avg(hg) FILTER (WHERE i <= 50) >= 1.5 THEN 'STRONG' WHEN avg(hg) FILTER (WHERE i <= 50) >= 1.3 THEN 'GOOD' ELSE 'WATCH' END AS rating FROM r GROUP BY home""")
-def latest_fifty(spark: SparkSession, sf: str) -> DataFrame:
-    """All matches against the latest fifty, with a rating."""
-    r = facts(spark, sf).select("home", "hg", F.row_number().over(Window.partitionBy("home").orderBy(F.desc("ko"), F.desc("match_id"))).alias("i"))
-    out = r.groupBy("home").agg(F.count("*").alias("n"), F.avg("hg").alias("m"), F.avg(F.when(F.col("i") <= 50, F.col("hg"))).alias("l"))
-    rating = F.when(F.col("n") < 50, "UNRATED").when(F.col("l") >= 1.5, "STRONG").when(F.col("l") >= 1.3, "GOOD").otherwise("WATCH")
-    return out.select("home", "n", F.round("m", 6).alias("all_mean"), F.round("l", 6).alias("last50"), rating.alias("rating"))
+@query(f"""{ALL}, {PRIOR} SELECT match_id, round((hs + 1.0) / (seen + 3.0), 6) AS prior_home, round((ds + 1.0) / (seen + 3.0), 6) AS prior_draw, round((as_ + 1.0) / (seen + 3.0), 6) AS prior_away, seen::BIGINT AS seen FROM prior""")
+def running_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed rates of the three results among those known by a kick-off."""
+    seen = F.col("hs") + F.col("ds") + F.col("as_")
+    p = lambda c: F.round((F.col(c) + 1.0) / (seen + 3.0), 6)
+    return running_priors(spark, sf).select("match_id", p("hs").alias("prior_home"), p("ds").alias("prior_draw"), p("as_").alias("prior_away"), seen.alias("seen"))
 
 
 @query(f"""{ALL}, r AS (SELECT home, away, row_number() OVER (PARTITION BY home ORDER BY ko DESC, match_id DESC) - 1 AS i FROM facts) SELECT home, away, round(sum(pow(0.85, i)), 6) AS preference, count(*) AS times FROM r GROUP BY ALL""")
