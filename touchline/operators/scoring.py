@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLAMP = 1e-15
@@ -53,40 +55,86 @@ def crps(pmf: Column, observed: Column) -> Column:
     return F.aggregate(pmf, start, step, lambda acc: acc["s"])
 
 
-def auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
-    """group columns, auc: probability that a hit outranks a miss, ties counting half, from counts per distinct score (combined before the shuffle) instead of pairs."""
-    from pyspark.sql import Window
-
+def auc(df: DataFrame, group: list[str], score: str, label: str, ranges: int = 1024) -> DataFrame:
+    """group columns, auc: probability that a hit outranks a miss, ties counting half, from counts per distinct score (combined before the shuffle) instead of pairs. Scores are cut into ranges of 1 / ``ranges``, so that no group is sorted in one task; null groups and scores have none."""
     per = df.groupBy(*group, score).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    w = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    # the misses below a score: those of the lower ranges, from one row per range, and those within the range
+    per = per.withColumn("__p", F.floor(F.col(score) * ranges))
+    low = per.groupBy(*group, "__p").agg(F.sum("neg").alias("n"))
+    low = low.select(*group, "__p", F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    w = Window.partitionBy(*group, "__p").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))).join(low, [*group, "__p"]).withColumn("below", F.col("below") + F.col("__o"))
     out = per.groupBy(*group).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(*group, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-#: Drawn positions held in memory at once by the bootstrap; it changes no result.
+#: Drawn blocks held in memory at once by the bootstrap; it changes no result.
 DRAWN_AT_ONCE = 2**22
 
 
-def block_bootstrap(losses: np.ndarray, replicates: int, block: int, seed: int) -> np.ndarray:
-    """Means of moving-block resamples of a series of paired differences, cut to its length; the replicates are made in chunks, so that memory does not grow with their number."""
-    rng = np.random.default_rng(seed)
+def _drawn_starts(rng: np.random.Generator | random.Random, top: int, replicates: int, blocks: int) -> np.ndarray:
+    """Starts from 0 to ``top`` for each replicate's blocks: from numpy's generator, or one by one from Python's, whose published sequences can so be repeated."""
+    if isinstance(rng, random.Random):
+        return np.array([rng.randrange(top + 1) for _ in range(replicates * blocks)], dtype=np.int64).reshape(replicates, blocks)
+    return rng.integers(0, top + 1, size=(replicates, blocks))
+
+
+def block_bootstrap(losses: np.ndarray, replicates: int, block: int, seed: int, python_random: bool = False) -> np.ndarray:
+    """Means of moving-block resamples of a series of paired differences, cut to its length.
+
+    A block's sum is a difference of two running sums, so a replicate costs a number per block, not per value; replicates are made in chunks, so memory does not grow with them.
+    """
+    rng = random.Random(seed) if python_random else np.random.default_rng(seed)
     n = len(losses)
     block = min(block, n)
     blocks = -(-n // block)
-    step = max(1, DRAWN_AT_ONCE // (blocks * block))
+    # the mean is taken out first, so that long running sums keep their digits
+    mean = losses.mean()
+    running = np.r_[0.0, np.cumsum(losses - mean)]
+    cut = n - (blocks - 1) * block  # what the last block is cut to
+    step = max(1, DRAWN_AT_ONCE // blocks)
     means = []
     for done in range(0, replicates, step):
-        starts = rng.integers(0, n - block + 1, size=(min(step, replicates - done), blocks))
-        index = (starts[:, :, None] + np.arange(block)).reshape(len(starts), -1)[:, :n]
-        means.append(losses[index].mean(1))
+        starts = _drawn_starts(rng, n - block, min(step, replicates - done), blocks)
+        lengths = np.full(blocks, block)
+        lengths[-1] = cut
+        means.append((running[starts + lengths] - running[starts]).sum(1) / n + mean)
     return np.concatenate(means)
 
 
+def batched_bootstrap(values: np.ndarray, batches: np.ndarray, replicates: int, block: int, seed: int, python_random: bool = False) -> np.ndarray:
+    """Means of resamples by blocks of ``block`` consecutive batches (rows of one kick-off, numbered in order), each cut to the length of the series; with fewer batches than a block has, the plain mean twice."""
+    starts = np.flatnonzero(np.r_[True, batches[1:] != batches[:-1]])
+    if len(starts) < block:
+        return np.array([values.mean(), values.mean()])
+    ends = np.r_[starts[1:], len(values)]
+    firsts, lasts = starts[: len(starts) - block + 1], ends[block - 1 :]
+    n, mean = len(values), values.mean()
+    running = np.r_[0.0, np.cumsum(values - mean)]
+    rng = random.Random(seed) if python_random else np.random.default_rng(seed)
+    means = np.empty(replicates)
+    for r in range(replicates):
+        taken, total = 0, 0.0
+        while taken < n:
+            at = rng.randrange(len(firsts)) if python_random else int(rng.integers(0, len(firsts)))
+            size = min(lasts[at] - firsts[at], n - taken)
+            total += running[firsts[at] + size] - running[firsts[at]]
+            taken += size
+        means[r] = total / n + mean
+    return means
+
+
+def independent_bootstrap(differences: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Means of resamples of paired differences, drawn independently with replacement; made in chunks."""
+    rng = np.random.default_rng(seed)
+    n, step = len(differences), max(1, DRAWN_AT_ONCE // max(1, len(differences)))
+    return np.concatenate([differences[rng.integers(0, n, size=(min(step, samples - done), n))].mean(1) for done in range(0, samples, step)])
+
+
 def bootstrap_intervals(df: DataFrame, group: str, order: str | list[str], value: str, replicates: int = 2000, block: int = 10, seed: int = 20260831) -> DataFrame:
     """group, mean, low, high, n: 95% moving-block bootstrap interval of the mean of ``value`` in time order, per group. End ``order`` with an id, so that it is total.
 
-    A group is one series and is resampled whole (its size is that of an evaluation, not of the raw data); reduce series first.
+    A group is one series, which is resampled whole from its running sums (its size is that of an evaluation, not of the raw data); reduce series first.
     """
     orders = [order] if isinstance(order, str) else list(order)
 
@@ -100,6 +148,85 @@ def bootstrap_intervals(df: DataFrame, group: str, order: str | list[str], value
     return df.select(group, *orders, value).groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, low double, high double, n long")
 
 
+def paired_intervals(df: DataFrame, domain: str, batch: str, order: str, candidate: str, reference: str, replicates: int = 2000, block: int = 10, seed: int = 20260831) -> DataFrame:
+    """scope, mean, low, high, n, conclusion: how much less a candidate loses than the reference, on the same matches.
+
+    Per domain by blocks of kick-off batches (scope: the domain's name), over all domains as their plain mean (``macro``) and their mean by size (``weighted``), with the same replicates, and
+    over all matches as if they were independent (``independent``). CANDIDATE_BETTER where the whole interval lies below 0, CANDIDATE_WORSE where above, else INCONCLUSIVE.
+    Rows in which either loss is null are left out. A domain is one series, of the size of an evaluation.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([batch, order])
+        d = (pdf["c"] - pdf["r"]).to_numpy(float)
+        number = int(pdf["number"].iloc[0])
+        means = batched_bootstrap(d, pd.factorize(pdf[batch])[0], replicates, block, seed + number, True)
+        means = np.resize(means, replicates) if len(means) != replicates else means
+        return pd.DataFrame({"scope": [str(pdf[domain].iloc[0])], "n": [len(d)], "mean": [d.mean()], "means": [means.tolist()], "sums": [independent_sums(d).tolist()]})
+
+    def independent_sums(d: np.ndarray) -> np.ndarray:
+        # Poisson(1) weights: a resample of independent rows that parts can make on their own
+        rng = np.random.default_rng([seed, len(d)])
+        out = np.zeros((replicates, 2))
+        for start in range(0, len(d), 4096):
+            w = rng.poisson(1.0, size=(replicates, len(d[start : start + 4096])))
+            out[:, 0] += w @ d[start : start + 4096]
+            out[:, 1] += w.sum(1)
+        return out.ravel()
+
+    rows = df.where(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(domain, batch, order, F.col(candidate).alias("c"), F.col(reference).alias("r"))
+    names = rows.select(domain).distinct()
+    numbered = names.withColumn("number", F.row_number().over(Window.orderBy(domain)) - 1)  # one row per domain
+    per = rows.join(F.broadcast(numbered), domain).groupBy(domain).applyInPandas(run, "scope string, n long, mean double, means array<double>, sums array<double>")
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("scope")
+        means, n = np.stack(pdf["means"].to_numpy()), pdf["n"].to_numpy(float)
+        sums = np.stack(pdf["sums"].to_numpy()).sum(0).reshape(replicates, 2)
+        series = {**dict(zip(pdf["scope"], means, strict=True)), "macro": means.mean(0), "weighted": (means * n[:, None]).sum(0) / n.sum(), "independent": sums[:, 0] / np.maximum(sums[:, 1], 1)}
+        whole = float((pdf["mean"] * n).sum() / n.sum())
+        points = {**dict(zip(pdf["scope"], pdf["mean"], strict=True)), "macro": float(pdf["mean"].mean()), "weighted": whole, "independent": whole}
+        sizes = {**dict(zip(pdf["scope"], n, strict=True)), "macro": n.sum(), "weighted": n.sum(), "independent": n.sum()}
+        out = []
+        for scope, values in series.items():
+            low, high = np.quantile(values, [0.025, 0.975])
+            out.append((scope, float(points[scope]), float(low), float(high), int(sizes[scope]), "CANDIDATE_BETTER" if high < 0 else "CANDIDATE_WORSE" if low > 0 else "INCONCLUSIVE"))
+        return pd.DataFrame(out, columns=["scope", "mean", "low", "high", "n", "conclusion"])
+
+    # a row per domain: bounded by their number
+    return per.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: combine(pdf), "scope string, mean double, low double, high double, n long, conclusion string")
+
+
+def calibration_gate(metrics: DataFrame, key: list[str], tolerance: dict[str, float], least_improved: int = 1, epsilon: float = 1e-12) -> DataFrame:
+    """key columns, accepted, reasons: whether a calibration is taken over: no metric may get worse beyond its tolerance, and at least ``least_improved`` must get better.
+
+    ``metrics`` has the key columns, metric, raw, calibrated (smaller is better); those without a tolerance are not looked at; a null is a regression.
+    """
+    bounds = F.create_map(*[x for k, v in tolerance.items() for x in (F.lit(k), F.lit(float(v)))])
+    m = metrics.withColumn("t", F.try_element_at(bounds, F.col("metric"))).where("t is not null")
+    worse = ~F.coalesce(F.col("calibrated") <= F.col("raw") + F.col("t"), F.lit(False))
+    better = F.coalesce(F.col("calibrated") < F.col("raw") - epsilon, F.lit(False))
+    out = m.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(worse, F.concat("metric", F.lit(" regression exceeds tolerance"))))).alias("reasons"), F.count_if(better).alias("improved"))
+    reasons = F.concat("reasons", F.when(F.col("improved") < least_improved, F.array(F.lit("insufficient metric improvement"))).otherwise(F.array().cast("array<string>")))
+    return out.select(*key, (F.size(reasons) == 0).alias("accepted"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+def admission_gate(intervals: DataFrame, domains: DataFrame, family: str) -> DataFrame:
+    """family, verdict: ACCEPTED or REJECTED for a family of features by the intervals of its metric deltas.
+
+    ``intervals``: family, metric (joint_log_loss, one_x_two_log_loss, brier, rps, crps), mean, high; ``domains``: family, domain, mean (joint log loss). The joint loss must fall by 0.003 with its whole interval
+    below 0 and the result loss must not rise; the others may rise by 0.01 (CRPS 0.02) at most at the upper end; no domain by more than 0.02, and of three or more domains three must fall.
+    """
+    at = lambda metric, field: F.max(F.when(F.col("metric") == metric, F.col(field)))
+    i = intervals.groupBy(family).agg(*[at(m, f).alias(f"{m}_{f}") for m in ("joint_log_loss", "one_x_two_log_loss", "brier", "rps", "crps") for f in ("mean", "high")])
+    d = domains.groupBy(family).agg(F.max("mean").alias("worst"), F.count_if(F.col("mean") < 0).alias("falling"), F.count("*").alias("domains"))
+    fine = (
+        (F.col("joint_log_loss_mean") <= -0.003) & (F.col("joint_log_loss_high") < 0) & (F.col("one_x_two_log_loss_mean") <= 0) & (F.col("brier_high") <= 0.01) & (F.col("rps_high") <= 0.01) & (F.col("crps_high") <= 0.02)
+        & (F.col("worst") <= 0.02) & ((F.col("domains") < 3) | (F.col("falling") >= 3))
+    )
+    return i.join(d, family, "left").select(family, F.when(F.coalesce(fine, F.lit(False)), "ACCEPTED").otherwise("REJECTED").alias("verdict"))
+
+
 def gate(metrics: DataFrame, thresholds: dict[str, tuple[float, float]], name: str = "metric", value: str = "value") -> DataFrame:
     """metrics with a verdict per row: PASS at or below the first threshold of its metric, WARN at or below the second, else FAIL; metrics without thresholds and null values are UNKNOWN."""
     bounds = F.create_map(*[x for k, (a, b) in thresholds.items() for x in (F.lit(k), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))])

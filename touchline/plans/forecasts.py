@@ -360,6 +360,18 @@ def loss_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.bootstrap_intervals(s, "outcome", ["kickoff_at", "forecast_id"], "loss")
 
 
+@query()
+def paired_loss_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecasts' log loss against that of a base rate on the same matches: per competition by blocks of kick-off batches, over all competitions, and as if independent, with the conclusion."""
+    given = lambda h, d, a: F.when(F.col("outcome") == "HOME", h).when(F.col("outcome") == "DRAW", d).otherwise(a)
+    s = scored(spark, sf).select("forecast_id", "match_id", scoring.log_loss(given(F.col("ph"), F.col("pd"), F.col("pa"))).alias("own"), scoring.log_loss(given(F.lit(0.45), F.lit(0.27), F.lit(0.28))).alias("base"))
+    ko = table(spark, sf, "frozen_forecast").groupBy("forecast_id").agg(F.max(F.unix_micros("kickoff_at")).alias("ko"))
+    comp = table(spark, sf, "open_matches").groupBy("match_id").agg(F.max("competition_id").alias("competition_id"))
+    country = table(spark, sf, "competitions").select("competition_id", "country_code").dropDuplicates(["competition_id"])
+    rows = s.join(ko.where("ko is not null"), "forecast_id").join(comp, "match_id").join(country, "competition_id")
+    return scoring.paired_intervals(rows, "country_code", "ko", "forecast_id", "own", "base")
+
+
 def _simulated(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.simulate_events(gridded(spark, sf).select("forecast_id", "cells"), "forecast_id", "cells")
 
