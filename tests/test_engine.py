@@ -148,12 +148,25 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR\nE0,01/02/20,A,B,2,1,H\nE0,02/02/20,A,,1,1,D\nE0,03/02/20,C,D,0,3,H\n")
     raw = files.read_results(spark, str(tmp_path / "r.csv"))
     assert [r.finding for r in files.typed_results(raw).collect()] == [None, "missing_required", "result_contradicts_score"]
+    (tmp_path / "bad.csv").write_text("Div,Date,HomeTeam,AwayTeam\nE0,01/02/20,A,B\nE0,01/02/20,A,B,1,2\n")
+    assert [r._corrupt for r in files.read_results(spark, str(tmp_path / "bad.csv")).collect()] == [None, "E0,01/02/20,A,B,1,2"]
+    cells = files.located_values(spark, str(tmp_path / "r.csv")).collect()
+    assert {(r.row, r.field): (r.name, r.value) for r in cells}[2, 3] == ("AwayTeam", "") and len(cells) == 28
+    assert len(files.store_raw(spark, str(tmp_path / "*.csv"), str(tmp_path / "store")).collect()) == 2
+    (tmp_path / "again.csv").write_bytes((tmp_path / "r.csv").read_bytes())
+    assert files.store_raw(spark, str(tmp_path / "*.csv"), str(tmp_path / "store")).collect() == []
     assert {r.field: r.filled for r in files.field_coverage(raw).collect()}["AwayTeam"] == 2
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x.csv", "a,b\n1,2\n")
         z.writestr("bomb.csv", "0" * 2_000_000)
     got = files.read_zipped_results(spark, str(tmp_path / "a.zip")).collect()
     assert [(r.member, r.text, r.finding) for r in got] == [("x.csv", "a,b", None), ("x.csv", "1,2", None), ("bomb.csv", None, "member_too_large")]
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("../out.csv", "a\n")
+        z.writestr("d/x.csv", "a\n")
+        z.writestr("D/X.csv", "b\n")
+    assert [(r.member, r.finding) for r in files.read_zipped_results(spark, str(tmp_path / "c.zip")).collect()] == [("../out.csv", "unsafe_path"), ("d/x.csv", None), ("D/X.csv", "duplicate_member")]
+    assert [r.finding for r in files.read_zipped_results(spark, str(tmp_path / "c.zip"), max_total=1).collect()] == ["unsafe_path", "archive_too_large", "duplicate_member"]
     pages = spark.createDataFrame([("p", "<table><tr><th>Team<td>Pts</td></tr><tr><td>A&amp;B</td><td> 3 </td></tr></table>"), ("q", None)], "k string, page string")
     assert {(r.row, r.text) for r in files.html_cells(pages, "k", "page").collect()} >= {(1, "A&B"), (1, "3")}
     feed = spark.createDataFrame([("AA÷x¬AB÷1¬AA÷z~AA÷y¬bad¬~",)], "t string").select(files.delimited_feed(F.col("t")).alias("r")).first().r
@@ -272,3 +285,10 @@ def test_event_matrix_against_the_words_of_the_events():
     names = [[e for e, hit in zip(simulation.EVENTS, row, strict=True) if hit] for row in m]
     assert names[1] == ["score:3-1", "outcome:home_win", "btts:yes", "total:over_0.5", "total:over_1.5", "total:over_2.5", "total:over_3.5", "total:under_4.5", "clean_sheet:home_no", "clean_sheet:away_no", "total_goals:4"]
     assert "score:5+-5+" in names[2] and names[4] == ["unresolved_tail"] and [len(n) for n in names] == [11, 11, 11, 11, 1]
+
+
+def test_reports_and_sheets(spark, tmp_path):
+    counts = spark.createDataFrame([("b", "y", 2), ("a", "x", 1)], "section string, name string, n long")
+    assert sinks.run_report(counts, "Run").splitlines()[4:] == ["| a | x | 1 |", "| b | y | 2 |"]
+    sinks.review_sheet(spark.createDataFrame([("=1+1", 2), ("a", 1)], "t string, n int"), str(tmp_path / "sheet"), ["n"])
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "sheet")).orderBy("n").collect()] == [("a", "1"), ("'=1+1", "2")]

@@ -3,7 +3,7 @@
 import pytest
 from duck import connect, rows
 
-from touchline.plans import forecasts, ingest, picks, problem_sql, problems, relational, results  # noqa: F401
+from touchline.plans import context, forecasts, ingest, picks, problem_sql, problems, relational, results  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES
 
 ALL = problems.queries() | QUERIES

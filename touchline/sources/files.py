@@ -13,16 +13,18 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators.shredding import parse_document
+from touchline.session import cut
 
 RESULTS_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HTHG", "HTAG", "HTR", "_corrupt")])
 REQUIRED = ("Div", "Date", "HomeTeam", "AwayTeam")
-#: Limits of archives: members, bytes of one member unpacked, and how many times larger than packed.
-MAX_MEMBERS, MAX_BYTES, MAX_RATIO = 1000, 256 * 2**20, 200
+#: Limits of archives: members, bytes of one member unpacked, how many times larger than packed, and bytes of all members.
+MAX_MEMBERS, MAX_BYTES, MAX_RATIO, MAX_TOTAL = 1000, 256 * 2**20, 200, 2**30
 
 _NAMED = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
 EVENT_SCHEMA = T.StructType(
@@ -38,9 +40,11 @@ EVENT_NEED = ("id", "index", "type")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of results files, all text, header-driven; broken lines are kept in _corrupt. Gzip is read as it is."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
-    return raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in RESULTS_SCHEMA.names[:-1]])
+    """Rows of results files, all text, header-driven; lines with fewer or more fields than the header are kept in _corrupt. Gzip is read as it is."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in reader.csv(path).columns], T.StructField("_corrupt", T.StringType())])
+    raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path)
+    return raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in RESULTS_SCHEMA.names])
 
 
 def typed_results(raw: DataFrame) -> DataFrame:
@@ -65,8 +69,27 @@ def field_coverage(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(cells))
 
 
-def read_zipped_results(spark: SparkSession, path: str, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES, max_ratio: int = MAX_RATIO) -> DataFrame:
-    """archive, member, line, text, finding: lines of the CSV members of archives; a member beyond the limits gives one row with a finding instead."""
+def _member_finding(m: zipfile.ZipInfo, seen: set[str], taken: int, max_bytes: int, max_ratio: int, max_total: int) -> str | None:
+    """What forbids reading a member of an archive, if anything does."""
+    name = m.filename.replace("\\", "/")
+    if name.startswith("/") or ":" in name or ".." in name.split("/"):
+        return "unsafe_path"
+    if name.lower() in seen:
+        return "duplicate_member"
+    if m.flag_bits & 1:
+        return "encrypted_member"
+    if m.file_size > max_bytes or m.file_size > max_ratio * max(1, m.compress_size):
+        return "member_too_large"
+    return "archive_too_large" if taken + m.file_size > max_total else None
+
+
+def read_zipped_results(spark: SparkSession, path: str, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES, max_ratio: int = MAX_RATIO, max_total: int = MAX_TOTAL) -> DataFrame:
+    """archive, member, line, text, finding: lines of the CSV members of archives; an archive or a member that breaks a rule gives one row with a finding instead.
+
+    Refused are too many members, paths that lead out of the archive, names that occur twice, encrypted members, and members or archives beyond the limits of size and ratio. Members are
+    unpacked as they are read, and never beyond the size they state.
+    """
+    columns = ["archive", "member", "line", "text", "finding"]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,24 +97,68 @@ def read_zipped_results(spark: SparkSession, path: str, max_members: int = MAX_M
                 rows: list[tuple] = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = [m for m in z.infolist() if not m.is_dir()]
+                        members, seen, taken = [m for m in z.infolist() if not m.is_dir()], set(), 0
                         if len(members) > max_members:
                             rows.append((name, None, None, None, "too_many_members"))
                             members = []
                         for m in members:
-                            if m.file_size > max_bytes or m.file_size > max_ratio * max(1, m.compress_size):
-                                rows.append((name, m.filename, None, None, "member_too_large"))
+                            finding = _member_finding(m, seen, taken, max_bytes, max_ratio, max_total)
+                            seen.add(m.filename.replace("\\", "/").lower())
+                            if finding:
+                                rows.append((name, m.filename, None, None, finding))
                             elif m.filename.lower().endswith(".csv"):
-                                text = z.read(m).decode("utf-8-sig", "replace")
-                                rows += [(name, m.filename, i, line, None) for i, line in enumerate(text.splitlines())]
-                except zipfile.BadZipFile:
+                                taken += m.file_size
+                                with z.open(m) as packed, io.TextIOWrapper(packed, "utf-8-sig", "replace") as lines:
+                                    for i, line in enumerate(lines):
+                                        rows.append((name, m.filename, i, line.rstrip("\r\n"), None))
+                                        if len(rows) >= 10_000:
+                                            yield pd.DataFrame(rows, columns=columns)
+                                            rows = []
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
                     rows.append((name, None, None, None, "no_archive"))
-                yield pd.DataFrame(rows, columns=["archive", "member", "line", "text", "finding"])
+                yield pd.DataFrame(rows, columns=columns)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, "archive string, member string, line long, text string, finding string")
 
 
+def located_values(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, field, name, value: every cell of delimited files with its place, from 0, as the key by which it can be found again. The header is row 0; quoted fields are read as such.
+
+    Rows are numbered by their place in the file, so a number does not depend on partitions; a file is read by one task.
+    """
+    import csv
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                header: list[str] = []
+                rows: list[tuple] = []
+                for i, cells in enumerate(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")))):
+                    header = header or cells
+                    rows += [(name, i, j, header[j] if j < len(header) else None, v) for j, v in enumerate(cells)]
+                    if len(rows) >= 50_000:
+                        yield pd.DataFrame(rows, columns=["file", "row", "field", "name", "value"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["file", "row", "field", "name", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(locate, "file string, row long, field int, name string, value string")
+
+
+def store_raw(spark: SparkSession, path: str, store: str) -> DataFrame:
+    """digest, bytes: the files under ``path`` by their SHA-256, written once to ``store``: content that it holds already, or that occurs twice, is not written again. Returns what was new."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"), "content").dropDuplicates(["digest"])
+    try:
+        held = spark.read.parquet(store).select("digest")
+        new = found.join(held, "digest", "left_anti")
+    except AnalysisException:  # no store yet
+        new = found
+    new = cut(new)
+    new.write.mode("append").parquet(store)
+    return new.select("digest", "bytes")
+
+
 def _holds_events(value: object) -> bool:
     todo = [value]
     while todo:
@@ -120,7 +187,7 @@ def event_items(value: object) -> list[tuple[dict | None, str | None]]:
         if isinstance(v, list):
             todo.extend((x, label) for x in reversed(v))
         elif isinstance(v, dict) and place and (all(k in v for k in EVENT_NEED) or not _holds_events(v) and any(k in v for k in EVENT_FIELDS)):
-            items.append(({k: v[k] for k in EVENT_FIELDS if k in v}, None))
+            items.append(({k: v[k] for k in (*EVENT_FIELDS, "pass") if k in v}, None))
         elif isinstance(v, dict) and (not place or _holds_events(v)):
             todo.extend((x, k) for k, x in reversed(v.items()) if k == "events" or isinstance(x, dict | list))
         elif place:
@@ -128,8 +195,8 @@ def event_items(value: object) -> list[tuple[dict | None, str | None]]:
     return items
 
 
-def event_report(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """The rows of ``event_rows`` with a finding, null for an event: one row per text that is null, empty or does not parse as a whole (``malformed``), and per finding of ``event_items``."""
+def event_objects(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """key, event (the JSON of one event, with its known fields), finding: the events of every text, or what is wrong with it; see ``event_report``."""
     kind = dict(df.dtypes)[key]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +208,12 @@ def event_report(df: DataFrame, key: str, raw: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["k", "event", "finding"])
 
     pairs = df.select(F.col(key).alias("k"), F.col(raw).alias("raw"))
-    items = pairs.mapInPandas(parse, f"k {kind}, event string, finding string").withColumnRenamed("k", key)
+    return pairs.mapInPandas(parse, f"k {kind}, event string, finding string").withColumnRenamed("k", key)
+
+
+def event_report(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """The rows of ``event_rows`` with a finding, null for an event: one row per text that is null, empty or does not parse as a whole (``malformed``), and per finding of ``event_items``."""
+    items = event_objects(df, key, raw)
     e = items.select(key, "finding", F.from_json("event", EVENT_SCHEMA).alias("e")).select(key, "finding", "e.*")
     x, y = F.try_element_at("location", F.lit(1)), F.try_element_at("location", F.lit(2))
     quality = F.when(F.col("finding").isNotNull(), None).when(x.isNull() | y.isNull(), "missing").when(x.between(0, 120) & y.between(0, 80), "valid").otherwise("out_of_bounds")
