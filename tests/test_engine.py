@@ -17,7 +17,7 @@ from touchline.functions import probability as P
 from touchline.functions import text
 from touchline.functions.clocks import clock_seconds
 from touchline.functions.keys import uuid_key, uuid_text
-from touchline.operators import graphs, models, quality, ratings, scoring, simulation
+from touchline.operators import graphs, models, quality, ratings, score_models, scoring, simulation
 from touchline.sources import files, sinks
 from touchline.streaming import observations
 
@@ -113,9 +113,10 @@ def test_fits_recover_what_made_the_data():
             if h != a:
                 n = 400
                 x, y = rng.poisson(np.exp(0.1 + 0.25 + attack[h] - defence[a]), n), rng.poisson(np.exp(0.1 + attack[a] - defence[h]), n)
-                low = {f"w{i}{j}": float(((x == i) & (y == j)).sum()) for i in (0, 1) for j in (0, 1)}
-                rows.append({"home": h, "away": a, "w": float(n), "hg": float(x.sum()), "ag": float(y.sum())} | low)
-    got_a, got_d, home, rho = models.dixon_coles(pd.DataFrame(rows))
+                rows += [{"home": h, "away": a, "hg": i, "ag": j} for i, j in zip(x, y, strict=True)]
+    counts = pd.DataFrame(rows).groupby(["home", "away", "hg", "ag"]).size().rename("w").reset_index()
+    f = score_models.fit(counts)
+    got_a, got_d, home, rho = dict(zip(f.teams, f.attack, strict=True)), dict(zip(f.teams, f.defence, strict=True)), f.home, f.rho
     assert home == pytest.approx(0.25, abs=0.05) and abs(rho) < 0.05
     assert np.corrcoef([got_a[t] for t in range(8)], attack)[0, 1] > 0.99 and np.corrcoef([got_d[t] for t in range(8)], defence)[0, 1] > 0.99
     assert models.mixture_weights(np.array([[0.5, 0.1], [0.4, 0.2]]), np.array([1.0, 1.0]))[0] == pytest.approx(1, abs=1e-3)
@@ -292,3 +293,16 @@ def test_reports_and_sheets(spark, tmp_path):
     assert sinks.run_report(counts, "Run").splitlines()[4:] == ["| a | x | 1 |", "| b | y | 2 |"]
     sinks.review_sheet(spark.createDataFrame([("=1+1", 2), ("a", 1)], "t string, n int"), str(tmp_path / "sheet"), ["n"])
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "sheet")).orderBy("n").collect()] == [("a", "1"), ("'=1+1", "2")]
+
+
+def test_both_readings_of_the_order_of_updates_agree(spark):
+    rng = random.Random(3)
+    pick = lambda *v: rng.choice(v)
+    update = lambda: (pick(None, "p", "q", ""), pick(None, 5, 6), pick(None, 5, 6, 7), pick(None, 10, 11), pick(None, 0, 2), pick("SCHEDULED", "LIVE", "HALF_TIME", "FINISHED", "ABANDONED"), pick(0, 1), pick(None, 0))
+    rows = [(i, update(), update()) for i in range(1500)]
+    struct = "struct<" + ",".join(f"{n}:{t}" for n, t in observations.UPDATE.items()) + ">"
+    df = spark.createDataFrame(rows, f"i int, old {struct}, new {struct}")
+    got = {r.i: r.v for r in df.select("i", observations.compare(F.col("old"), F.col("new")).alias("v")).collect()}
+    names = list(observations.UPDATE)
+    want = {i: observations.order_of(dict(zip(names, a, strict=True)), dict(zip(names, b, strict=True))) for i, a, b in rows}
+    assert got == want and set(want.values()) == {"NEWER", "SAME", "STALE", "CONFLICT", "UNORDERED"}

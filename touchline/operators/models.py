@@ -24,62 +24,6 @@ def poisson_irls(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def dixon_coles(pairs: pd.DataFrame, ridge: float = 0.01, rounds: int = 8) -> tuple[dict, dict, float, float]:
-    """attack, defence per team, home advantage and rho from weighted goals per ordered pair of teams (home, away, w, hg, ag, and w00, w01, w10, w11: weights of the four lowest scores).
-
-    The counts of the pairs are sufficient: rates come from a Poisson regression, rho from a one-dimensional search of the correction's likelihood.
-    """
-    teams = np.unique(np.r_[pairs["home"], pairs["away"]])
-    index = {t: i for i, t in enumerate(teams)}
-    n, m = len(teams), len(pairs)
-    h, a = pairs["home"].map(index).to_numpy(), pairs["away"].map(index).to_numpy()
-    x = np.zeros((2 * m, 2 * n + 2))
-    rows = np.arange(m)
-    x[rows, h] = 1
-    x[rows, n + a] = -1
-    x[rows, 2 * n] = 1
-    x[m + rows, a] = 1
-    x[m + rows, n + h] = -1
-    x[:, 2 * n + 1] = 1
-    w = np.r_[pairs["w"], pairs["w"]].astype(float)
-    y = np.r_[pairs["hg"], pairs["ag"]].astype(float) / w
-    beta = poisson_irls(x, y, w, ridge, rounds * 10)
-    attack, defence = beta[:n] - beta[:n].mean(), beta[n : 2 * n] - beta[n : 2 * n].mean()
-    level = beta[2 * n + 1] + beta[:n].mean() - beta[n : 2 * n].mean()
-    lh, la = np.exp(level + beta[2 * n] + attack[h] - defence[a]), np.exp(level + attack[a] - defence[h])
-
-    def likelihood(rho: float) -> float:
-        parts = (1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, np.full(m, 1 - rho))
-        if min(p.min() for p in parts) <= 0:
-            return -np.inf
-        return float(sum((pairs[c].to_numpy() * np.log(p)).sum() for c, p in zip(("w00", "w01", "w10", "w11"), parts, strict=True)))
-
-    low, high = -0.3, 0.3
-    for _ in range(60):
-        a1, a2 = low + (high - low) * 0.382, low + (high - low) * 0.618
-        low, high = (low, a2) if likelihood(a1) >= likelihood(a2) else (a1, high)
-    return dict(zip(teams, attack, strict=True)), dict(zip(teams, defence, strict=True)), float(beta[2 * n]), (low + high) / 2
-
-
-def fit_dixon_coles(matches: DataFrame, pool: str, half_life_days: float = 730.0, ridge: float = 0.01) -> DataFrame:
-    """pool, team, attack, defence, home_advantage, rho: one fit per pool on time-decayed results (ko in seconds).
-
-    Spark reduces the matches to one row per ordered pair of teams, which bounds what a fit holds by the square of the teams of a pool.
-    """
-    kind = dict(matches.dtypes)[pool]
-    newest = matches.groupBy(pool).agg(F.max("ko").alias("newest"))
-    m = matches.join(newest, pool)
-    w = F.pow(F.lit(0.5), (F.col("newest") - F.col("ko")) / 86400.0 / half_life_days)
-    low = lambda a, b: F.sum(F.when((F.col("hg") == a) & (F.col("ag") == b), w).otherwise(0.0))
-    pairs = m.groupBy(pool, "home", "away").agg(F.sum(w).alias("w"), F.sum(w * F.col("hg")).alias("hg"), F.sum(w * F.col("ag")).alias("ag"), low(0, 0).alias("w00"), low(0, 1).alias("w01"), low(1, 0).alias("w10"), low(1, 1).alias("w11"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        attack, defence, home, rho = dixon_coles(pdf, ridge)
-        return pd.DataFrame({pool: pdf[pool].iloc[0], "team": list(attack), "attack": list(attack.values()), "defence": [defence[t] for t in attack], "home_advantage": home, "rho": rho})
-
-    return pairs.groupBy(pool).applyInPandas(run, f"{pool} {kind}, team long, attack double, defence double, home_advantage double, rho double")
-
-
 def mixture_weights(likelihoods: np.ndarray, counts: np.ndarray, steps: int = 500) -> np.ndarray:
     """Weights on the simplex that maximise the log score of a mixture, by expectation maximisation; rows of likelihoods are observations."""
     w = np.full(likelihoods.shape[1], 1 / likelihoods.shape[1])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import models, ratings, scoring, simulation, temporal
+from touchline.operators import models, ratings, score_models, scoring, simulation, temporal
 from touchline.plans.facts import ALL, CLEAN, clean_facts, facts, sides
 from touchline.plans.registry import query
 from touchline.plans.relational import PRIOR, running_priors
@@ -344,8 +344,14 @@ def elo_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dixon_coles_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Attack, defence, home advantage and rho per competition from time-decayed results."""
-    return models.fit_dixon_coles(facts(spark, sf), "competition_id")
+    """Attack, defence, home advantage and rho per competition, fitted together on time-decayed results."""
+    return score_models.fit_models(facts(spark, sf), "competition_id", ("poisson",))
+
+
+@query()
+def score_model_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with goals that vary more than Poisson, or at a pace that both sides share, and the shape that fits best."""
+    return score_models.fit_models(facts(spark, sf), "competition_id", ("nb2", "shared_pace"))
 
 
 @query()

@@ -102,13 +102,18 @@ def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "product_teams").select("team_id", text.stable_id(F.col("country_code"), F.col("canonical_name")).alias("stable_id")).distinct()
 
 
-@query("""WITH u AS (SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) SELECT CASE WHEN best IS NULL OR value > best THEN 'NEWER' WHEN value = best THEN 'SAME' ELSE 'STALE' END AS verdict, count(*) AS updates FROM u GROUP BY ALL""")
+@query("""WITH r AS (SELECT DISTINCT fixture_id, revision_id, status, home_score, away_score, epoch_us(updated_at) AS src, epoch_us(coalesce(known_at, updated_at)) AS known FROM product_fixtures), p AS (SELECT *, lag(revision_id) OVER w AS before, lag(status) OVER w AS s0, lag(home_score) OVER w AS h0, lag(away_score) OVER w AS a0, CASE WHEN lag(src) OVER w <= lag(known) OVER w THEN lag(src) OVER w END AS c0, lag(known) OVER w AS k0, CASE WHEN src <= known THEN src END AS c1 FROM r WINDOW w AS (PARTITION BY fixture_id ORDER BY known, revision_id)),
+o AS (SELECT *, CASE WHEN c0 IS NOT NULL AND c1 IS NOT NULL THEN sign(c1 - c0) WHEN c0 IS NOT NULL AND known < c0 THEN -1 WHEN c1 IS NOT NULL AND c1 > k0 THEN 1 END AS source, status IS NOT DISTINCT FROM s0 AND home_score IS NOT DISTINCT FROM h0 AND away_score IS NOT DISTINCT FROM a0 AS same FROM p WHERE before IS NOT NULL)
+SELECT CASE WHEN source = 1 THEN 'NEWER' WHEN source = -1 THEN 'STALE' WHEN source = 0 THEN CASE WHEN same THEN 'SAME' ELSE 'CONFLICT' END WHEN same THEN 'SAME' WHEN status = 'FINISHED' AND s0 NOT IN ('FINISHED', 'CANCELLED', 'ABANDONED', 'AWARDED') THEN 'NEWER' WHEN s0 = 'SCHEDULED' AND status IN ('LIVE', 'HALF_TIME') THEN 'NEWER' ELSE 'UNORDERED' END AS verdict, count(*) AS updates FROM o GROUP BY ALL""")
 def update_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every update of a key against the newest state before it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    u = table(spark, sf, "events").select("value", F.max("value").over(w).alias("best"))
-    verdict = F.when(F.col("best").isNull() | (F.col("value") > F.col("best")), "NEWER").when(F.col("value") == F.col("best"), "SAME").otherwise("STALE")
-    return u.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("updates"))
+    """Every revision of a fixture against the one that was known before it, in the partial order of updates."""
+    none = lambda t: F.lit(None).cast(t)
+    known = F.unix_micros(F.coalesce("known_at", "updated_at"))
+    update = F.struct(none("string").alias("provider"), F.unix_micros("updated_at").alias("source_time"), known.alias("known_by"), none("bigint").alias("minute"), none("bigint").alias("added"), "status", F.col("home_score").cast("bigint").alias("home"), F.col("away_score").cast("bigint").alias("away"))
+    r = table(spark, sf, "product_fixtures").select("fixture_id", "revision_id", update.alias("new"), known.alias("t")).distinct()
+    near = lambda w, _: {"old": F.lag("new").over(w)}
+    r = temporal.with_neighbours(r, ["fixture_id"], "t", ["revision_id"], 30 * 86_400_000_000, near, 1).where("old is not null")
+    return r.groupBy(observations.compare(F.col("old"), F.col("new")).alias("verdict")).agg(F.count("*").alias("updates"))
 
 
 @query("""SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -124,17 +124,22 @@ _H2H = f"""{CLEAN}, p AS (SELECT *, least(home, away) AS a, greatest(home, away)
 
 
 @query(f"""{_H2H} SELECT x.match_id, count(y.match_id) AS meetings, round(sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730)), 6) AS weight, round(pow(sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730)), 2) / sum(pow(0.5, 2 * (x.ko - y.ko) / {DAY}.0 / 730)), 6) AS effective,
- round(sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730) * CASE WHEN y.home = x.home THEN y.hg - y.ag ELSE y.ag - y.hg END) / sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730)), 6) AS margin
+ round(sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730) * CASE WHEN y.home = x.home THEN y.hg - y.ag ELSE y.ag - y.hg END) / sum(pow(0.5, (x.ko - y.ko) / {DAY}.0 / 730)), 6) + 0.0 AS margin
  FROM p x JOIN p y ON x.a = y.a AND x.b = y.b AND y.ko < x.ko AND y.known <= x.ko GROUP BY x.match_id""")
 def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
-    """Unordered-pair join with decayed weights and the effective sample of earlier meetings."""
-    m = clean_facts(spark, sf).select("match_id", "ko", "known", "home", "away", "hg", "ag", F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"))
-    x, y = m.alias("x"), m.alias("y")
-    joined = x.join(y, [F.col("x.a") == F.col("y.a"), F.col("x.b") == F.col("y.b"), F.col("y.ko") < F.col("x.ko"), F.col("y.known") <= F.col("x.ko")])
-    w = F.pow(F.lit(0.5), (F.col("x.ko") - F.col("y.ko")) / float(DAY) / 730)
-    margin = F.when(F.col("y.home") == F.col("x.home"), F.col("y.hg") - F.col("y.ag")).otherwise(F.col("y.ag") - F.col("y.hg"))
-    out = joined.groupBy(F.col("x.match_id").alias("match_id")).agg(F.count("*").alias("meetings"), F.sum(w).alias("s"), F.sum(w * w).alias("s2"), F.sum(w * margin).alias("sm"))
-    return out.select("match_id", "meetings", F.round("s", 6).alias("weight"), F.round(F.col("s") * F.col("s") / F.col("s2"), 6).alias("effective"), F.round(F.col("sm") / F.col("s"), 6).alias("margin"))
+    """Decayed weights and margins of a pair's earlier meetings and their effective sample: a weight is a power of the later time times one of the earlier, so running sums over the merged results and kick-offs of an unordered pair do, without pairs."""
+    m = clean_facts(spark, sf).select("match_id", "ko", "known", "home", F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"), (F.col("hg") - F.col("ag")).alias("gap"))
+    half = 730.0 * DAY
+    origin = 10 * 365 * DAY + 15 * 365 * DAY  # any fixed moment: it keeps the powers near 1
+    w = F.pow(F.lit(2.0), (F.col("ko") - origin) / half)
+    margin = F.when(F.col("home") == F.col("a"), F.col("gap")).otherwise(-F.col("gap"))
+    # a result is known after its own kick-off, so what is known by a kick-off was played before it
+    result = F.struct((F.col("known") * 2).alias("t"), F.lit(1).alias("n"), w.alias("w"), (w * w).alias("w2"), (w * margin).alias("wm"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("boolean").alias("first"))
+    ask = F.struct((F.col("ko") * 2 + 1).alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("w"), F.lit(0.0).alias("w2"), F.lit(0.0).alias("wm"), F.col("match_id").alias("id"), F.col("ko").alias("at"), (F.col("home") == F.col("a")).alias("first"))
+    e = m.select("a", "b", F.inline(F.array(result, ask)))
+    e = temporal.running_sums(e, ["a", "b"], "t", {"meetings": "n", "s": "w", "s2": "w2", "sm": "wm"}, 8 * PERIOD).where("id is not null and meetings > 0")
+    decay = F.pow(F.lit(2.0), (F.col("at") - origin) / half)
+    return e.select(F.col("id").alias("match_id"), "meetings", F.round(F.col("s") / decay, 6).alias("weight"), F.round(F.col("s") * F.col("s") / F.col("s2"), 6).alias("effective"), (F.round(F.when(F.col("first"), 1).otherwise(-1) * F.col("sm") / F.col("s"), 6) + 0.0).alias("margin"))
 
 
 @query("""SELECT DISTINCT b.player_id, epoch_us(b.registered_at) AS start FROM (SELECT DISTINCT player_id, registered_at, removed_at FROM product_players) b WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT player_id, registered_at, removed_at FROM product_players) a WHERE a.player_id = b.player_id AND (a.registered_at < b.registered_at OR (a.registered_at = b.registered_at AND coalesce(a.removed_at, TIMESTAMPTZ '9999-01-01 00:00:00+00') < coalesce(b.removed_at, TIMESTAMPTZ '9999-01-01 00:00:00+00'))) AND (a.removed_at IS NULL OR a.removed_at > b.registered_at))""")
