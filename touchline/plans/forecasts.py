@@ -192,6 +192,62 @@ def handicaps(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("forecast_id", "line4", P.settle_quarters(4 * F.col("margin"), F.col("line4")).alias("settlement")).agg(F.round(F.sum("p"), 6).alias("p"))
 
 
+_TOTAL_LINES, _EURO, _RANGES = (6, 8, 9, 10, 11, 14), (-2, -1, 1, 2), ((0, 1), (2, 3), (4, 6))
+
+
+def _settle_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= 2 THEN 'FULL_WIN' WHEN {x} = 1 THEN 'HALF_WIN' WHEN {x} = 0 THEN 'PUSH' WHEN {x} = -1 THEN 'HALF_LOSS' ELSE 'FULL_LOSS' END"
+
+
+_AXES = "(SELECT forecast_id, 'TOTAL' AS axis, h + a AS n, p FROM cells UNION ALL SELECT forecast_id, 'HOME', h, p FROM cells UNION ALL SELECT forecast_id, 'AWAY', a, p FROM cells)"
+_RESULT = "CASE WHEN {0} > 0 THEN 'HOME' WHEN {0} = 0 THEN 'DRAW' ELSE 'AWAY' END"
+
+
+@query(f"""WITH {_CELLS}, t AS (SELECT forecast_id, greatest(1 - sum(p), 0) AS tail FROM cells GROUP BY forecast_id), q AS (SELECT unnest([{', '.join(map(str, _LINES))}]) AS line4), e AS (SELECT unnest([{', '.join(map(str, _EURO))}]) AS line), tl AS (SELECT unnest([{', '.join(map(str, _TOTAL_LINES))}]) AS line4), r(lo, hi) AS (VALUES {', '.join(map(str, _RANGES))}), axes AS {_AXES},
+u AS (SELECT forecast_id, 'ASIAN_AWAY' AS family, (-line4)::BIGINT AS line4, {_settle_sql('4 * (a - h) - line4')} AS outcome, p FROM cells, q
+ UNION ALL SELECT forecast_id, 'EUROPEAN', 4 * line, {_RESULT.format('(h - a + line)')}, p FROM cells, e
+ UNION ALL SELECT forecast_id, axis || '_OVER', line4, {_settle_sql('4 * n - line4')}, p FROM axes, tl UNION ALL SELECT forecast_id, axis || '_UNDER', line4, {_settle_sql('line4 - 4 * n')}, p FROM axes, tl
+ UNION ALL SELECT forecast_id, 'RESULT_TOTAL', line4, {_RESULT.format('(h - a)')} || CASE WHEN 4 * (h + a) > line4 THEN '_OVER' WHEN 4 * (h + a) = line4 THEN '_EQUAL' ELSE '_UNDER' END, p FROM cells, tl
+ UNION ALL SELECT forecast_id, axis || '_RANGE', 100 * lo + hi, CASE WHEN n BETWEEN lo AND hi THEN 'INSIDE' ELSE 'OUTSIDE' END, p FROM axes, r
+ UNION ALL SELECT forecast_id, 'MARGIN', NULL, (h - a)::VARCHAR, p FROM cells
+ UNION ALL SELECT forecast_id, 'RESULT_BTTS', NULL, {_RESULT.format('(h - a)')} || CASE WHEN h > 0 AND a > 0 THEN '_YES' ELSE '_NO' END, p FROM cells)
+SELECT forecast_id, family, line4, outcome, round(sum(p), 6) AS p, round(least(1.0, sum(p) + any_value(tail)), 6) AS upper FROM u JOIN t USING (forecast_id) GROUP BY ALL""")
+def derived_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products derived from a score grid: handicaps from the away side, European handicaps, totals of match and sides over and under quarter lines, goal ranges, margins, results with totals and with both scoring.
+
+    Probabilities are of resolved scores, with an upper bound that adds what the grid leaves open; nothing is scaled up. A line is in quarter goals, a range its bounds as 100 low + high. A grid is first
+    reduced to its distributions of margin, totals and result, and these meet the lines.
+    """
+    g = gridded(spark, sf)
+    mass = lambda where: P.mass(F.col("cells"), where)
+    row = lambda axis, n, result, p: F.struct(F.lit(axis).alias("axis"), n.cast("int").alias("n"), result.cast("string").alias("result"), p.alias("p"))
+    none = F.lit(None)
+    signs = {"HOME": lambda h, a: h > a, "DRAW": lambda h, a: h == a, "AWAY": lambda h, a: h < a}
+    by_result = lambda name: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda t: row("RESULT_TOTAL", t, F.lit(name), mass(lambda h, a: signs[name](h, a) & (h + a == t))))
+    both = lambda name, yes: row("RESULT_BTTS", F.lit(int(yes)), F.lit(name), mass(lambda h, a: signs[name](h, a) & (((h > 0) & (a > 0)) == F.lit(yes))))
+    rows = F.concat(
+        F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda m: row("MARGIN", m, none, mass(lambda h, a: h - a == m))), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda t: row("TOTAL", t, none, mass(lambda h, a: h + a == t))),
+        F.transform(F.sequence(F.lit(0), F.lit(10)), lambda n: row("HOME", n, none, mass(lambda h, a: h == n))), F.transform(F.sequence(F.lit(0), F.lit(10)), lambda n: row("AWAY", n, none, mass(lambda h, a: a == n))),
+        *[by_result(name) for name in signs], F.array(*[both(name, yes) for name in signs for yes in (True, False)]),
+    )
+    tail = F.greatest(1 - mass(lambda h, a: F.lit(True)), F.lit(0.0))
+    d = g.select("forecast_id", tail.alias("tail"), F.inline(rows))
+    n, axis, result = F.col("n"), F.col("axis"), F.col("result")
+    item = lambda family, line, outcome: F.struct(F.lit(family).alias("family") if isinstance(family, str) else family.alias("family"), line.cast("bigint").alias("line4"), outcome.alias("outcome"))
+    sign = lambda x: F.when(x > 0, "HOME").when(x == 0, "DRAW").otherwise("AWAY")
+    margin = F.array(item("MARGIN", none, n.cast("string")), *[item("ASIAN_AWAY", F.lit(-q), P.settle_quarters(-4 * n, F.lit(-q))) for q in _LINES], *[item("EUROPEAN", F.lit(4 * e), sign(n + e)) for e in _EURO])
+    counted = F.array(
+        *[item(F.concat(axis, F.lit("_OVER")), F.lit(q), P.settle_quarters(4 * n, F.lit(-q))) for q in _TOTAL_LINES], *[item(F.concat(axis, F.lit("_UNDER")), F.lit(q), P.settle_quarters(-4 * n, F.lit(q))) for q in _TOTAL_LINES],
+        *[item(F.concat(axis, F.lit("_RANGE")), F.lit(100 * lo + hi), F.when(n.between(lo, hi), "INSIDE").otherwise("OUTSIDE")) for lo, hi in _RANGES],
+    )
+    joint = F.array(*[item("RESULT_TOTAL", F.lit(q), F.concat(result, F.when(4 * n > q, "_OVER").when(4 * n == q, "_EQUAL").otherwise("_UNDER"))) for q in _TOTAL_LINES])
+    scoring_both = F.array(item("RESULT_BTTS", none, F.concat(result, F.when(n == 1, "_YES").otherwise("_NO"))))
+    items = F.when(axis == "MARGIN", margin).when(axis == "RESULT_TOTAL", joint).when(axis == "RESULT_BTTS", scoring_both).otherwise(counted)
+    out = d.select("forecast_id", "tail", "p", F.inline(items)).groupBy("forecast_id", "family", "line4", "outcome").agg(F.sum("p").alias("s"), F.max("tail").alias("tail"), F.max("p").alias("some"))
+    # outcomes that no score of the grid has are left out
+    return out.where("some > 0").select("forecast_id", "family", "line4", "outcome", F.round("s", 6).alias("p"), F.round(F.least(F.lit(1.0), F.col("s") + F.col("tail")), 6).alias("upper"))
+
+
 _SCORED = f"""{_CELLS}, o AS (SELECT match_id, max(home_score) AS hs, max(away_score) AS as_ FROM open_matches WHERE home_score IS NOT NULL AND away_score IS NOT NULL GROUP BY match_id),
 p AS (SELECT forecast_id, match_id, sum(p) FILTER (WHERE h > a) AS ph, sum(p) FILTER (WHERE h = a) AS pd, sum(p) FILTER (WHERE h < a) AS pa, sum(p) FILTER (WHERE h + a > 2) AS over25 FROM cells GROUP BY ALL),
 s AS (SELECT p.*, hs, as_, CASE WHEN hs > as_ THEN 'HOME' WHEN hs = as_ THEN 'DRAW' ELSE 'AWAY' END AS outcome FROM p JOIN o USING (match_id))"""
