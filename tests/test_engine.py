@@ -306,3 +306,31 @@ def test_both_readings_of_the_order_of_updates_agree(spark):
     names = list(observations.UPDATE)
     want = {i: observations.order_of(dict(zip(names, a, strict=True)), dict(zip(names, b, strict=True))) for i, a, b in rows}
     assert got == want and set(want.values()) == {"NEWER", "SAME", "STALE", "CONFLICT", "UNORDERED"}
+
+
+def test_ratings_of_a_table(spark):
+    """Pools of uneven size, batches that end within a moment, weights, and ratings at a cutoff, against folds in memory."""
+    rng = random.Random(12)
+    rows, i = [], 0
+    for pool, moments in (("a", 900), ("b", 30), ("c", 1)):
+        for t in range(moments):
+            teams = rng.sample(range(12), 8)
+            for k in range(4):
+                rows.append((pool, i, t * 86_400, teams[2 * k], teams[2 * k + 1], rng.randrange(4), rng.randrange(4), rng.choice([1.0, 0.5])))
+                i += 1
+    df = spark.createDataFrame(rows, "pool string, match_id long, ko long, home long, away long, hg int, ag int, weight double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "101")
+    try:
+        rated = ratings.elo(df, "pool", "weight")
+        got = rated.toPandas().set_index("match_id").sort_index()
+        at = {(r.pool, r.team): r.rating for r in ratings.ratings_at(rated, "pool", F.lit(20 * 86_400 + 1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = pd.DataFrame(rows, columns=["pool", "match_id", "ko", "home", "away", "hg", "ag", "weight"])
+    want = pd.concat(ratings.fold(p) for _, p in pdf.groupby("pool")).set_index("match_id").sort_index()
+    assert np.allclose(got[want.columns].to_numpy(), want.to_numpy())
+    state = ratings.Chronicle()
+    state.add(pdf[(pdf.pool == "a") & (pdf.ko <= 20 * 86_400)].sort_values(["ko", "match_id"]))
+    assert all(at["a", team] == pytest.approx(state.now(team, 20 * 86_400 + 1)) for team in state.rating)
+    with pytest.raises(ValueError, match="two matches"):
+        state.add(pd.DataFrame({"ko": [1e9, 1e9], "home": [1, 1], "away": [2, 3], "hg": 0, "ag": 0, "weight": 1.0}))

@@ -25,7 +25,7 @@ PROVED = {
     "corner_counts": "test_relations.test_seasons_and_corners", "dixon_coles_fit": "test_score_models", "elo_ratings": "test_engine.test_elo_against_a_plain_fold", "ensemble_weights": "test_engine.test_fits_recover_what_made_the_data",
     "exact_win_rates": "test_engine.test_exact_intervals", "form_report": "test_form.test_windows_against_plain_python", "forward_recalibration": "test_engine.test_fits_recover_what_made_the_data", "goal_regression": "test_engine.test_gates_leaks_and_regression",
     "loss_intervals": "test_bootstrap", "name_relations": "test_relations.test_names_against_plain_python", "p2_found": "test_timestamps", "p7_found": "test_shredding", "paired_loss_intervals": "test_bootstrap.test_paired_intervals",
-    "payload_event_types": "test_event_shapes", "quality_findings": "test_quality_rules", "recalibration": "test_engine.test_fits_recover_what_made_the_data", "score_model_fits": "test_score_models", "simulated_events": "test_engine.test_simulation_gates",
+    "payload_event_types": "test_event_shapes", "quality_findings": "test_quality_rules", "ratings_at_cutoff": "test_engine.test_ratings_of_a_table", "recalibration": "test_engine.test_fits_recover_what_made_the_data", "score_model_fits": "test_score_models", "simulated_events": "test_engine.test_simulation_gates",
     "simulation_checks": "test_engine.test_simulation_gates", "simulation_gates": "test_engine.test_simulation_gates", "stint_lengths": "test_engine.test_texts",
 }
 #: Whose result is empty on these tables: the payloads hold no corner.

@@ -398,6 +398,12 @@ def elo_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return ratings.elo(clean_facts(spark, sf), "competition_id")
 
 
+@query()
+def ratings_at_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Each team's rating at the start of 1999, decayed since its last match before it."""
+    return ratings.ratings_at(elo_ratings(spark, sf), "competition_id", F.lit(915_148_800))
+
+
 @query()
 def dixon_coles_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Attack, defence, home advantage and rho per competition, fitted together on time-decayed results."""
