@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from duck import connect, rows
 
-from touchline.plans import context, forecasts, ingest, picks, problem_sql, problems, relational, results  # noqa: F401
+from touchline.plans import context, forecasts, ingest, picks, problem_sql, problems, readiness, relational, results  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES
 
 ALL = problems.queries() | QUERIES
@@ -26,7 +26,7 @@ PROVED = {
     "exact_win_rates": "test_engine.test_exact_intervals", "form_report": "test_form.test_windows_against_plain_python", "forward_recalibration": "test_engine.test_fits_recover_what_made_the_data", "goal_regression": "test_engine.test_gates_leaks_and_regression",
     "loss_intervals": "test_bootstrap", "name_relations": "test_relations.test_names_against_plain_python", "p2_found": "test_timestamps", "p7_found": "test_shredding", "paired_loss_intervals": "test_bootstrap.test_paired_intervals",
     "payload_event_types": "test_event_shapes", "quality_findings": "test_quality_rules", "ratings_at_cutoff": "test_engine.test_ratings_of_a_table", "recalibration": "test_engine.test_fits_recover_what_made_the_data", "score_model_fits": "test_score_models", "simulated_events": "test_engine.test_simulation_gates",
-    "simulation_checks": "test_engine.test_simulation_gates", "simulation_gates": "test_engine.test_simulation_gates", "stint_lengths": "test_engine.test_texts",
+    "simulation_checks": "test_engine.test_simulation_gates", "simulation_gates": "test_engine.test_simulation_gates", "stint_lengths": "test_engine.test_texts", "vector_scaling": "test_score_models.test_vector_scaling",
 }
 #: Whose result is empty on these tables: the payloads hold no corner.
 EMPTY = {"corner_counts"}

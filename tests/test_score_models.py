@@ -67,3 +67,20 @@ def test_on_a_table(spark, sf):
     by = {(r.competition_id, r.model): r for r in got}
     assert all(r.accepted for r in got) and all(by[c, "nb2"].loglik >= by[c, "poisson"].loglik - 0.5 for c, _ in by)
     assert M.fit_models(facts(spark, sf).limit(0), "competition_id").collect() == []
+
+
+def test_vector_scaling():
+    from touchline.operators import models
+
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([3, 2, 2.5], 40_000)
+    truth = np.array([0.3, -0.2, 0.8, 1.1, 0.7])
+    z = np.c_[truth[0] + truth[2] * np.log(p[:, 0]), truth[1] + truth[3] * np.log(p[:, 1]), truth[4] * np.log(p[:, 2])]
+    q = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    outcome = (q.cumsum(1) < rng.random((len(q), 1))).sum(1)
+    counts = np.eye(3)[outcome]
+    x, se = models.vector_scaling(np.log(p), counts)
+    assert np.all(np.abs(x - truth) < 4 * se) and np.all(se < 0.06)
+    # with much shrinkage, or with no rows, nothing changes
+    assert models.vector_scaling(np.log(p[:100]), counts[:100], 1e9)[0] == pytest.approx([0, 0, 1, 1, 1], abs=1e-4)
+    assert models.vector_scaling(np.zeros((0, 3)), np.zeros((0, 3)), 1.0)[0].tolist() == [0, 0, 1, 1, 1]

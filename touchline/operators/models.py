@@ -52,6 +52,45 @@ def platt(logits: np.ndarray, hits: np.ndarray, counts: np.ndarray, steps: int =
     return float(b[0]), float(b[1])
 
 
+#: The parameters of ``vector_scaling``; the last class has no intercept.
+SCALING = ("intercept_home", "intercept_draw", "scale_home", "scale_draw", "scale_away")
+
+
+def vector_scaling(log_p: np.ndarray, counts: np.ndarray, strength: float = 0.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters (see SCALING) and their standard errors of a softmax over intercept + scale * log probability, by Newton's method on counts per row and class.
+
+    ``strength`` penalises the squares of the intercepts and of the scales less 1, so that without data the probabilities stay as they are.
+    """
+    base = np.array([0.0, 0.0, 1.0, 1.0, 1.0])
+    x, n = base.copy(), counts.sum(1)
+    # row x class x parameter: what a parameter adds to a class
+    d = np.zeros((*log_p.shape, 5))
+    d[:, 0, 0] = d[:, 1, 1] = 1
+    for k in range(3):
+        d[:, k, 2 + k] = log_p[:, k]
+
+    def slopes(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = d @ x
+        z -= z.max(1, keepdims=True)
+        q = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        loss = -float((counts * np.log(np.maximum(q, 1e-300))).sum()) + strength / 2 * float((x - base) @ (x - base))
+        gradient = np.einsum("rk,rkp->p", n[:, None] * q - counts, d) + strength * (x - base)
+        mean = np.einsum("rk,rkp->rp", q, d)
+        hessian = np.einsum("r,rk,rkp,rkq->pq", n, q, d, d) - np.einsum("r,rp,rq->pq", n, mean, mean) + strength * np.eye(5)
+        return loss, gradient, hessian
+
+    for _ in range(steps):
+        loss, gradient, hessian = slopes(x)
+        step = np.linalg.solve(hessian + 1e-9 * np.eye(5), gradient)
+        rate = 1.0
+        while rate > 1e-6 and slopes(x - rate * step)[0] > loss:
+            rate /= 2
+        x = x - rate * step
+        if np.abs(rate * step).max() < 1e-10:
+            break
+    return x, np.sqrt(np.diag(np.linalg.inv(slopes(x)[2] + 1e-12 * np.eye(5))))
+
+
 def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The non-decreasing sequence closest in weighted squares (pool adjacent violators)."""
     blocks: list[list[float]] = []
