@@ -49,6 +49,12 @@ def event_matrix(home: np.ndarray, away: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _cached_matrix(home: bytes, away: bytes) -> np.ndarray:
+    """``event_matrix`` as numbers: forecasts of one grid share it."""
+    return event_matrix(np.frombuffer(home, dtype=np.int64), np.frombuffer(away, dtype=np.int64)).astype(np.float64)
+
+
 def splitmix64(seed: int, n: int) -> np.ndarray:
     """The first n outputs of SplitMix64; its state is a counter, so all come at once."""
     with np.errstate(over="ignore"):
@@ -124,17 +130,17 @@ def simulate_events(forecasts: DataFrame, key: str, cells: str, protocol: str =
             for k, home, away, p in zip(pdf["k"], pdf["home"], pdf["away"], pdf["p"], strict=True):
                 p = np.append(np.asarray(p, dtype=float), 0.0)
                 p[-1] = max(0.0, 1 - p.sum())
-                events = event_matrix(np.append(home, -1), np.append(away, -1))
+                events = _cached_matrix(np.append(home, -1).astype(np.int64).tobytes(), np.append(away, -1).astype(np.int64).tobytes())
                 base = commitment(protocol, policy, hashlib.sha256(p.tobytes()).hexdigest())
                 cumulative = np.cumsum(p)
-                counts.append([(sample(cumulative, seed_of(base, str(k), b), draws) @ events).tolist() for b in range(batches)])
+                counts.append(np.stack([sample(cumulative, seed_of(base, str(k), b), draws) for b in range(batches)]) @ events)
                 analytic.append((p @ events).tolist())
-            yield pd.DataFrame({"k": pdf["k"], "counts": [np.array(c).T.tolist() for c in counts], "analytic": analytic})
+            yield pd.DataFrame({"k": pdf["k"], "counts": [c.T.astype(np.int64).tolist() for c in counts], "analytic": analytic})
 
     part = lambda f: F.transform(cells, lambda x: x[f])
     rows = forecasts.select(F.col(key).alias("k"), part("home").alias("home"), part("away").alias("away"), part("p").alias("p"))
-    # a row is many draws: rows are spread over the cores first
-    return rows.repartition("k").mapInPandas(run, f"k {kind}, counts array<array<bigint>>, analytic array<double>").withColumnRenamed("k", key)
+    # a row is many draws: rows are spread over the cores first, and few bytes are no reason to bring them together again
+    return rows.repartition(4 * forecasts.sparkSession.sparkContext.defaultParallelism, "k").mapInPandas(run, f"k {kind}, counts array<array<bigint>>, analytic array<double>").withColumnRenamed("k", key)
 
 
 def event_rates(simulated: DataFrame, key: str) -> DataFrame:
