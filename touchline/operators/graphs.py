@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,13 @@ def resolve_chains(edges: DataFrame, source: str, target: str) -> DataFrame:
 def reachable(edges: DataFrame, source: str, target: str, seeds: DataFrame) -> DataFrame:
     """node, depth: everything reachable from the seeds (their first column), with the least number of steps; each node once, seeds at 0."""
     e = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    front = cut(seeds.toDF("node").where("node is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
-    seen = front
-    while front.limit(1).count():
-        new = front.join(e, "node").select(F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct().join(seen, "node", "left_anti")
-        front = cut(new)
-        seen = cut(seen.unionByName(front))
-    return seen
+    fronts = [cut(seeds.toDF("node").where("node is not null").distinct().withColumn("depth", F.lit(0).cast("long")))]
+    while fronts[-1].limit(1).count():
+        # what was reached before is the union of the written fronts: none of them is written again
+        seen = reduce(DataFrame.unionByName, fronts)
+        new = fronts[-1].join(e, "node").select(F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct().join(seen, "node", "left_anti")
+        fronts.append(cut(new))
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -372,8 +372,10 @@ def walk_forward_plan(spark: SparkSession, sf: str) -> DataFrame:
     # a result counts from the moment after it is known; a kick-off asks, and bears its match and group
     results = [row(kind, column, F.col("known") * 2 + 1, 1, F.lit(None)) for kind, column in groups]
     asks = [row(kind, column, F.col("ko") * 2, 0, F.col("match_id") * 4 + i) for i, (kind, column) in enumerate(groups)]
-    rows = F.array(*results, *asks)
-    counted = temporal.running_sums(m.select(F.inline(rows)), ["kind", "key"], "t", {"seen": "n"}, 180 * DAY).where("id is not null")
+    # results are combined by group and moment first, so that a competition's history has a row per moment
+    known = m.select(F.inline(F.array(*results))).groupBy("kind", "key", "t").agg(F.sum("n").alias("n")).withColumn("id", F.lit(None).cast("bigint"))
+    rows = known.unionByName(m.select(F.inline(F.array(*asks))).select(*known.columns))
+    counted = temporal.running_sums(rows, ["kind", "key"], "t", {"seen": "n"}, 180 * DAY).where("id is not null")
     pick = lambda n: F.max(F.when(F.col("id") % 4 == n, F.col("seen")))
     return counted.groupBy(F.floor(F.col("id") / 4).alias("match_id")).agg(pick(0).alias("home_history"), pick(1).alias("away_history"), pick(2).alias("competition_history"))
 
