@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -246,8 +247,11 @@ def leaks(snapshots: DataFrame, key: str, document: str, cutoff: str, outcome_ke
 
 
 def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The continued fraction of the incomplete beta function, until it stands still everywhere; it takes about as many terms as the root of the greater parameter."""
+    """The continued fraction of the incomplete beta function, each value until it stands still; near the mean it takes about as many terms as the root of the greater parameter, in the tails few."""
     tiny = 1e-300
+    out = np.empty(np.shape(x))
+    flat, at = out.reshape(-1), np.arange(np.size(x))
+    x, a, b = (np.ravel(v) for v in (x, a, b))
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     f = d.copy()
@@ -257,9 +261,14 @@ def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + step / np.where(np.abs(c) < tiny, tiny, c)
             f = f * c * d
-        if np.nanmax(np.abs(c * d - 1), initial=0.0) < 1e-14:
+        moving = np.abs(c * d - 1) >= 1e-14
+        if not moving.all():
+            flat[at[~moving]] = f[~moving]
+            at, x, a, b, c, d, f = (v[moving] for v in (at, x, a, b, c, d, f))
+        if not len(at):
             break
-    return f
+    flat[at] = f
+    return out
 
 
 def _ln_gamma(x: np.ndarray) -> np.ndarray:
@@ -279,21 +288,38 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - out, out)
 
 
+def _beta_start(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Near the quantile, from that of a normal distribution (Abramowitz and Stegun 26.5.22); the mean where a parameter is below 1."""
+    z = -NormalDist().inv_cdf(min(max(q, 1e-300), 1 - 1e-16))
+    u, v = 1 / (2 * np.maximum(a, 1) - 1), 1 / (2 * np.maximum(b, 1) - 1)
+    h, k = 2 / (u + v), (z * z - 3) / 6
+    w = z * np.sqrt(h + k) / h - (v - u) * (k + 5 / 6 - 2 / (3 * h))
+    x = a / (a + b * np.exp(np.clip(2 * w, -700, 700)))
+    return np.where((a >= 1) & (b >= 1) & (x > 0) & (x < 1), x, a / (a + b))
+
+
 def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Where ``beta_cdf`` reaches q: Newton steps held within a bracket that shrinks with every step."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    low, high, x = np.zeros_like(a), np.ones_like(a), a / (a + b)
-    norm = _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b)
-    for _ in range(60):
+    """Where ``beta_cdf`` reaches q: Newton steps held within a bracket that shrinks with every step, each value until its step is so short that the next is below rounding."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
+    out = np.ascontiguousarray(_beta_start(q, a, b))
+    flat, at = out.reshape(-1), np.arange(out.size)
+    a, b, x = a.ravel(), b.ravel(), out.flatten()
+    low, high = np.zeros_like(x), np.ones_like(x)
+    norm, width = _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b), np.sqrt(a * b / (a + b) ** 3)
+    for _ in range(200):
+        if not len(at):
+            break
         gap = beta_cdf(x, a, b) - q
         low, high = np.where(gap < 0, x, low), np.where(gap < 0, high, x)
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             step = x - gap / np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
-        new = np.where((step > low) & (step < high), step, (low + high) / 2)
-        if np.max(np.abs(new - x), initial=0.0) < 1e-15:
-            break
-        x = new
-    return x
+        short = 1e-7 * np.minimum(width, np.minimum(x, 1 - x))
+        newton = (step >= low - short) & (step <= high + short)  # rounding may put the last step just beyond the bracket
+        new = np.where(newton, np.clip(step, low, high), (low + high) / 2)
+        flat[at] = new
+        moving = ~(newton & (np.abs(new - x) <= short))
+        at, a, b, x, low, high, norm, width = (v[moving] for v in (at, a, b, new, low, high, norm, width))
+    return out
 
 
 def clopper_pearson(hits: np.ndarray, n: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:

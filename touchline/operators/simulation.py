@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Constants of the generator, and the draws of a match in batches.
 GAMMA, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 BATCHES, BATCH_DRAWS = 4, 28_115
+#: Bits of a draw by which draws are counted before they are compared with bounds; of any number the counts are the same.
+LEADING_BITS = 12
 
 
 # The gates of a simulation. Limits of the difference between two batches, of half an interval, of the distance over all scores, and of one event's error; familywise levels of the intervals.
@@ -89,12 +91,24 @@ def seed_of(base: bytes, match: str, batch: int) -> int:
 
 def sample(cumulative: np.ndarray, seed: int, draws: int) -> np.ndarray:
     """Counts of draws per atom: the first atom whose cumulative probability exceeds the uniform number."""
-    u = unit(splitmix64(seed, draws))
+    words = splitmix64(seed, draws)
     if len(cumulative) <= 16:  # few atoms: counted below each bound, no search
+        u = unit(words)
         below = np.array([np.count_nonzero(u < c) for c in cumulative[:-1]] + [draws])
         return np.diff(below, prepend=0)
-    at = np.searchsorted(cumulative, u, side="right")
-    return np.bincount(np.minimum(at, len(cumulative) - 1), minlength=len(cumulative))
+    if not (np.diff(cumulative) >= 0).all():  # a negative or missing probability
+        at = np.searchsorted(cumulative, unit(words), side="right")
+        return np.bincount(np.minimum(at, len(cumulative) - 1), minlength=len(cumulative))
+    # many atoms: draws are counted by their leading bits, and only those that share them with a bound are compared with it
+    lead = (words >> np.uint64(64 - LEADING_BITS)).astype(np.intp)
+    bounds = cumulative[:-1]
+    edges = np.clip(np.floor(bounds * (1 << LEADING_BITS)), 0, (1 << LEADING_BITS) - 1).astype(np.intp)
+    split = np.zeros(1 << LEADING_BITS, dtype=bool)
+    split[edges] = True
+    whole = np.bincount(lead, minlength=1 << LEADING_BITS)
+    whole[split] = 0
+    below = np.cumsum(whole)[edges] + np.searchsorted(np.sort(unit(words[split[lead]])), bounds)
+    return np.diff(below, prepend=0, append=draws)
 
 
 def simulate(forecasts: DataFrame, key: str, cells: str, base: bytes = b"touchline", batches: int = BATCHES, draws: int = BATCH_DRAWS) -> DataFrame:
@@ -152,26 +166,58 @@ def event_rates(simulated: DataFrame, key: str) -> DataFrame:
     return long.select(key, "event", F.aggregate("batches", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("hits"), "analytic", ((F.array_max("batches") - F.array_min("batches")) / draws).alias("widest"))
 
 
+@lru_cache(4)
+def _known_bounds(n: int, level: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(n + 1, np.nan), np.full(n + 1, np.nan)
+
+
+def exact_bounds(hits: np.ndarray, n: int, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """The exact interval of each rate hits / n. There are n + 1 counts only, so a process works out each of them once, however many rows have it."""
+    from touchline.operators.scoring import clopper_pearson
+
+    known = _known_bounds(n, level)
+    low, high = np.full(len(hits), np.nan), np.full(len(hits), np.nan)
+    there = ~np.isnan(hits)
+    k = hits[there].astype(np.int64)
+    if k.min(initial=0) < 0 or k.max(initial=0) > n:
+        raise ValueError(f"counts are not within 0 and {n}")
+    new = np.unique(k)
+    new = new[np.isnan(known[0][new])]
+    if len(new):
+        known[0][new], known[1][new] = clopper_pearson(new, np.full(len(new), n), level)
+    low[there], high[there] = known[0][k], known[1][k]
+    return low, high
+
+
 def gates(rates: DataFrame, key: str, n: int = BATCHES * BATCH_DRAWS) -> DataFrame:
     """``rates`` (see ``event_rates``) with low, high (the exact familywise 95% interval of the rate) and verdict: TAIL_SAMPLED, UNSTABLE, IMPRECISE, OUT_OF_PARITY, else PASS.
 
     An event is in parity where its probability lies within the exact familywise 99% interval of its rate, that is, where neither tail of the binomial beyond the count is too thin.
     """
-    from touchline.operators.scoring import beta_cdf, clopper_pearson
+    from touchline.operators.scoring import beta_cdf
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rates.dtypes)
+    thin = PARITY_LEVEL / len(EVENTS) / 2
+
+    def out_of_parity(hits: np.ndarray, p: np.ndarray) -> np.ndarray:
+        p = np.clip(p, 0, 1)
+        low, high = exact_bounds(hits, n, 1 - PARITY_LEVEL / len(EVENTS))
+        out = (p < low) | (p > high)
+        # within rounding of a bound, the tails themselves decide
+        near = (np.abs(p - low) <= 1e-9 * low) | (np.abs(p - high) <= 1e-9 * high)
+        if near.any():
+            k, x = hits[near], p[near]
+            at_least = np.where(k <= 0, 1.0, beta_cdf(x, np.maximum(k, 1), n - k + 1))
+            at_most = np.where(k >= n, 1.0, 1 - beta_cdf(x, k + 1, np.maximum(n - k, 1)))
+            out[near] = (at_least < thin) | (at_most < thin)
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            hits, p = pdf["hits"].to_numpy(float), pdf["analytic"].to_numpy(float)
-            few, back = np.unique(hits, return_inverse=True)
-            low, high = (x[back] for x in clopper_pearson(few, np.full(len(few), float(n)), 1 - PRECISION_LEVEL / len(EVENTS))) if len(pdf) else (hits, hits)
-            thin = PARITY_LEVEL / len(EVENTS) / 2
-            with np.errstate(invalid="ignore"):
-                at_least = np.where(hits <= 0, 1.0, beta_cdf(np.clip(p, 0, 1), np.maximum(hits, 1), n - hits + 1))
-                at_most = np.where(hits >= n, 1.0, 1 - beta_cdf(np.clip(p, 0, 1), hits + 1, np.maximum(n - hits, 1)))
+            hits = pdf["hits"].to_numpy(float)
+            low, high = exact_bounds(hits, n, 1 - PRECISION_LEVEL / len(EVENTS))
             verdict = np.select(
-                [(pdf["event"] == EVENTS[-1]) & (hits > 0), pdf["widest"] > STABILITY_LIMIT, (high - low) / 2 > PRECISION_LIMIT, (at_least < thin) | (at_most < thin)],
+                [(pdf["event"] == EVENTS[-1]) & (hits > 0), pdf["widest"] > STABILITY_LIMIT, (high - low) / 2 > PRECISION_LIMIT, out_of_parity(hits, pdf["analytic"].to_numpy(float))],
                 ["TAIL_SAMPLED", "UNSTABLE", "IMPRECISE", "OUT_OF_PARITY"], "PASS",
             )
             yield pdf.assign(low=low, high=high, verdict=verdict)
